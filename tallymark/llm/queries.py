@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import decontam, htmltext, packing, records, urlrules
+from tallymark.llm import decontam, htmltext, packing, records, toxicity, urlrules
 from tallymark.session import ship
 
 
@@ -15,6 +15,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    score = toxicity.scored(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+    rows = docs.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), score.alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.packed(_table(spark, sf_dir, "documents"), with_ids=False)
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -41,7 +48,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op3_packing, op6_decontamination, op7_records, op9_url_filters, op10_html_extraction)
+    found = (op1_toxicity, op3_packing, op6_decontamination, op7_records, op9_url_filters, op10_html_extraction)
     return {f.__name__: lambda spark, sf_dir, f=f: f(ship(spark), sf_dir) for f in found}
 
 
