@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import decontam, htmltext, packing, records, toxicity, urlrules
+from tallymark.llm import decontam, htmltext, neardup, packing, records, toxicity, urlrules
 from tallymark.session import ship
 
 
@@ -22,6 +22,14 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
+#: The contract of op2: shingles of two words.
+OP2_WORDS = 2
+
+
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), words=OP2_WORDS)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.packed(_table(spark, sf_dir, "documents"), with_ids=False)
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -48,7 +56,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_toxicity, op3_packing, op6_decontamination, op7_records, op9_url_filters, op10_html_extraction)
+    found = (op1_toxicity, op2_minhash, op3_packing, op6_decontamination, op7_records, op9_url_filters, op10_html_extraction)
     return {f.__name__: lambda spark, sf_dir, f=f: f(ship(spark), sf_dir) for f in found}
 
 
