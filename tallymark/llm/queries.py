@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import decontam, htmltext, neardup, packing, records, toxicity, urlrules
+from tallymark.llm import decontam, htmltext, neardup, packing, pii, records, toxicity, urlrules, vectors
 from tallymark.session import ship
 
 
@@ -35,6 +35,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", pii.pseudonymised(F.col("text")).alias("p"))
+    return docs.select("doc_id", "p.text", F.size("p.found").cast("bigint").alias("n_found"), F.array_join(F.array_sort(F.array_distinct("p.found.kind")), ",").alias("kinds"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = (_table(spark, sf_dir, t) for t in ("documents", "benchmark"))
     return decontam.contamination(docs.select("doc_id", "text"), benchmark).select(
@@ -47,6 +52,10 @@ def op7_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.url_verdicts(_table(spark, sf_dir, "pages"), urlrules.rules_frame(spark))
 
@@ -56,7 +65,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_toxicity, op2_minhash, op3_packing, op6_decontamination, op7_records, op9_url_filters, op10_html_extraction)
+    found = (op1_toxicity, op2_minhash, op3_packing, op5_pii, op6_decontamination, op7_records, op8_vectors, op9_url_filters, op10_html_extraction)
     return {f.__name__: lambda spark, sf_dir, f=f: f(ship(spark), sf_dir) for f in found}
 
 
