@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import decontam, htmltext, neardup, packing, pii, records, toxicity, urlrules, vectors
+from tallymark.llm import decontam, htmltext, neardup, packing, pii, records, suffixes, toxicity, urlrules, vectors
 from tallymark.session import ship
 
 
@@ -35,6 +35,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", pii.pseudonymised(F.col("text")).alias("p"))
     return docs.select("doc_id", "p.text", F.size("p.found").cast("bigint").alias("n_found"), F.array_join(F.array_sort(F.array_distinct("p.found.kind")), ",").alias("kinds"))
@@ -65,7 +69,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_toxicity, op2_minhash, op3_packing, op5_pii, op6_decontamination, op7_records, op8_vectors, op9_url_filters, op10_html_extraction)
+    found = (op1_toxicity, op2_minhash, op3_packing, op4_suffixes, op5_pii, op6_decontamination, op7_records, op8_vectors, op9_url_filters, op10_html_extraction)
     return {f.__name__: lambda spark, sf_dir, f=f: f(ship(spark), sf_dir) for f in found}
 
 
