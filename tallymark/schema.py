@@ -1,0 +1,8 @@
+"""Schemas that readers give and operators take."""
+
+#: One logged request, or one row of a usage export with its weight.
+CALLS = "call_id string, source string, format string, model string, input_tokens bigint, output_tokens bigint, prompt_excerpt string, output_excerpt string, logged_cost_usd double, timestamp string, weight bigint, ordinal bigint"
+#: One decision with its stated probability and whether it was right.
+DECISIONS = "p double, correct boolean, model string, question string, ordinal bigint"
+#: One call site in source code.
+FINDINGS = "path string, line int, language string, api string, model string, prompt_excerpt string, handling array<string>"
