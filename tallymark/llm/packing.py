@@ -50,12 +50,12 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     schema = pa.schema(fields)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, drops_space).encode
+        encode_all = encoder(path, drops_space).encode_all
         for batch in batches:
             rows: list[tuple] = []
             size = 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py()) + end
+            for doc, ids in zip(batch.column(0).to_pylist(), encode_all(batch.column(1).to_pylist()), strict=True):
+                ids += end
                 n = len(ids) // 4
                 for start, most in binary_pieces(n, length):
                     piece = ids[4 * start : 4 * (start + most)]

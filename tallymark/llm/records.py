@@ -89,7 +89,7 @@ def write_records(docs: DataFrame, uri: str, id_col: str = "doc_id", text_col: s
     ordered = rows.repartitionByRange(shards, F.asc_nulls_first("doc_id"), F.xxhash64("text")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, False).encode
+        encode_all = encoder(path, False).encode_all
         store, folder = _store(uri)
         task = TaskContext.get()
         shard, attempt = task.partitionId(), f"{task.taskAttemptId()}-{uuid.uuid4().hex}"
@@ -97,8 +97,8 @@ def write_records(docs: DataFrame, uri: str, id_col: str = "doc_id", text_col: s
         name, n, total, at = f"{folder}/part-{shard:06d}", 0, 0, 0
         with store.open_output_stream(f"{name}.{attempt}.tmp") as data, store.open_output_stream(f"{name}.{attempt}.tmpi") as index:
             for batch in batches:
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    ids = encode(text.as_py()) + end
+                for doc, ids in zip(batch.column(0).to_pylist(), encode_all(batch.column(1).to_pylist()), strict=True):
+                    ids += end
                     record = framed(payload_of(doc, ids))
                     data.write(record)
                     index.write(index_entry(at, doc, len(ids) // 4))
