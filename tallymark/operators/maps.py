@@ -37,7 +37,7 @@ def build_maps(items: DataFrame) -> DataFrame:
     origins = keyed.filter("origin != ''").select(*keys, "origin").distinct().withColumn("i", place).filter(F.col("i") <= ORIGINS).groupBy(*keys).agg(F.array_sort(F.collect_list("origin")).alias("origins"))
     rows = main.join(kinds, keys, "left").join(few, keys, "left").join(origins, keys, "left")
     n = F.coalesce("n_out", F.lit(0))
-    yes_first = F.concat(*(F.filter("outs", lambda x, v=v: x == v) for v in ("yes", "true")), F.filter("outs", lambda x: ~x.isin("yes", "true")))
+    yes_first = F.concat(F.filter("outs", lambda x: x == "yes"), F.filter("outs", lambda x: x == "true"), F.filter("outs", lambda x: ~x.isin("yes", "true")))
     booleans, numbers = (n > 0) & F.col("booleans"), (n > 0) & ~F.coalesce("booleans", F.lit(False)) & F.col("numbers")
     other = ~F.coalesce(booleans, F.lit(False)) & ~F.coalesce(numbers, F.lit(False))
     as_json = other & F.coalesce(F.substring("first_out", 1, 1).isin("{", "["), F.lit(False))
