@@ -1,0 +1,280 @@
+"""Each operator on small tables: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns, brute force."""
+
+from __future__ import annotations
+
+import collections
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tallymark.llm import decontam, graph, htmltext, neardup, packing, pii, records, suffixes, tokens, toxicity, urlrules, vectors
+
+DOCS = "doc_id bigint, text string, score string, found string"
+ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (None, "no id at all"), (5, "x" * 200_000), (6, "w " * 50_000), (7, "same words here again"), (7, "same words here again"), (8, "same words here again"), (9, "ünï\u00a0cöde\x1cand\x00nul")]
+
+
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, "clash", "clash") for i, t in rows], DOCS)
+
+
+def sentence(rng, n, pool=400):
+    return " ".join(f"w{rng.randrange(pool)}" for _ in range(n))
+
+
+def variants(rng, text, n, changes):
+    out = []
+    for _ in range(n):
+        w = text.split()
+        for _ in range(changes):
+            w[rng.randrange(len(w))] = f"v{rng.randrange(10**6)}"
+        out.append(" ".join(w))
+    return out
+
+
+def near_by_force(rows, words=2, percent=80):
+    def shingles(t):
+        w = (t or "").encode().lower().split()
+        n = min(words, len(w))
+        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set()
+
+    sets = {i: shingles(t) for i, t in rows if i is not None}
+    up = {i: i for i in sets}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b]:
+                both = len(sets[a] & sets[b])
+                if 100 * both >= percent * len(sets[a] | sets[b]):
+                    x, y = top(a), top(b)
+                    up[max(x, y)] = min(x, y)
+    return {i: (len(s), top(i)) for i, s in sets.items()}
+
+
+def test_near_duplicates(spark):
+    rng = random.Random(5)
+    base = sentence(rng, 120)
+    texts = [base, base, *variants(rng, base, 40, 4), *variants(rng, base, 25, 9), *(sentence(rng, rng.randrange(1, 80)) for _ in range(60)), "A b", "a B", "one", None, "", "  "]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs(spark, rows), words=2).collect()}
+    assert got == near_by_force(rows)
+
+
+def test_near_duplicates_odd(spark):
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(docs(spark, ODD), words=2).collect()), key=repr)
+    assert len(got) == len(ODD)
+    assert (None, 3, None, True) in got and (8, 3, 7, False) in got and got.count((7, 3, 7, True)) == 2 and (1, 0, 1, True) in got and (4, 1, 4, True) in got
+    assert neardup.near_duplicates(docs(spark, []), words=2).count() == 0
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 90), (90, 95), (7, 7)], "a bigint, b bigint")
+    got = {r["id"]: r["component"] for r in graph.components(edges).collect()}
+    assert got == {**{i: 0 for i in range(31)}, 90: 90, 95: 90, 100: 90}
+    assert graph.components(edges.limit(0)).count() == 0
+
+
+def passages_by_force(rows, least=50):
+    words = {i: (t or "").encode().split() for i, t in rows}
+    where = collections.defaultdict(set)
+    for i, w in words.items():
+        for k in range(len(w) - least + 1):
+            where[tuple(w[k : k + least])].add(i)
+    out = set()
+    for i, w in words.items():
+        spans = []
+        for k in range(len(w) - least + 1):
+            if len(where[tuple(w[k : k + least])]) > 1:
+                if spans and k <= spans[-1][1]:
+                    spans[-1][1] = k + least
+                else:
+                    spans.append([k, k + least])
+        out |= {(i, a, b - a) for a, b in spans}
+    return out
+
+
+def test_repeated_passages(spark):
+    rng = random.Random(2)
+    p, q = sentence(rng, 55, 10**6), sentence(rng, 140, 10**6)
+    rows = [(i, " ".join([sentence(rng, rng.randrange(0, 60), 10**6), p if i % 3 == 0 else "", q if i % 4 == 0 else q[: len(q) // 2] if i % 5 == 0 else ""])) for i in range(40)]
+    rows += [(50, p), (51, p), (52, "a b " * 200), (53, None), (54, ""), (55, " ".join(p.split()[:49]))]
+    got = {(r["doc_id"], r["start"], r["n_words"]) for r in suffixes.repeated_passages(docs(spark, rows)).collect()}
+    assert got == passages_by_force(rows)
+    assert suffixes.repeated_passages(docs(spark, [])).count() == 0
+    assert suffixes.repeated_passages(docs(spark, ODD)).count() == 0
+    assert suffixes.without("a  b c\nd e", [(1, 2)]) == "a  d e"
+
+
+def test_toxicity(spark):
+    rng = random.Random(3)
+    bad = ["grumblefink", "snotwaffle", "blarghead"]
+    rows, labels = [], []
+    for i in range(400):
+        toxic = i % 4 == 0
+        w = sentence(rng, rng.randrange(20, 120), 300).split()
+        for _ in range(3 * toxic):
+            w.insert(rng.randrange(len(w)), rng.choice(bad))
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(toxic), 1))
+    rows += [(1000, "w1 w2 grumblefinks w3 snotwafffle w4 w5 blargheads w6"), (1001, None), (1002, ""), (1003, "w1 w2 w3 w4")]
+    d, lab = docs(spark, rows), spark.createDataFrame([*labels, (None, 1, 0), (5, None, 0), (4, 1, 1)], "doc_id bigint, toxic int, doc int")
+    model = toxicity.fit(d, lab)
+    got = {r["doc_id"]: r["s"] for r in d.select("doc_id", toxicity.scored(d, model).alias("s")).collect()}
+    assert all(0 <= s <= 1 for s in got.values())
+    out = [i for i, t, _ in labels if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([(got[i] >= 0.5) == (i % 4 == 0) for i in out]) > 0.95
+    assert got[1000] >= 0.5 > got[1003] and got[1001] == got[1002]
+    empty = toxicity.fit(d.limit(0), lab)
+    assert d.limit(0).select(toxicity.scored(d, empty)).count() == 0
+
+
+def test_token_pieces():
+    for name, drops in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        e = tokens.Encoder(tokens.tokenizer_path(name), drops)
+        texts = ["", None, "a\x1c b  c\u00a0  d ", "I'm it's don't,. x'S... 'tis 's  ", "  lead  two\n\n x\t\ty ", "<|endoftext|> a<|endoftext|>b", "é, e\u0301! =\u0338 a.b,c;d x1.5% $$$", "ΑΣ ſ K", "a\nb c\n", "x" * 5000]
+        assert list(e.encode_all(texts)) == e.whole([t or "" for t in texts])
+
+
+def test_packing(spark):
+    assert packing.binary_pieces(2048 + 5) == [(0, 2048), (2048, 4), (2052, 1)] and packing.binary_pieces(0) == []
+    with pytest.raises(ValueError):
+        packing.binary_pieces(5, 3)
+    got = packing.packed(docs(spark, ODD)).collect()
+    e = tokens.encoder(tokens.tokenizer_path(packing.TOKENIZER), True)
+    by_doc = collections.defaultdict(list)
+    for r in got:
+        assert r["length"] & (r["length"] - 1) == 0 and r["ids_crc32"] == zlib.crc32(r["ids"]) and r["offset"] == 0
+        by_doc[r["doc_id"]].append(r)
+    assert len({r["sequence_id"] for r in got}) == len(got)
+    for i, t in ODD:
+        if i != 7:
+            assert b"".join(r["ids"] for r in sorted(by_doc[i], key=lambda r: r["start"])) == e.encode(t) + (1).to_bytes(4, "little")
+    assert packing.packed(docs(spark, [])).count() == 0
+
+
+def test_records(spark, tmp_path):
+    got = records.round_trip(docs(spark, ODD), f"file://{tmp_path}/r", with_ids=True, shards=3).collect()
+    e = tokens.encoder(tokens.tokenizer_path(records.TOKENIZER), False)
+    got.sort(key=lambda r: r["start"])
+    want = sorted(ODD, key=lambda x: (x[0] is not None, x[0] or 0))
+    at = 0
+    for r, (i, t) in zip(got, want, strict=True):
+        ids = e.encode(t) + bytes(4)
+        assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"], bytes(r["ids"])) == (i, at, len(ids) // 4, zlib.crc32(ids), ids)
+        at += len(ids) // 4
+    raw = records.framed(records.payload_of(3, b"\x01\0\0\0"))
+    assert records.record_at(memoryview(raw), 0)[1].tolist() == [1]
+    for k in (0, 9, 14, len(raw) - 1):
+        with pytest.raises(ValueError):
+            records.record_at(memoryview(raw[:k] + bytes([raw[k] ^ 1]) + raw[k + 1 :]), 0)
+    assert records.round_trip(docs(spark, []), f"file://{tmp_path}/e").count() == 0
+
+
+def test_pseudonyms(spark):
+    p = pii.Permutation(b"k")
+    assert sorted(p.of(i, 97, "x") for i in range(97)) == list(range(97))
+    assert all(p.of(p.of(i, 97, "x"), 97, "x", back=True) == i for i in range(97))
+    assert p.text(p.text("aZ9-k", "y"), "y", back=True) == "aZ9-k"
+    card, t = "4041 8949 7460 8795", "card 4041894974608795, mail a.b@c.org, ip 42.144.35.254, tel +1 (415) 555-1234, born 1984-02-29 or 3/14/1999, DE89 3704 0044 0532 0130 00, password=b7db7aa4a5fc"
+    rows = [(1, t), (2, f"again {card} and a.b@c.org"), (3, None), (4, ""), (5, "Nothing 1.2.3 here, 2019 or 4041894974608796 @home 31.02.2001")]
+    got = {r["doc_id"]: r["p"] for r in docs(spark, rows).select("doc_id", pii.pseudonymised(F.col("text")).alias("p")).collect()}
+    assert got[3]["text"] is None and got[4]["text"] == "" and got[5]["text"] == rows[4][1] and got[5]["found"] == []
+    new = got[1]["text"]
+    assert len(new) == len(t) and [f["kind"] for f in got[1]["found"]] == ["card", "email", "address", "phone", "date", "date", "iban", "secret"]
+    assert not any(x in new for x in ("4041894974608795", "a.b@c", "42.144", "555-1234", "1984-02-29", "b7db7"))
+    spans = [new[f["start"] : f["end"]] for f in got[1]["found"]]
+    assert pii.luhn_digit(spans[0][:-1]) == spans[0][-1] and pii.iban_rest(spans[6].replace(" ", "")) == 1
+    assert spans[0] == got[2]["text"].split("again ")[1][:19].replace(" ", "") and spans[1] in got[2]["text"]
+
+
+def test_contamination(spark):
+    rng = random.Random(4)
+    items = [(i, sentence(rng, n)) for i, n in enumerate([13, 40, 5, 1, 0, 25])] + [(None, "null id item"), (9, None)]
+    items[3] = (3, "zqx")
+    rows = []
+    for i in range(80):
+        t = sentence(rng, rng.randrange(0, 150))
+        if i % 3 == 0:
+            w = items[rng.choice([0, 1, 2, 3, 5])][1].split()
+            t = f"{t}! {' -- '.join(w[: rng.randrange(1, len(w) + 1)]).upper()}. {t}"
+        rows.append((i, t))
+    rows += [(100, None), (101, "")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    for chars in (10**6, 100):
+        got = {r["doc_id"]: r["found"] for r in decontam.contamination(docs(spark, rows), bench, automaton_chars=chars).collect()}
+        for i, t in rows:
+            w, hit, who = decontam.words_of(t), set(), set()
+            for k, u in items:
+                for x in decontam.windows_of(decontam.words_of(u)) if k is not None else ():
+                    for a in range(len(w) - len(x) + 1):
+                        if tuple(w[a : a + len(x)]) == x:
+                            hit |= set(range(a, a + len(x)))
+                            who.add(str(k))
+            assert (got[i]["n_words"], got[i]["n_hit"], got[i]["items"]) == (len(w), len(hit), sorted(who))
+            for s, c in zip(got[i]["words"], got[i]["chars"], strict=True):
+                assert decontam.words_of(t[c["start"] : c["end"]]) == w[s["start"] : s["end"]]
+    assert decontam.contamination(docs(spark, rows), bench.limit(0)).filter("found.n_hit > 0").count() == 0
+
+
+def test_vectors(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(700, 16)).astype("f4")
+    x[100:160] = x[3]
+    rows = [(i, v.tolist(), "clash") for i, v in enumerate(x)]
+    bad = [(1000, None, ""), (1001, [0.0] * 16, ""), (1002, [float("nan")] * 16, ""), (1003, [], ""), (1004, [None] * 16, ""), (1005, [1.0], ""), (None, [1.0] * 16, ""), (5, x[5].tolist(), "")]
+    frame = spark.createDataFrame(rows + bad, "vec_id bigint, embedding array<float>, rank string")
+    got = collections.defaultdict(list)
+    for r in vectors.nearest_neighbours(frame, F.col("vec_id") % 20 == 0, shard=200, query_block=20).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    hits = 0
+    for q in range(0, 700, 20):
+        s = x.astype(float) @ x[q].astype(float)
+        want = sorted((-s[i], i) for i in range(700) if i != q)[:20]
+        assert len(got[q]) == 20 and all(abs(s[i] - v) < 1e-9 for i, v in got[q]) and [(-v, i) for i, v in got[q]] == sorted((-v, i) for i, v in got[q])
+        hits += len({i for i, _ in got[q]} & {i for _, i in want})
+    assert set(got) == set(range(0, 700, 20)) and hits / (20 * 35) >= 0.9
+    assert vectors.nearest_neighbours(frame.limit(0), F.lit(True)).count() == 0
+    assert len(vectors.nearest_neighbours(frame.filter("vec_id < 3"), F.lit(True)).collect()) == 6
+
+
+def test_url_rules(spark):
+    urls = ["http://a.net/x", "https://M.Example.NET/en/5", "http://example.com/de/?q", "http://x.example.com/de", "http://b.org/fr/a/b", "net/", None, "", "http://net", "x://a.net?/", "http://anet/", "http://a.net//", "http://" + "a." * 300 + "net/" + "b/" * 300]
+    rows = [(i, u, "clash") for i, u in enumerate(urls)] + [(0, urls[0], "again")]
+    got = urlrules.url_verdicts(spark.createDataFrame(rows, "page_id bigint, url string, rule string"), urlrules.rules_frame(spark)).collect()
+    assert len(got) == len(rows)
+    by = {r["page_id"]: (r["rule"], r["verdict"]) for r in got}
+    net, none = ("net/", "block"), (None, "allow")
+    assert [by[i] for i in range(len(urls))] == [net, ("example.net/en/", "allow"), ("example.com/de/", "block"), none, ("org/fr/", "allow"), none, none, none, none, none, none, net, net]
+    assert urlrules.url_verdicts(spark.createDataFrame(rows, "page_id bigint, url string, rule string").limit(0), urlrules.rules_frame(spark)).count() == 0
+    with pytest.raises(ValueError):
+        urlrules.rules_frame(spark, [("a", "x", "block")])
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header>Site head</header><nav><ul><li><a href="/">Home</a></ul></nav>
+<div class="cookie-notice">We use cookies</div><article><header><h1>Big &amp; bold</h1></header><p>One   two<br>three <b>four</b>.<p>Five &lt;six&gt; &eacute;<script>var x = "<p>";</script></p>
+<aside>See also</aside><form>Mail <input></form><div class="ad">Buy</div><p>Last &#8212; one</p></article><section id="comments"><p>%s</p></section><footer>&copy; us</footer></body></html>""" % ("I disagree with it all. " * 40)
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (PAGE, "Big & bold\nOne two\nthree four.\nFive <six> é\nLast — one"), (None, ""), ("", ""), ("<p>only", "only"), ("a < b and c", "a < b and c"), ("<div>x</div><p>y</p><script>z", "x\ny"),
+        ("<article><p>cut here &am", "cut here &am"), ("<article><p>cut tag</p><fo", "cut tag"), ('<article><p title="a>b">t</p></article>', "t"), ("<!-- <p>no</p> --><p>yes</p>", "yes"), ("<nav>menu</nav>", ""),
+    ],
+)
+def test_main_text(page, text):
+    assert htmltext.main_text(page) == text
+
+
+def test_pages(spark):
+    rows = [(1, "u", "<article><p>a\u00e9</p></article>", "clash"), (1, "u", None, ""), (None, None, "", "")]
+    got = htmltext.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")).collect()
+    assert sorted((r["text"], r["n_chars"]) for r in got) == [("", 0), ("", 0), ("aé", 2)]
