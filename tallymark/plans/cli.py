@@ -15,7 +15,7 @@ from tallymark.operators.audit import Audit
 from tallymark.operators.pricing import CONSERVATIVE, OPTIMISTIC, load_prices
 from tallymark.operators.scoring import check_thresholds
 from tallymark.plans import report
-from tallymark.session import ship
+from tallymark.session import ship, staged
 from tallymark.sources.calls import read_all, read_decisions
 
 
@@ -61,6 +61,7 @@ def _write(path: str | None, text: str) -> None:
 def _audit(spark: SparkSession, o: argparse.Namespace) -> int:
     check_thresholds(o.min_score, o.maybe_threshold)
     calls, skipped = read_all(spark, o.paths, o.format)
+    calls = staged(calls)
     if calls.isEmpty():
         return 1
     audit = Audit(spark, calls, load_prices(o.price_file) if o.price_file else None, o.min_score, o.maybe_threshold).cache()

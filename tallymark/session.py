@@ -6,7 +6,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -25,3 +25,14 @@ def ship(spark: SparkSession) -> SparkSession:
     context.addPyFile(to)
     context._tallymark_shipped = True
     return spark
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the checkpoint folder: what reads it plans over its rows, not over how they were read.
+
+    The folder is the one the cluster names; where none is set, on one machine, a temporary one.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tallymark-')}")
+    return df.checkpoint()

@@ -175,9 +175,12 @@ def normalised(records: DataFrame, fmt: Column) -> DataFrame:
         return F.when(fmt == "litellm", by["litellm"][name]).when(fmt == "langfuse", by["langfuse"][name]).otherwise(by["generic"][name])
 
     source = F.concat("file", F.lit("#L"), F.col("ordinal").cast("string"))
-    return records.select(
+    rows = records.select(
         F.coalesce(F.try_variant_get(field(v, "id", "request_id", "row_id"), "$", "string"), source).alias("call_id"), source.alias("source"), fmt.alias("format"), pick("model").alias("model"), pick("input_tokens").alias("input_tokens"), pick("output_tokens").alias("output_tokens"),
-        clipped(pick("prompt")).alias("prompt_excerpt"), clipped(pick("output"), limit=200).alias("output_excerpt"), pick("cost").alias("logged_cost_usd"), pick("time").alias("timestamp"), pick("weight").alias("weight"), F.col("ordinal"),
+        pick("prompt").alias("prompt"), pick("output").alias("output"), pick("cost").alias("logged_cost_usd"), pick("time").alias("timestamp"), pick("weight").alias("weight"), "ordinal",
+    )
+    return rows.select(
+        "call_id", "source", "format", "model", "input_tokens", "output_tokens", clipped(F.col("prompt")).alias("prompt_excerpt"), clipped(F.col("output"), limit=200).alias("output_excerpt"), "logged_cost_usd", "timestamp", "weight", "ordinal",
     )
 
 

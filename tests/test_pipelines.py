@@ -17,6 +17,7 @@ from tallymark.operators.pricing import load_prices, model_prices, price_table,
 from tallymark.operators.scoring import check_thresholds
 from tallymark.plans import report
 from tallymark.plans.cli import main
+from tallymark.session import staged
 from tallymark.sources.calls import read_all, read_calls, read_decisions
 
 
@@ -64,7 +65,7 @@ def test_other_formats(spark, logs):
 
 def test_audit_and_report(spark, logs):
     calls, skipped = read_all(spark, [str(logs)])
-    audit = Audit(spark, calls)
+    audit = Audit(spark, staged(calls)).cache()
     t = audit.totals().first()
     assert t["total_calls"] == 3 + 1 + 31 + 2 and skipped.first()[0] == 1
     assert {r["verdict"]: r["calls"] for r in audit.by_verdict.collect()}["insufficient"] == 31
