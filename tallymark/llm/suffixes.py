@@ -58,22 +58,30 @@ class Hasher:
 
 
 def runs(h: np.ndarray, n: int) -> np.ndarray:
-    """A hash of every n words, by doubling: runs of a power of two from halves, the rest from two that overlap."""
-    if len(h) < n:
-        return np.zeros(0, np.uint64)
+    """A hash of every n words along the last axis, by doubling: runs of a power of two from halves, the rest from two that overlap."""
+    if h.shape[-1] < n:
+        return np.zeros((*h.shape[:-1], 0), np.uint64)
     size, x = 1, h
     while 2 * size <= n:
-        x = _mixed(x[: len(x) - size] * _P + x[size:])
+        x = _mixed(x[..., : x.shape[-1] - size] * _P + x[..., size:])
         size *= 2
-    return x if size == n else _mixed(x[: len(h) - n + 1] * _P + x[n - size : n - size + len(h) - n + 1])
+    return x if size == n else _mixed(x[..., : h.shape[-1] - n + 1] * _P + x[..., n - size : n - size + h.shape[-1] - n + 1])
 
 
 def minimisers(grams: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(position, first, last): the positions that are lowest (leftmost on ties) of some window of that many grams, and the starts of those windows."""
     if len(grams) < window:
         return (np.zeros(0, np.int64),) * 3
-    view = np.lib.stride_tricks.sliding_window_view(grams, window)
-    lowest = np.concatenate([view[at : at + 65536].argmin(1) + np.arange(at, min(at + 65536, len(view))) for at in range(0, len(view), 65536)])
+
+    def lower(at: np.ndarray, by: int) -> np.ndarray:
+        a, b = at[: len(at) - by], at[by:]
+        return np.where(grams[b] < grams[a], b, a)
+
+    lowest, size = np.arange(len(grams)), 1
+    while 2 * size <= window:
+        lowest, size = lower(lowest, size), 2 * size
+    if size < window:
+        lowest = lower(lowest, window - size)
     at, first = np.unique(lowest, return_index=True)
     return at, first, np.append(first[1:], len(lowest)) - 1
 
@@ -169,30 +177,30 @@ def _matched(suffixes: DataFrame, side: str, reach: int) -> DataFrame:
     return ordered.mapInPandas(run, f"gram bigint, {side} binary, far int")
 
 
+def _padded(contexts: list[bytes], reach: int) -> np.ndarray:
+    """Contexts of up to ``reach`` words as rows of that many."""
+    return np.frombuffer(b"".join(c.ljust(4 * reach, b"\0") for c in contexts), "<u4").reshape(len(contexts), reach).astype(np.uint64)
+
+
 def _stretches(rows: DataFrame, least: int, gram: int) -> DataFrame:
-    """(hash, doc_id, start) of every stretch of ``least`` words within a match, each from the position it belongs to."""
+    """(hash, doc_id, start) of every stretch of ``least`` words within a match, each from the position it belongs to.
+
+    The run at the position counts as one word, and where it stands in the stretch is part of the hash.
+    """
+    reach = least - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lefts = np.arange(reach, -1, -1)
         for batch in batches:
-            c = {k: batch.column(k) for k in batch.schema.names}
-            hashes, docs, starts = [], [], []
-            for doc, pos, near, wide, g, right, left, far_right, far_left in zip(*(c[k].to_pylist() for k in ("doc_id", "pos", "near", "wide", "gram", "right", "left", "far_right", "far_left")), strict=True):
-                most_left, most_right = min(far_left, wide), far_right
-                first = max(near, least - gram - most_right)  # words to the left at least
-                if first > most_left:
-                    continue
-                after, before = np.frombuffer(right, "<u4").astype(np.uint64), np.frombuffer(left, "<u4").astype(np.uint64)
-                words = np.concatenate([before[most_left - 1 :: -1] if most_left else before[:0], np.array([g], np.int64).view(np.uint64), after[:most_right]])
-                # the run counts as one word; where it stands in a stretch is part of the hash
-                own = runs(words, least - gram + 1)
-                lefts = most_left - np.arange(len(own))
-                keep = (lefts >= first) & (lefts >= 0)
-                own, lefts = own[keep], lefts[keep]
-                hashes.append(_mixed(own * _P + lefts.astype(np.uint64)).view(np.int64))
-                starts.append(pos - lefts)
-                docs.append(np.full(len(own), doc))
-            if hashes:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (hashes, docs, starts)], ["hash", "doc_id", "start"])
+            number = {k: batch.column(k).to_numpy() for k in ("doc_id", "pos", "near", "wide", "gram", "far_right", "far_left")}
+            before, after = _padded(batch.column("left").to_pylist(), reach)[:, ::-1], _padded(batch.column("right").to_pylist(), reach)
+            own = runs(np.hstack([before, number["gram"].view(np.uint64)[:, None], after]), reach + 1)
+            least_left = np.maximum(number["near"], reach - number["far_right"])
+            most_left = np.minimum(number["wide"], number["far_left"])
+            which, column = np.nonzero((lefts >= least_left[:, None]) & (lefts <= most_left[:, None]))
+            hashes = _mixed(own[which, column] * _P + lefts[column].astype(np.uint64)).view(np.int64)
+            columns = hashes, number["doc_id"][which], number["pos"][which] - lefts[column]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["hash", "doc_id", "start"])
 
     return rows.mapInArrow(run, "hash bigint, doc_id bigint, start bigint")
 
@@ -222,7 +230,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     right = _matched(suffixes, "right", reach).withColumnRenamed("far", "far_right")
     left = _matched(suffixes, "left", reach).withColumnRenamed("far", "far_left")
     matched = suffixes.join(right, ["gram", "right"]).join(left, ["gram", "left"]).filter(F.col("far_left") + F.col("far_right") >= reach)
-    stretches = written(_stretches(matched, least, gram), "stretches")
+    stretches = written(_stretches(matched.select("doc_id", "pos", "near", "wide", "gram", "right", "left", "far_right", "far_left"), least, gram), "stretches")
     confirmed = stretches.groupBy("hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("hash", "low")
     hits = stretches.join(confirmed, "hash").join(texts.filter("rep < last").select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_anti")
     order = Window.partitionBy("doc_id").orderBy("start")
