@@ -114,8 +114,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
     All columns of docs are kept; one named like ``out_col`` is replaced. A null or wordless text has no
     words and no hits. Items with a null id or text, or without words, give no window; equal items are all
-    listed. An empty benchmark finds nothing. The benchmark is cut into parts of bounded size, and docs pass
-    through one scan for each part.
+    listed. An empty benchmark finds nothing. The benchmark goes through the driver in parts of bounded size;
+    each part is one automaton, and every text is scanned with each, so a process holds the whole benchmark.
     """
     spark = docs.sparkSession
     automata = [spark.sparkContext.broadcast(Automaton(p, window)) for p in _shards(benchmark, item_col, item_text_col, automaton_chars)]
