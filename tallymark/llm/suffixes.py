@@ -10,7 +10,8 @@ content alone decides.
    Equal suffixes collapse before the sort, and the rows at the ends of a range count as fully matched, which
    the last step puts right.
 3. Matches of at least ``least`` words in all are confirmed exactly: every stretch of ``least`` words in them
-   is counted by document, and confirmed stretches are joined to spans.
+   is counted by document, and confirmed stretches are joined to spans, each with its parts
+   that hold no word of a stretch seen here first.
 
 Documents with equal texts collapse before all this and come back as wholes.
 """
@@ -206,11 +207,14 @@ def _stretches(rows: DataFrame, least: int, gram: int) -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, gram: int = GRAM) -> DataFrame:
-    """(doc_id, start, n_words, first): maximal spans of words all of whose stretches of ``least`` words occur in another document.
-
-    Words are cut at ASCII space; start counts words from 0. ``first`` says that no stretch of the span occurs
-    in a document with a smaller id (of a document whose whole text has copies: that no earlier copy exists), so
-    that dropping the spans that are not first leaves a copy of everything. Documents
+    """(doc_id, start, n_words, first, later): maximal spans of words all of whose stretches of ``least`` words occur in another document.
+
+    Words are cut at ASCII space; start counts words from 0. ``later`` holds the parts (start, n_words) of the
+    span whose words lie only in stretches that a document with a smaller id holds (of a document whose whole
+    text has an earlier copy: all of it); a part may be shorter than ``least`` words. Dropping the later parts
+    leaves every repeated stretch whole in the document of the smallest id that holds it. ``first`` says that
+    the later parts are not the whole span, so dropping only spans that are not first loses nothing either,
+    but leaves the later parts of mixed spans. Documents
     without such a passage have no row, nor have null, empty and shorter texts; repeats within one document
     alone do not count. Rows without an id take no part; rows with one id and one text are one document. Other
     columns are left out. An empty table gives no row.
@@ -219,7 +223,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     anchors = written(_anchors(rows, least, gram), "anchors").filter(F.col("n_words") >= least)
     texts = written(anchors.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.first("n_words").alias("n_words"), F.first("grams").alias("grams")), "texts")
     copies = anchors.select("doc_id", "t1", "t2").join(texts.filter("rep < last").select("t1", "t2", "rep", "n_words"), ["t1", "t2"]).distinct()
-    wholes = copies.select("doc_id", F.lit(0).cast("bigint").alias("start"), "n_words", (F.col("doc_id") == F.col("rep")).alias("first"))
+    copy = F.col("doc_id") != F.col("rep")
+    wholes = copies.select("doc_id", F.lit(0).cast("bigint").alias("span"), F.lit(0).cast("bigint").alias("start"), F.col("n_words").alias("end"), F.when(copy, 0).cast("bigint").alias("low"), F.when(copy, F.col("n_words")).alias("high"))
 
     kept = texts.select("rep", "t1", F.explode("grams").alias("gram"))
     shared = kept.groupBy("gram").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("gram")
@@ -232,11 +237,21 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     matched = suffixes.join(right, ["gram", "right"]).join(left, ["gram", "left"]).filter(F.col("far_left") + F.col("far_right") >= reach)
     stretches = written(_stretches(matched.select("doc_id", "pos", "near", "wide", "gram", "right", "left", "far_right", "far_left"), least, gram), "stretches")
     confirmed = stretches.groupBy("hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("hash", "low")
-    hits = stretches.join(confirmed, "hash").join(texts.filter("rep < last").select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_anti")
-    order = Window.partitionBy("doc_id").orderBy("start")
-    ends = hits.select("doc_id", "start", (F.col("low") < F.col("doc_id")).alias("later")).withColumn("new", (F.col("start") - F.lag("start").over(order) > least) | F.lag("start").over(order).isNull())
-    spans = ends.withColumn("span", F.sum(F.col("new").cast("int")).over(order)).groupBy("doc_id", "span").agg(F.min("start").alias("start"), (F.max("start") - F.min("start") + least).alias("n_words"), (~F.bool_or("later")).alias("first"))
-    return wholes.union(spans.select("doc_id", "start", "n_words", "first"))
+    hits = stretches.join(confirmed, "hash").join(texts.filter("rep < last").select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_anti").select("doc_id", "start", (F.col("low") < F.col("doc_id")).alias("later"))
+    # of the words of a later stretch, those in no first stretch around it are one run, maybe an empty one
+    by_doc, own = Window.partitionBy("doc_id"), F.when(~F.col("later"), F.col("start"))
+    forward, earlier = by_doc.orderBy("start"), by_doc.orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    near = hits.withColumn("before", F.last(own, True).over(forward)).withColumn("after", F.last(own, True).over(by_doc.orderBy(F.desc("start"))))
+    low, high = F.greatest("start", F.col("before") + least), F.least(F.col("start") + least, "after")
+    runs_of = near.withColumn("low", F.when(F.col("later") & (low < high), low)).withColumn("high", F.when(F.col("low").isNotNull(), high))
+    new_span = F.coalesce(F.col("start") - F.lag("start").over(forward) > least, F.lit(True))
+    new_part = F.col("low").isNotNull() & F.coalesce(F.col("low") > F.last("high", True).over(earlier), F.lit(True))
+    marked = runs_of.withColumn("new_span", new_span.cast("int")).withColumn("new_part", new_part.cast("int"))
+    numbered = marked.withColumn("span", F.sum("new_span").over(forward)).withColumn("part", F.sum("new_part").over(forward))
+    parts = numbered.groupBy("doc_id", "span", "part").agg(F.min("start").alias("start"), (F.max("start") + least).alias("end"), F.min("low").alias("low"), F.max("high").alias("high"))
+    later = F.when(F.col("low").isNotNull(), F.struct(F.col("low").alias("start"), (F.col("high") - F.col("low")).alias("n_words")))
+    spans = parts.drop("part").unionByName(wholes).groupBy("doc_id", "span").agg(F.min("start").alias("start"), (F.max("end") - F.min("start")).alias("n_words"), F.coalesce(F.sum(F.col("high") - F.col("low")), F.lit(0)).alias("n_later"), F.sort_array(F.collect_list(later)).alias("later"))
+    return spans.select("doc_id", "start", "n_words", (F.col("n_later") < F.col("n_words")).alias("first"), "later")
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:

@@ -113,6 +113,30 @@ def test_repeated_passages(spark):
     assert suffixes.without("a  b c\nd e", [(1, 2)]) == "a  d e"
 
 
+def checked_passages(spark, rows):
+    """The spans, and how often each repeated stretch is left without their later parts, once brute force agrees."""
+    got = sorted(((r["doc_id"], r["start"], r["n_words"], r["first"], [tuple(x) for x in r["later"]]) for r in suffixes.repeated_passages(docs(spark, rows)).collect()))
+    assert {g[:3] for g in got} == passages_by_force(rows) and len({g[:3] for g in got}) == len(got)
+    stretches = lambda t: {tuple(w[k : k + 50]) for w in [t.split()] for k in range(len(w) - 49)}
+    times = collections.Counter(s for _, t in rows for s in stretches(t))
+    kept = []
+    for dropped in ({i: [x for g in got if g[0] == i for x in g[4]] for i, _ in rows}, {i: [g[1:3] for g in got if g[0] == i and not g[3]] for i, _ in rows}):
+        kept.append(collections.Counter(s for i, t in rows for s in stretches(suffixes.without(t, dropped[i]))))
+        assert all(kept[-1][s] for s, n in times.items() if n > 1)
+    return got, {s: kept[0][s] for s, n in times.items() if n > 1}
+
+
+def test_first_passages_stay(spark):
+    rng = random.Random(7)
+    a, b, c = (sentence(rng, n, 10**6) for n in (60, 70, 200))
+    x, y = variants(rng, c, 2, 1)
+    rows = [(1, a), (2, f"{a} {b}"), (3, b), (10, x), (11, c), (12, f"{c} more"), (13, f"{y} words")]
+    rows += [(20 + i, t) for i, t in enumerate(variants(rng, sentence(rng, 300, 10**6), 8, 3))]
+    got, kept = checked_passages(spark, rows)
+    assert [g for g in got if g[0] < 4] == [(1, 0, 60, True, []), (2, 0, 130, True, [(0, 60)]), (3, 0, 70, False, [(0, 70)])]
+    assert all(kept[tuple(t.split()[:50])] == 1 for t in (a, b))
+
+
 def test_toxicity(spark):
     rng = random.Random(3)
     bad = ["grumblefink", "snotwaffle", "blarghead"]
