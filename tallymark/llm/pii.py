@@ -96,7 +96,7 @@ def iban_rest(value: str) -> int:
 
 def card(p: Permutation, value: str) -> str | None:
     d = _digits(value)
-    if not 13 <= len(d) <= 19 or d[0] == "0" or luhn_digit(d[:-1]) != d[-1]:
+    if not 13 <= len(d) <= 19 or luhn_digit(d[:-1]) != d[-1]:
         return None
     new = d[0] + str(p.of(int(d[1:-1]), 10 ** (len(d) - 2), f"card{len(d)}")).zfill(len(d) - 2)
     return _refilled(value, new + luhn_digit(new))
@@ -116,9 +116,20 @@ def address(p: Permutation, value: str) -> str | None:
     parts = value.split(".")
     if any(int(x) > 255 or len(x) > 1 and x[0] == "0" for x in parts):
         return None
-    number = int.from_bytes(bytes(map(int, parts)), "big")
-    ok = lambda n: 0 < n >> 24 < 224 and n >> 24 != 127  # noqa: E731  hosts that are not loopback or multicast
-    return ".".join(map(str, p.of(number, 1 << 32, "ip", ok).to_bytes(4, "big"))) if ok(number) else None
+    # octets keep their width, the first also its class: 0 and 127 as they are, hosts, multicast and above
+    octets = [{1: range(10), 2: range(10, 100), 3: range(100, 256)}[len(x)] for x in parts]
+    a = int(parts[0])
+    octets[0] = [a] if a in (0, 127) else range(224, 256) if a >= 224 else [n for n in octets[0] if 0 < n < 224 and n != 127]
+    number, total = 0, 1
+    for x, values in zip(parts, octets, strict=True):
+        number = number * len(values) + values.index(int(x))
+        total *= len(values)
+    number = p.of(number, total, f"ip{'.'.join(str(len(x)) for x in parts)}:{octets[0][0]}")
+    new = []
+    for values in reversed(octets):
+        number, i = divmod(number, len(values))
+        new.append(str(values[i]))
+    return ".".join(reversed(new))
 
 
 def phone(p: Permutation, value: str) -> str | None:
@@ -126,9 +137,11 @@ def phone(p: Permutation, value: str) -> str | None:
     m = re.match(r"\+([0-9]{1,3})[^0-9]", value)
     code = m[1] if m else "" if value[0] != "+" else d[: len(d) - 10] or d[:1]
     rest = d[len(code) :]
-    if not 8 <= len(d) <= 15 or len(rest) < 6 or rest[0] in "01":
+    if not 8 <= len(d) <= 15:
         return None
-    new = p.of(int(rest), 10 ** len(rest), f"phone{code}", lambda n: n // 10 ** (len(rest) - 1) >= 2)
+    # numbers that begin with 0 or 1 are permuted among such numbers, the others among the others
+    low, lead = rest[0] in "01", 10 ** (len(rest) - 1)
+    new = p.of(int(rest), 10 * lead, f"phone{code}", lambda n: (n < 2 * lead) == low)
     return _refilled(value, code + str(new).zfill(len(rest)))
 
 
@@ -192,7 +205,7 @@ KINDS: list[tuple[str, tuple[str, ...], re.Pattern, Callable[[Permutation, str],
     ("address", (), re.compile(r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])"), address),
     ("date", (), re.compile(r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}([./])[0-9]{1,2}\1[0-9]{4})(?![0-9A-Za-z])"), date),
     ("social", ("-",), re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"), social),
-    ("phone", (), re.compile(r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}|\([2-9][0-9]{2}\) ?[0-9]{3}[ .-][0-9]{4}|[2-9][0-9]{2}[.-][0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z])"), phone),
+    ("phone", (), re.compile(r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z])"), phone),
 ]
 _DIGIT = re.compile("[0-9]")
 
@@ -201,9 +214,11 @@ def found(text: str, p: Permutation) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, pseudonym) of the values in a text, in order, without overlaps."""
     out: list[tuple[int, int, str, str]] = []
 
-    def add(start: int, end: int, kind: str, new: str | None) -> None:
-        if new is not None and not any(start < e and s < end for s, e, _, _ in out):
+    def add(start: int, end: int, kind: str, new: str | None) -> bool:
+        free = new is not None and not any(start < e and s < end for s, e, _, _ in out)
+        if free:
             out.append((start, end, kind, new))
+        return free
 
     if "=" in text or ":" in text:
         for m in _VALUE.finditer(text):
@@ -214,7 +229,12 @@ def found(text: str, p: Permutation) -> list[tuple[int, int, str, str]]:
         if any(x in text for x in needs) if needs else digits:
             for m in pattern.finditer(text):
                 g = 1 if kind == "key" else 0
-                add(m.start(g), m.end(g), kind, make(p, m[g]))
+                if add(m.start(g), m.end(g), kind, make(p, m[g])) or kind not in ("card", "phone"):
+                    continue
+                # other numbers may follow the value: try what ends at each separator, longest first
+                for end in (i for i in range(m.end() - 1, m.start(), -1) if text[i] in " .-"):
+                    if (part := pattern.fullmatch(text, m.start(), end)) and add(m.start(), end, kind, make(p, part[0])):
+                        break
     return sorted(out)
 
 

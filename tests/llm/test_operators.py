@@ -219,6 +219,49 @@ def test_pseudonyms(spark):
     assert spans[0] == got[2]["text"].split("again ")[1][:19].replace(" ", "") and spans[1] in got[2]["text"]
 
 
+@pytest.mark.parametrize(
+    ("kind", "value"),
+    [
+        ("phone", "+1 (017) 555-7713"), ("phone", "+1 (155) 555-7713"), ("phone", "(017) 555-7713"), ("phone", "017-555-7713"), ("phone", "+49 151 23456789"), ("phone", "+86 138 1234 5678"),
+        ("phone", "+55 11 91234-5678"), ("phone", "+39 06 6982 1234"), ("phone", "+44 20 7946 0958"), ("phone", "+4915123456789"), ("phone", "+1 (415) 555-1234"),
+        ("address", "248.40.198.62"), ("address", "224.0.0.251"), ("address", "255.255.255.255"), ("address", "127.10.20.30"), ("address", "0.12.34.56"), ("address", "8.88.188.8"), ("address", "100.99.1.10"),
+        ("card", "0004049893760018"), ("card", "0404 1894 9746 0877"), ("card", "4041 8949 7460 8795"),
+    ],
+)
+def test_values_of_every_form(kind, value):
+    p = pii.Permutation(b"k")
+    if kind == "card" and value[0] == "0":
+        value = value[:-1] + pii.luhn_digit("".join(c for c in value[:-1] if c.isdigit()))
+    text = f"see {value}, please"
+    [(start, end, found, new)] = pii.found(text, p)
+    if found == "card" and value[0] == "+":  # the digits of this phone pass as a card's
+        value = value[1:]
+    assert text[start:end] == value and found in (kind, "card") and new != value
+    shape = lambda v: "".join("9" if c.isdigit() else c for c in v)
+    assert shape(new) == shape(value)
+    if kind == "card":
+        digits = "".join(c for c in new if c.isdigit())
+        assert pii.luhn_digit(digits[:-1]) == digits[-1]
+    if kind == "address":
+        a, b = (int(v.split(".")[0]) for v in (value, new))
+        assert all(int(x) < 256 for x in new.split(".")) and (a >= 224) == (b >= 224) and (a in (0, 127)) == (b in (0, 127))
+
+
+def test_values_before_other_numbers():
+    p = pii.Permutation(b"k")
+    for value, then, kinds in (("+1 (826) 555-4081", " 190.137.223.204", ["phone", "address"]), ("+1 (826) 555-4081", " 2019 12", ["phone"]), ("4041 8949 7460 8795", " 12/27", ["card"])):
+        got = pii.found(value + then, p)
+        assert [x[2] for x in got] == kinds and got[0][0] == 0 and got[0][1] >= len(value)
+
+
+def test_pseudonyms_differ():
+    p = pii.Permutation(b"k")
+    values = [f"9.{i}.7.{j}" for i in range(10) for j in range(10)] + [f"{a}.1.2.3" for a in range(256)]
+    assert len({pii.address(p, v) for v in values}) == len(values)
+    values = [f"+1 (0{i:02d}) 555-7713" for i in range(100)] + [f"+1 (9{i:02d}) 555-7713" for i in range(100)]
+    assert len({pii.phone(p, v) for v in values}) == len(values)
+
+
 def test_contamination(spark):
     rng = random.Random(4)
     items = [(i, sentence(rng, n)) for i, n in enumerate([13, 40, 5, 1, 0, 25])] + [(None, "null id item"), (9, None)]
