@@ -1,22 +1,23 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines, one for each block-level run of text. Lines inside menus, headers, footers,
-sidebars, notices, adverts, forms and reader comments weigh nothing; the others weigh their length. Weights
-are summed over sliding windows of lines; the text runs from where the sums surge to where they dive back
-to nothing, and of all such runs the heaviest is the body, together with the runs its article element spans.
+sidebars, notices, adverts, forms and reader comments are page furniture and left out before anything is
+measured; the others weigh their length. A block is a run of lines that only furniture parts and that lie all in
+one article or main element or all in none. If the heaviest block lies in such an element, the text is that of
+these elements; otherwise it is all that is not furniture.
 """
 
 from __future__ import annotations
 
+import functools
 import html
+import itertools
 import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Lines in a sliding window.
-BLOCK = 3
 #: Elements whose text never shows as page text.
 HIDDEN = frozenset("script style noscript template head title textarea select option button svg math iframe object canvas datalist audio video".split())
 #: Elements that hold page furniture.
@@ -27,31 +28,44 @@ BLOCKS = frozenset(
 )
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Class, id and role words that mark furniture, as whole words between hyphens, underscores and spaces.
+#: Class, id and role names that mark furniture: as whole names, or before or after the words below.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo nav navbar navigation menu menubar breadcrumb breadcrumbs footer sidebar aside widget related share sharing social cookie cookies consent notice popup modal newsletter subscribe signup login comment comments disqus respond replies pagination pager toolbar masthead contentinfo complementary search".split()
 )
+#: After a mark and a hyphen, words that tell how a page is laid out or what state it is in: no furniture.
+STATES = frozenset("open opened closed enabled disabled on off active inactive free left right layout page content main article result results".split())
+#: Words that a mark may follow: site-footer, post-comments.
+PLACES = frozenset("site page main global top bottom primary secondary post article entry blog".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|</[^>]*(?:>|\Z)", re.S)
 _MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _RAW_END = {n: re.compile(rf"</{n}(?=[\s/>]|\Z)", re.I) for n in ("script", "style", "textarea", "title", "noscript", "iframe")}
 _SPACE = re.compile(r"\s+")
 
 
+@functools.lru_cache(4096)
+def _marked(name: str) -> bool:
+    """Whether a class, id or role name says what furniture it is; has-sidebar or no-ads does not."""
+    first, *rest = [x for x in re.split("[_-]+", name) if x] or [""]
+    if first in MARKS:
+        return STATES.isdisjoint(rest)
+    return first in PLACES and len(rest) == 1 and rest[0] in MARKS
+
+
 def _furniture(name: str, attributes: str, in_article: bool) -> bool:
     if name in FURNITURE or name == "header" and not in_article:
         return True
     if name in ("body", "html", "main", "article") or "=" not in attributes:
         return False
-    return any(w in MARKS for m in _MARK.finditer(attributes) for w in re.split(r"[\s_-]+", (m[1] or m[2] or m[3] or "").lower()))
+    return any(_marked(w) for m in _MARK.finditer(attributes) for w in (m[1] or m[2] or m[3] or "").lower().split())
 
 
-def lines_of(page: str) -> list[tuple[str, bool, bool]]:
-    """(text, is furniture, is in an article or main element) of each line, in page order, empty lines left out."""
-    out: list[tuple[str, bool, bool]] = []
+def lines_of(page: str) -> list[tuple[str, bool, int]]:
+    """(text, is furniture, number of the outermost article or main element or 0) of each line, in page order, empty lines left out."""
+    out: list[tuple[str, bool, int]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, hidden, furniture, article: each with what it inherits
-    hidden = furniture = article = False
-    at = 0
+    stack: list[tuple[str, bool, bool, int]] = []  # name, hidden, furniture, article: each with what it inherits
+    hidden = furniture = False
+    article = articles = at = 0
 
     def flush() -> None:
         if parts:
@@ -83,7 +97,7 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
                     del stack[i:]
-                    hidden, furniture, article = stack[-1][1:] if stack else (False, False, False)
+                    hidden, furniture, article = stack[-1][1:] if stack else (False, False, 0)
                     break
                 if stack[i][0] in ("article", "main", "body") and name not in ("body", "html", "article", "main"):
                     break  # a stray end tag closes nothing outside its section
@@ -92,11 +106,15 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
             continue
         if name == "p" and stack and stack[-1][0] == "p":
             stack.pop()
-            hidden, furniture, article = stack[-1][1:] if stack else (False, False, False)
+            hidden, furniture, article = stack[-1][1:] if stack else (False, False, 0)
         if name == "body":
             stack.clear()
-            hidden = furniture = article = False
-        stack.append((name, hidden or name in HIDDEN, furniture or _furniture(name, attributes, article), article or name in ("article", "main")))
+            hidden = furniture = False
+            article = 0
+        own = _furniture(name, attributes, article > 0)
+        if not article and name in ("article", "main"):
+            article = articles = articles + 1
+        stack.append((name, hidden or name in HIDDEN, furniture or own, article))
         _, hidden, furniture, article = stack[-1]
         if name in _RAW_END:
             end = _RAW_END[name].search(page, at)
@@ -105,28 +123,12 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
     return out
 
 
-def main_text(page: str | None, block: int = BLOCK) -> str:
-    """The main text: blocks joined by one newline; empty for null, empty or textless pages."""
-    lines = lines_of(page or "")
-    inside = any(a and not f for _, f, a in lines)
-    weights = [0 if f or inside and not a else len(t) for t, f, a in lines]
-    sums, total = [], 0
-    for i, w in enumerate(weights):  # over the window of lines that ends here
-        total += w - (weights[i - block] if i >= block else 0)
-        sums.append(total)
-    runs: list[tuple[int, int, int]] = []  # weight, surge, dive
-    start = None
-    for i, s in enumerate([*sums, 0]):
-        if s and start is None:
-            start = i
-        elif not s and start is not None:
-            runs.append((sum(weights[start:i]), start, i))
-            start = None
-    if not runs:
-        return ""
-    best = max(runs, key=lambda r: (r[0], -r[1]))
-    kept = runs if inside else [best]
-    return "\n".join(lines[i][0] for _, a, b in kept for i in range(a, b) if weights[i])
+def main_text(page: str | None) -> str:
+    """The main text: lines joined by one newline; empty for null, empty or textless pages."""
+    lines = [(text, article) for text, furniture, article in lines_of(page or "") if not furniture]
+    blocks = [(sum(len(text) for text, _ in block), article) for article, block in itertools.groupby(lines, key=lambda x: x[1])]
+    bound = bool(blocks) and max(blocks, key=lambda b: b[0])[1] > 0
+    return "\n".join(text for text, article in lines if article or not bound)
 
 
 def extracted(page: Column) -> Column:

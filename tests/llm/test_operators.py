@@ -341,6 +341,21 @@ def test_main_text(page, text):
     assert htmltext.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<body><div><p>First half.</p><aside><p>See<p>also<p>this</aside><form>a<br>b<br>c<br>d</form><p>The other half, longer.</p></div></body>", "First half.\nThe other half, longer."),
+        ("<body><div><p>First half.</p><aside><p>See<p>also<p>this</aside><p>The other half, longer.</p></div><nav>a<p>b<p>c<p>d</nav><p>End</body>", "First half.\nThe other half, longer.\nEnd"),
+        ("<body><div><p>The body of the page, long.</p><p>More of it.</p></div><section><article><h3>Card</h3></article><article>Teaser</article></section></body>", "The body of the page, long.\nMore of it.\nCard\nTeaser"),
+        ("<body><p>Chrome</p><article><p>The body of the page.</p></article><p>Chrome</p><article>Next</article></body>", "The body of the page.\nNext"),
+        *((f'<body><div class="{c}"><p>Body text</p><div class="sidebar">no</div></div></body>', "Body text") for c in ("content has-sidebar", "no-sidebar", "with_comments", "content-sidebar-wrap", "sidebar-right", "ad-free", "search-results", "js-nav")),
+        *((f'<body><p>Body text</p><div class="x {c}"><p>no</div></body>', "Body text") for c in ("ad", "ad-slot", "cookie-notice", "sidebar", "sidebar__inner", "site-footer", "main_nav", "post-comments", "Related-Posts")),
+    ],
+)
+def test_main_text_of_other_shapes(page, text):
+    assert htmltext.main_text(page) == text
+
+
 def test_pages(spark):
     rows = [(1, "u", "<article><p>a\u00e9</p></article>", "clash"), (1, "u", None, ""), (None, None, "", "")]
     got = htmltext.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")).collect()
