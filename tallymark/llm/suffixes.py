@@ -210,9 +210,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """(doc_id, start, n_words, first, later): maximal spans of words all of whose stretches of ``least`` words occur in another document.
 
     Words are cut at ASCII space; start counts words from 0. ``later`` holds the parts (start, n_words) of the
-    span whose words lie only in stretches that a document with a smaller id holds (of a document whose whole
-    text has an earlier copy: all of it); a part may be shorter than ``least`` words. Dropping the later parts
-    leaves every repeated stretch whole in the document of the smallest id that holds it. ``first`` says that
+    span whose words lie only in stretches that a document with a smaller id holds; a part may be shorter than
+    ``least`` words. A text with copies is one span; all of it is later in all but the document of the smallest
+    id, where copies of the whole do not count and other documents do. Dropping the later parts leaves every
+    stretch that differing texts hold whole in the document of the smallest id. ``first`` says that
     the later parts are not the whole span, so dropping only spans that are not first loses nothing either,
     but leaves the later parts of mixed spans. Documents
     without such a passage have no row, nor have null, empty and shorter texts; repeats within one document
@@ -224,6 +225,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts = written(anchors.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.first("n_words").alias("n_words"), F.first("grams").alias("grams")), "texts")
     copies = anchors.select("doc_id", "t1", "t2").join(texts.filter("rep < last").select("t1", "t2", "rep", "n_words"), ["t1", "t2"]).distinct()
     copy = F.col("doc_id") != F.col("rep")
+    whole = texts.filter("rep < last").select(F.col("rep").alias("doc_id"), F.lit(True).alias("copied")).distinct()
     wholes = copies.select("doc_id", F.lit(0).cast("bigint").alias("span"), F.lit(0).cast("bigint").alias("start"), F.col("n_words").alias("end"), F.when(copy, 0).cast("bigint").alias("low"), F.when(copy, F.col("n_words")).alias("high"))
 
     kept = texts.select("rep", "t1", F.explode("grams").alias("gram"))
@@ -237,7 +239,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     matched = suffixes.join(right, ["gram", "right"]).join(left, ["gram", "left"]).filter(F.col("far_left") + F.col("far_right") >= reach)
     stretches = written(_stretches(matched.select("doc_id", "pos", "near", "wide", "gram", "right", "left", "far_right", "far_left"), least, gram), "stretches")
     confirmed = stretches.groupBy("hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("hash", "low")
-    hits = stretches.join(confirmed, "hash").join(texts.filter("rep < last").select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_anti").select("doc_id", "start", (F.col("low") < F.col("doc_id")).alias("later"))
+    hits = stretches.join(confirmed, "hash").select("doc_id", "start", (F.col("low") < F.col("doc_id")).alias("later")).join(whole, "doc_id", "left")
     # of the words of a later stretch, those in no first stretch around it are one run, maybe an empty one
     by_doc, own = Window.partitionBy("doc_id"), F.when(~F.col("later"), F.col("start"))
     forward, earlier = by_doc.orderBy("start"), by_doc.orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
@@ -247,7 +249,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     new_span = F.coalesce(F.col("start") - F.lag("start").over(forward) > least, F.lit(True))
     new_part = F.col("low").isNotNull() & F.coalesce(F.col("low") > F.last("high", True).over(earlier), F.lit(True))
     marked = runs_of.withColumn("new_span", new_span.cast("int")).withColumn("new_part", new_part.cast("int"))
-    numbered = marked.withColumn("span", F.sum("new_span").over(forward)).withColumn("part", F.sum("new_part").over(forward))
+    numbered = marked.withColumn("span", F.when(F.col("copied").isNull(), F.sum("new_span").over(forward)).otherwise(F.lit(0))).withColumn("part", F.sum("new_part").over(forward))
     parts = numbered.groupBy("doc_id", "span", "part").agg(F.min("start").alias("start"), (F.max("start") + least).alias("end"), F.min("low").alias("low"), F.max("high").alias("high"))
     later = F.when(F.col("low").isNotNull(), F.struct(F.col("low").alias("start"), (F.col("high") - F.col("low")).alias("n_words")))
     spans = parts.drop("part").unionByName(wholes).groupBy("doc_id", "span").agg(F.min("start").alias("start"), (F.max("end") - F.min("start")).alias("n_words"), F.coalesce(F.sum(F.col("high") - F.col("low")), F.lit(0)).alias("n_later"), F.sort_array(F.collect_list(later)).alias("later"))

@@ -114,16 +114,16 @@ def test_repeated_passages(spark):
 
 
 def checked_passages(spark, rows):
-    """The spans, and how often each repeated stretch is left without their later parts, once brute force agrees."""
+    """The spans, and how often each stretch is left without their later parts, once brute force agrees."""
     got = sorted(((r["doc_id"], r["start"], r["n_words"], r["first"], [tuple(x) for x in r["later"]]) for r in suffixes.repeated_passages(docs(spark, rows)).collect()))
     assert {g[:3] for g in got} == passages_by_force(rows) and len({g[:3] for g in got}) == len(got)
     stretches = lambda t: {tuple(w[k : k + 50]) for w in [t.split()] for k in range(len(w) - 49)}
-    times = collections.Counter(s for _, t in rows for s in stretches(t))
+    times = collections.Counter(s for t in {t for _, t in rows} for s in stretches(t))
     kept = []
     for dropped in ({i: [x for g in got if g[0] == i for x in g[4]] for i, _ in rows}, {i: [g[1:3] for g in got if g[0] == i and not g[3]] for i, _ in rows}):
         kept.append(collections.Counter(s for i, t in rows for s in stretches(suffixes.without(t, dropped[i]))))
         assert all(kept[-1][s] for s, n in times.items() if n > 1)
-    return got, {s: kept[0][s] for s, n in times.items() if n > 1}
+    return got, kept[0]
 
 
 def test_first_passages_stay(spark):
@@ -137,6 +137,17 @@ def test_first_passages_stay(spark):
     assert all(kept[tuple(t.split()[:50])] == 1 for t in (a, b))
 
 
+def test_passages_of_copied_texts(spark):
+    rng = random.Random(8)
+    p, q = sentence(rng, 80, 10**6), sentence(rng, 60, 10**6)
+    own = [sentence(rng, 70, 10**6) for _ in range(12)]
+    texts = [f"{own[0]} {p}", f"{own[1]} {p} {q}", f"{p} {own[2]}", f"{own[3]} {p}", own[4], f"{q} {p}", f"{p} {sentence(rng, 30, 10**6)} {q}", p]
+    rows = [(1, f"{own[10]} {p} x"), *((10 * k + i, t) for k, t in enumerate(texts, 1) for i in range(3 if k % 4 else 2)), (200, f"{own[2]} y"), (5, f"{own[11]} {own[4]}")]
+    got, kept = checked_passages(spark, rows)
+    assert [g[3:] for g in got if g[0] in (10, 30, 50, 80, 81)] == [(True, [(70, 80)]), (True, [(0, 80)]), (False, [(0, 70)]), (False, [(0, 80)]), (False, [(0, 80)])]
+    assert all(kept[tuple(t.split()[:50])] == 1 for t in (p, q, *own[:5]))
+
+
 def test_toxicity(spark):
     rng = random.Random(3)
     bad = ["grumblefink", "snotwaffle", "blarghead"]
