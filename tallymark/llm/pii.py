@@ -192,8 +192,7 @@ def secret(p: Permutation, value: str) -> str | None:
     return p.text(value, "secret", hexadecimal=bool(re.fullmatch(r"[0-9a-f]+", value)))
 
 
-_NAMES = re.compile(r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth)[\"']?\s*\Z")
-_VALUE = re.compile(r"[=:]\s*[\"']?([^\s\"'<>]{6,})")
+_SECRET = re.compile(r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth)[\"']?\s{0,16}[=:]\s*[\"']?([^\s\"'<>]{6,})")
 #: Kind, what a text has to hold (any of), pattern (group 1 if it has one), pseudonym; earlier kinds win an overlap.
 KINDS: list[tuple[str, tuple[str, ...], re.Pattern, Callable[[Permutation, str], str | None]]] = [
     ("key", ("AKIA", "ASIA"), re.compile(r"(?<![0-9A-Za-z])A[KS]IA([0-9A-Z]{16})(?![0-9A-Za-z])"), secret),
@@ -221,9 +220,8 @@ def found(text: str, p: Permutation) -> list[tuple[int, int, str, str]]:
         return free
 
     if "=" in text or ":" in text:
-        for m in _VALUE.finditer(text):
-            if _NAMES.search(text, max(0, m.start() - 24), m.start()):
-                add(m.start(1), m.end(1), "secret", secret(p, m[1]))
+        for m in _SECRET.finditer(text):
+            add(m.start(1), m.end(1), "secret", secret(p, m[1]))
     digits = _DIGIT.search(text) is not None
     for kind, needs, pattern, make in KINDS:
         if any(x in text for x in needs) if needs else digits:

@@ -258,6 +258,11 @@ def test_values_of_every_form(kind, value):
         assert all(int(x) < 256 for x in new.split(".")) and (a >= 224) == (b >= 224) and (a in (0, 127)) == (b in (0, 127))
 
 
+def test_secrets_after_other_names():
+    for text, value in (("Credentials: password=hunter22", "hunter22"), ("https://x.org/?token=abcdef123", "abcdef123"), ('{"api_key" : "abcd1234"}', "abcd1234")):
+        assert [(text[a:b], k) for a, b, k, _ in pii.found(text, pii.Permutation(b"k"))] == [(value, "secret")]
+
+
 def test_values_before_other_numbers():
     p = pii.Permutation(b"k")
     for value, then, kinds in (("+1 (826) 555-4081", " 190.137.223.204", ["phone", "address"]), ("+1 (826) 555-4081", " 2019 12", ["phone"]), ("4041 8949 7460 8795", " 12/27", ["card"])):
