@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from tallymark.llm import decontam, neardup, packing, pii, toxicity
 from tallymark.llm.common import written
-from tallymark.llm.queries import OP2_WORDS
 from tallymark.session import ship
 
 #: Not expressible in SQL: the first stage scores with a model that it trains.
@@ -27,13 +26,13 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the smallest id; of rows with one id, one."""
+    """One document of each group of near-duplicates, that of the smallest id; of rows with one id and one text, one. Shingles have five words."""
     ship(spark)
-    kept = neardup.near_duplicates(docs, words=OP2_WORDS).filter("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = neardup.near_duplicates(docs).filter("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
     one = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
     repeated = one.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
     if not repeated.isEmpty():
-        several = one.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        several = one.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
         one = one.join(repeated, "doc_id", "left_anti").unionByName(several)
     return one.unionByName(docs.filter("doc_id is null"))
 

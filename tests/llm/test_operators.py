@@ -68,6 +68,16 @@ def test_near_duplicates(spark):
     assert got == near_by_force(rows)
 
 
+def test_pipeline_keeps_unlike_texts(spark):
+    import corpus_pipeline
+
+    w = [f"w{i}" for i in range(100)]
+    near = " ".join("changed" if i in (20, 50, 80) else x for i, x in enumerate(w))  # 0.89 of pairs of words, 0.73 of fives
+    rows = [(1, " ".join(w)), (2, near), (7, "one text of this id"), (7, "quite another one here"), (7, "one text of this id")]
+    got = corpus_pipeline.without_near_copies(spark, docs(spark, rows), "").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == sorted(set(rows))
+
+
 def test_near_duplicates_odd(spark):
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(docs(spark, ODD), words=2).collect()), key=repr)
     assert len(got) == len(ODD)
