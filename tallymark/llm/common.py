@@ -1,13 +1,11 @@
-"""Helpers that several operators share: the shared folder, written intermediates, global prefix sums."""
+"""Helpers that several operators share: the shared folder and written intermediates."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,16 +34,3 @@ def dropped(df: DataFrame) -> None:
     for f in {p.rpartition("/")[0] for p in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(f)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def small_enough(df: DataFrame, most: int) -> bool:
-    """Whether df has at most ``most`` rows; stops counting there."""
-    return df.limit(most + 1).count() <= most
-
-
-def ascii_lower(c: Column) -> Column:
-    """A-Z to a-z, other characters as they are."""
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-__all__ = ["StorageLevel", "ascii_lower", "dropped", "shared_dir", "small_enough", "written"]

@@ -6,11 +6,19 @@ SIDE ** 2 tables and the hashing costs a square root of what independent tables
 (Christiani, 2019: fast locality-sensitive hashing frameworks).
 
 1. Rows with equal sets collapse to one, so copies cost nothing after that.
-2. In every table bucket each set is a candidate for the bucket's pivot, the member that comes first in one
+2. Tuples that one set alone has cannot be part of a shared key; keys are formed of the others only.
+3. In every table bucket each set is a candidate for the bucket's pivot, the member that comes first in one
    global order; distinct candidates are confirmed on the full sets, and confirmed links give components.
-3. Buckets that still hold several components are settled between components: members of the smaller one
-   are confirmed against all members of the larger, in blocks. So a link is missed only if its two sets share
-   no bucket at all, which at the threshold happens once in thousands of pairs and above it far less.
+4. Buckets that still hold several components are settled. Their members meet in the buckets of their first
+   tuples (coarser, so that a pair with many common keys meets seldom) or, where that is less work, in those of
+   their keys. Of a bucket, the members outside its largest component are compared with all others, in blocks of
+   BLOCK sets: an upper bound of the common shingles, counted on bit maps, rules out far pairs without a row for
+   any of them; the rest are confirmed on the full sets, until the block's links connect what they can.
+
+Every pair of sets that share a table key is thus in one component or compared, so a link is missed only if its two
+sets share no key at all: at the threshold about 4 times in 10,000, at a similarity of 0.85 twice in 100,000.
+A bucket of M sets, R of them outside its largest component, makes M * (R / BLOCK + 1) + R * M / BLOCK rows at
+most: in proportion to its size while R is within a block, whatever M is.
 """
 
 from __future__ import annotations
@@ -24,15 +32,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import written
+from tallymark.llm.common import dropped, written
 from tallymark.llm.graph import components
 
 #: Words in a shingle and least similarity, in percent, of the general interface.
 WORDS, PERCENT = 5, 80
 #: Tuples in each of the two collections, and hashes in a tuple.
-SIDE, TUPLE = 12, 3
-#: Sets in a block when components are compared.
-BLOCK = 256
+SIDE, TUPLE = 16, 4
+#: Sets in a block when buckets are settled; a set of more than LONG shingles counts as several.
+BLOCK, LONG = 256, 2048
+#: Bits of the widest bit map.
+BITS = 1 << 17
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -46,7 +56,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Texts to sorted arrays of distinct 64-bit shingle hashes."""
 
-    def __init__(self, words: int, cache: int = 400_000):
+    def __init__(self, words: int, cache: int = 150_000):
         self.words, self.cache, self.known = words, cache, {}
 
     def hashes(self, text: str | None) -> np.ndarray:
@@ -72,8 +82,8 @@ def tuples(shingles: np.ndarray, side: int = SIDE, size: int = TUPLE) -> np.ndar
     """2 * side tuple hashes of a set that is not empty: first those of one collection, then of the other."""
     seeds = _mixed(np.arange(1, 2 * side * size + 1, dtype=np.uint64) * _MIX) | np.uint64(1)
     least = np.full(len(seeds), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 4096):
-        least = np.minimum(least, (shingles[None, at : at + 4096] * seeds[:, None]).min(1))
+    for at in range(0, len(shingles), 512):
+        least = np.minimum(least, (shingles[None, at : at + 512] * seeds[:, None]).min(1))
     out = np.zeros(2 * side, np.uint64)
     for i in range(size):
         out = _mixed(out * _MIX + least.reshape(2 * side, size)[:, i])
@@ -143,49 +153,78 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(same("s_a", "s_b")).select("a", "b")
 
 
-def _between(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links (a, b) between members of the pairs (small, large) of components, confirmed block by block.
+def bit_maps(sets: list[np.ndarray]) -> np.ndarray:
+    """One row of 64-bit words for each set: the bits that its hashes fall on."""
+    bits = 64
+    while bits < min(BITS, 4 * max(map(len, sets))):
+        bits *= 2
+    out = np.zeros((len(sets), bits // 8), np.uint8)
+    for row, s in zip(out, sets, strict=True):
+        marks = np.zeros(bits, bool)
+        marks[s & np.uint64(bits - 1)] = True
+        row[:] = np.packbits(marks)
+    return out.view(np.uint64)
 
-    members: (rep, component). Both sides of a pair are cut into blocks of about ``block`` sets; a task gets one
-    block of either side at a time.
+
+def settled(components: list[int], probes: list[bool], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Pairs of components that links between a probe and another set of the block connect, as many as a forest of them has.
+
+    A set has at least as many hashes that another lacks as it has bits that the other lacks; so the bits bound
+    the common hashes from above, and only pairs that pass the bound are confirmed.
     """
-    sized = members.groupBy("component").agg(F.count("*").alias("size"))
-    placed = (
-        members.join(sized, "component")
-        .withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
-        .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        .join(sets, "rep")
-    )
-    probe = placed.select(F.col("component").alias("small"), F.col("rep").alias("probe"), F.col("shingles").alias("probe_set"))
-    base = placed.select(F.col("component").alias("large"), F.col("rep").alias("rep"), "shingles", F.col("block").alias("q"))
-    count = sized.select(F.col("component").alias("large"), F.ceil(F.col("size") / block).cast("int").alias("blocks"))
-    # members of small components are dealt to the blocks of each large one that they meet
-    asked = pairs.join(count, "large").select("small", "large", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("q"))
-    probes = asked.join(probe, "small").select("large", "q", F.pmod(F.xxhash64("probe"), F.lit(1 << 20)).alias("h"), "probe", "probe_set")
-    groups = probes.groupBy("large", "q").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    probes = probes.join(groups, ["large", "q"]).withColumn("part", F.pmod(F.col("h"), F.col("parts")).cast("int")).select(F.col("large").alias("k"), F.col("q").alias("k_q"), F.col("part").alias("k_part"), "probe", "probe_set")
-    bases = base.join(groups, ["large", "q"]).select("large", "q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "rep", "shingles")
-
-    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = set()
-        here = [(r, np.frombuffer(s, np.uint64)) for r, s in zip(left["probe"], left["probe_set"], strict=True)]
-        there = [(r, np.frombuffer(s, np.uint64)) for r, s in zip(right["rep"], right["shingles"], strict=True)]
-        if here and there:
-            universe = np.unique(np.concatenate([s for _, s in there]))
-            for r, s in here:  # which of the block's sets it meets, by counting common hashes
-                at = np.searchsorted(universe, s)
-                kept = at[universe[np.minimum(at, len(universe) - 1)] == s]
-                mark = np.zeros(len(universe) + 1, bool)
-                mark[kept] = True
-                if 100 * len(kept) < percent * len(s):
-                    continue
-                for q, t in there:
-                    both = int(mark[np.searchsorted(universe, t)].sum())
-                    if q != r and 100 * both >= percent * (len(s) + len(t) - both):
-                        found.add((r, q))
-        return pd.DataFrame(sorted(found), columns=["a", "b"])
-
-    return probes.groupBy("k", "k_q", "k_part").cogroup(bases.groupBy("large", "q", "part")).applyInPandas(compare, "a bigint, b bigint")
+    names, of = np.unique(components, return_inverse=True)
+    if len(names) < 2:
+        return []
+    maps, n = bit_maps(sets), np.array([len(s) for s in sets])
+    bits = np.bitwise_count(maps).sum(1, dtype=np.int64)
+    out = []
+    for i in np.flatnonzero(probes):
+        others = np.flatnonzero((of != of[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
+        for at in range(0, len(others), 256):
+            some = others[at : at + 256]
+            both = np.bitwise_count(maps[some] & maps[i]).sum(1, dtype=np.int64)
+            most = np.minimum(n[some] - bits[some], n[i] - bits[i]) + both
+            for j in some[100 * most >= percent * (n[some] + n[i] - most)]:
+                if of[i] != of[j] and linked(sets[i], sets[j], percent):
+                    out.append((int(components[i]), int(components[j])))
+                    of[of == of[j]] = of[i]
+    return out
+
+
+def _settled(members: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links (a, b) between components in the buckets of (bucket, rep, n, component), see the head of this file."""
+    counts = members.groupBy("bucket", "component").agg(F.count("*").alias("k"), F.sum(F.ceil(F.col("n") / LONG)).alias("weight"))
+    sized = counts.groupBy("bucket").agg(F.sum("weight").alias("weight"), F.max(F.struct("weight", "component")).alias("most"))
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(c / block)).cast("int")
+    sized = sized.select("bucket", F.col("most.component").alias("largest"), blocks(F.col("weight")).alias("bases"), blocks(F.col("weight") - F.col("most.weight")).alias("parts"))
+    placed = members.join(sized, "bucket").withColumn("probe", F.col("component") != F.col("largest"))
+    base, part = F.pmod(F.xxhash64("rep"), F.col("bases")).cast("int"), F.pmod(F.xxhash64(F.lit(1), "rep"), F.col("parts")).cast("int")
+    to = lambda p, q: F.struct(p.cast("int").alias("base"), q.cast("int").alias("part"))
+    own = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: to(base, q))
+    other = F.transform(F.filter(F.sequence(F.lit(0), F.col("bases") - 1), lambda p: p != base), lambda p: to(p, part))
+    rows = placed.join(sets, "rep").select("bucket", "component", "shingles", F.when(F.col("probe"), part).alias("probe"), F.explode(F.when(F.col("probe"), F.concat(own, other)).otherwise(own)).alias("to"))
+    rows = rows.select("bucket", "to.base", "to.part", "component", (F.col("probe") == F.col("to.part")).alias("probe"), "shingles")
+    keys = ["bucket", "base", "part"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            out = []
+            columns = [batch.column(k).to_pylist() for k in range(6)]
+            for *key, component, probe, raw in zip(*columns, strict=True):
+                if key != now:
+                    out += _links_of(held, percent)
+                    now, held = key, []
+                held.append((component, bool(probe), np.frombuffer(raw, np.uint64)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+        out = _links_of(held, percent)
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint")
+
+
+def _links_of(held: list[tuple[int, bool, np.ndarray]], percent: int) -> list[tuple[int, int]]:
+    return settled(*(list(x) for x in zip(*held, strict=True)), percent) if held else []
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, side: int = SIDE, size: int = TUPLE, block: int = BLOCK) -> DataFrame:
@@ -200,47 +239,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketches = written(_sketches(rows, words, side, size), "sketches")
     full = sketches.filter("n > 0 and doc_id is not null")
     # equal sets are one class, named by its smallest id
-    classes = full.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("tuples").alias("tuples"), F.count("*").alias("copies"))
+    classes = full.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("tuples").alias("tuples"))
     classes = written(classes, "classes")
     named = full.select("doc_id", "s1", "s2").join(classes.select("s1", "s2", "rep"), ["s1", "s2"]).select("doc_id", "rep")
-    moved = named.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("times"))
+    moved = named.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
     ties = named.join(moved.filter("low < high").select("doc_id", "low"), "doc_id").select(F.col("rep").alias("a"), F.col("low").alias("b"))
 
-    keyed = classes.select(
-        "rep",
-        F.explode(
-            F.flatten(F.transform(F.sequence(F.lit(1), F.lit(side)), lambda i: F.transform(F.sequence(F.lit(side + 1), F.lit(2 * side)), lambda j: F.xxhash64(i, F.get("tuples", i - 1), j, F.get("tuples", j - 1)))))
-        ).alias("key"),
-    )
-    order = F.xxhash64("rep")
-    shared = keyed.groupBy("key").agg(F.min(F.struct(order.alias("o"), "rep")).alias("pivot"), F.count("*").alias("members")).filter("members > 1").select("key", F.col("pivot.rep").alias("pivot"))
+    drawn = classes.select("rep", "n", F.posexplode("tuples").alias("i", "tuple")).select("rep", "n", (F.col("i") < side).alias("left"), F.xxhash64("i", "tuple").alias("tuple"))
+    common = drawn.groupBy("tuple").agg(F.count("*").alias("members")).filter("members > 1").select("tuple")
+    of = lambda left: F.collect_list(F.when(F.col("left") == left, F.col("tuple")))  # noqa: E731  2 * side at most
+    tupled = drawn.join(common, "tuple").groupBy("rep", "n").agg(of(True).alias("lefts"), of(False).alias("rights"))
+    tupled = written(tupled.filter((F.size("lefts") > 0) & (F.size("rights") > 0)), "tuples")
+    key = F.flatten(F.transform("lefts", lambda x: F.transform("rights", lambda y: F.struct(x.alias("left"), F.xxhash64(x, y).alias("key")))))
+    keyed = tupled.select("rep", "n", F.explode(key).alias("k")).select("rep", "n", "k.left", "k.key")
+    first_of = F.min(F.struct(F.xxhash64("rep").alias("o"), "rep", "n"))
+    shared = keyed.groupBy("key").agg(first_of.alias("pivot"), F.count("*").alias("members")).filter("members > 1").select("key", F.col("pivot.rep").alias("pivot"), F.col("pivot.n").alias("pivot_n"))
     bucketed = written(keyed.join(shared, "key"), "buckets")
-    pairs = bucketed.filter("rep != pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-    sizes = classes.select("rep", "n")
-    pairs = pairs.join(sizes.select(F.col("rep").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("rep").alias("b"), F.col("n").alias("n_b")), "b")
-    pairs = written(pairs.filter((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)).select("a", "b"), "pairs")
+    pairs = bucketed.filter((F.col("rep") != F.col("pivot")) & (F.least("n", "pivot_n") * 100 >= F.greatest("n", "pivot_n") * percent))
+    pairs = written(pairs.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct(), "pairs")
     # the sets of all classes that share a bucket, made anew from their texts
     wanted = bucketed.select("rep").distinct().join(classes.select("rep", "s1"), "rep")
     sets = written(_sets(rows.join(wanted, rows["doc_id"] == wanted["rep"]).select("rep", "text", "s1"), words), "sets")
     links = written(_confirmed(pairs, sets, percent).union(ties), "links")
     first = components(links)
 
-    label = bucketed.join(first.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    label = bucketed.join(first.select(F.col("id").alias("rep"), "component"), "rep", "left").select("left", "key", "rep", "n", F.coalesce("component", "rep").alias("component"))
     mixed = label.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
     label = written(label.join(mixed, "key", "left_semi"), "labels")
-    per_key = label.groupBy("key", "component").agg(F.min("rep").alias("one"))
-    met = per_key.select("key", F.col("component").alias("c")).join(per_key.select("key", F.col("component").alias("d")), "key").filter("c < d").select("c", "d").distinct()
-    members = written(label.select("rep", "component").distinct(), "members")
-    count = members.groupBy("component").agg(F.count("*").alias("k"))
-    met = met.join(count.select(F.col("component").alias("c"), F.col("k").alias("k_c")), "c").join(count.select(F.col("component").alias("d"), F.col("k").alias("k_d")), "d")
-    one = members.groupBy("component").agg(F.min("rep").alias("r"))
-    met = met.select(F.when(F.col("k_c") <= F.col("k_d"), F.col("c")).otherwise(F.col("d")).alias("small"), F.when(F.col("k_c") <= F.col("k_d"), F.col("d")).otherwise(F.col("c")).alias("large"))
-    more = _between(written(met, "met"), members, sets, percent, block)
-    final = components(links.union(more))
+    # a first tuple's bucket, or those of its keys where they make fewer pairs
+    coarse = label.select("left", "rep").distinct().groupBy("left").agg(F.count("*").alias("members"))
+    fine = label.groupBy("left", "key").agg(F.count("*").alias("k")).groupBy("left").agg(F.sum(F.col("k") * F.col("k")).alias("pairs"))
+    by_key = coarse.join(fine, "left").filter((F.col("members") > block) & (F.col("pairs") < F.col("members") * F.col("members"))).select("left", F.lit(True).alias("by_key"))
+    members = label.join(by_key, "left", "left").select(F.when(F.col("by_key"), F.col("key")).otherwise(F.col("left")).alias("bucket"), "rep", "n", "component").distinct()
+    more = components(_settled(written(members, "members"), sets, percent, block)).select(F.col("id").alias("component"), F.col("component").alias("joined"))
+    for done in (tupled, bucketed, pairs, sets, links, label):
+        dropped(done)
 
     found = sketches.join(classes.select("s1", "s2", "rep"), ["s1", "s2"], "left")
-    labelled = found.join(final.withColumnRenamed("id", "rep"), "rep", "left")
-    component = F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
+    labelled = found.join(first.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).join(more, "component", "left")
+    component = F.when(F.col("n") > 0, F.coalesce("joined", "component")).otherwise(F.col("doc_id"))
     return labelled.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     )
