@@ -7,6 +7,20 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallymark.session import ship
+
+#: MB of rows that go to a Python worker at once, unless one row is longer.
+BATCH_MB = 16
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session with this package on its executors and batches that leave room for long texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    set_to = spark.conf.get(name, "")
+    if not set_to or set_to == "67108864b":  # where the user has chosen no size
+        spark.conf.set(name, f"{BATCH_MB}m")
+    return ship(spark)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm.tokens import encoder, tokenizer_path
+from tallymark.llm.tokens import encoder, tokenizer_path, wide
 
 #: Ids in the longest sequences; a power of two.
 LENGTH = 2048
@@ -50,12 +50,12 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     schema = pa.schema(fields)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_all = encoder(path, drops_space).encode_all
+        encode = encoder(path, drops_space)
         for batch in batches:
             rows: list[tuple] = []
             size = 0
-            for doc, ids in zip(batch.column(0).to_pylist(), encode_all(batch.column(1).to_pylist()), strict=True):
-                ids += end
+            for doc, ids in zip(batch.column(0).to_pylist(), encode.encode_all(batch.column(1).to_pylist()), strict=True):
+                ids = wide(ids, encode.width) + end
                 n = len(ids) // 4
                 for start, most in binary_pieces(n, length):
                     piece = ids[4 * start : 4 * (start + most)]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.llm import decontam, htmltext, neardup, packing, pii, records, suffixes, toxicity, urlrules, vectors
-from tallymark.session import ship
+from tallymark.llm.common import prepared
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,7 +70,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_toxicity, op2_minhash, op3_packing, op4_suffixes, op5_pii, op6_decontamination, op7_records, op8_vectors, op9_url_filters, op10_html_extraction)
-    return {f.__name__: lambda spark, sf_dir, f=f: f(ship(spark), sf_dir) for f in found}
+    return {f.__name__: lambda spark, sf_dir, f=f: f(prepared(spark), sf_dir) for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

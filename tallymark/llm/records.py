@@ -21,12 +21,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.llm.common import shared_dir
-from tallymark.llm.tokens import encoder, tokenizer_path
+from tallymark.llm.tokens import encoder, tokenizer_path, wide
 
 TOKENIZER = "byte_bpe_50k.json"
 END = 0
 #: Characters of text in one data file, about; very long documents go over it.
 SHARD_CHARS = 32_000_000
+#: Bytes of records written or read in one go, unless one record is longer.
+RANGE = 8_000_000
 _HEAD, _SUM, _DOC, _ENTRY = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<qB"), struct.Struct("<Qqq")
 #: Stands for a null document id.
 NO_ID = -(1 << 63)
@@ -42,11 +44,9 @@ def framed(payload: bytes) -> bytes:
     return head + _SUM.pack(masked(head)) + payload + _SUM.pack(masked(payload))
 
 
-def payload_of(doc_id: int | None, ids: bytes) -> bytes:
-    """ids: little-endian unsigned 32-bit; stored in 16 bits where all fit."""
-    numbers = np.frombuffer(ids, "<u4")
-    width = 2 if not len(numbers) or numbers.max() < 1 << 16 else 4
-    return _DOC.pack(NO_ID if doc_id is None else doc_id, width) + (numbers.astype("<u2").tobytes() if width == 2 else ids)
+def payload_of(doc_id: int | None, ids: bytes, width: int) -> bytes:
+    """ids: little-endian unsigned numbers of ``width`` bytes."""
+    return _DOC.pack(NO_ID if doc_id is None else doc_id, width) + ids
 
 
 def index_entry(at: int, doc_id: int | None, n: int) -> bytes:
@@ -59,7 +59,7 @@ def record_at(data: memoryview, at: int) -> tuple[int | None, np.ndarray, int]:
     if len(head) < 8 or _SUM.unpack_from(data, at + 8)[0] != masked(head):
         raise ValueError(f"the length at {at} is damaged")
     n = _HEAD.unpack(head)[0]
-    payload = bytes(data[at + 12 : at + 12 + n])
+    payload = data[at + 12 : at + 12 + n]
     if len(payload) < n or _SUM.unpack_from(data, at + 12 + n)[0] != masked(payload):
         raise ValueError(f"the record at {at} is damaged")
     doc, width = _DOC.unpack_from(payload)
@@ -82,14 +82,16 @@ def write_records(docs: DataFrame, uri: str, id_col: str = "doc_id", text_col: s
     empty; a repeated id gives a record each time, in order of the text's hash.
     """
     spark = docs.sparkSession
-    path, end = tokenizer or tokenizer_path(TOKENIZER), int(end_id).to_bytes(4, "little")
+    path = tokenizer or tokenizer_path(TOKENIZER)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if shards is None:
         shards = max(1, -(-(rows.agg(F.sum(F.length("text"))).first()[0] or 0) // SHARD_CHARS), spark.sparkContext.defaultParallelism)
     ordered = rows.repartitionByRange(shards, F.asc_nulls_first("doc_id"), F.xxhash64("text")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_all = encoder(path, False).encode_all
+        encode = encoder(path, False)
+        width = encode.width
+        end = int(end_id).to_bytes(width, "little")
         store, folder = _store(uri)
         task = TaskContext.get()
         shard, attempt = task.partitionId(), f"{task.taskAttemptId()}-{uuid.uuid4().hex}"
@@ -97,12 +99,16 @@ def write_records(docs: DataFrame, uri: str, id_col: str = "doc_id", text_col: s
         name, n, total, at = f"{folder}/part-{shard:06d}", 0, 0, 0
         with store.open_output_stream(f"{name}.{attempt}.tmp") as data, store.open_output_stream(f"{name}.{attempt}.tmpi") as index:
             for batch in batches:
-                for doc, ids in zip(batch.column(0).to_pylist(), encode_all(batch.column(1).to_pylist()), strict=True):
-                    ids += end
-                    record = framed(payload_of(doc, ids))
-                    data.write(record)
-                    index.write(index_entry(at, doc, len(ids) // 4))
-                    at, n, total = at + len(record), n + 1, total + len(ids) // 4
+                records, entries, size = [], [], 0
+                for doc, ids in zip(batch.column(0).to_pylist(), encode.encode_all(batch.column(1).to_pylist()), strict=True):
+                    records.append(framed(payload_of(doc, ids + end, width)))
+                    entries.append(index_entry(at, doc, len(ids) // width + 1))
+                    at, n, total, size = at + len(records[-1]), n + 1, total + len(ids) // width + 1, size + len(records[-1])
+                    if size > RANGE:
+                        data.write(b"".join(records))
+                        records, size = [], 0
+                data.write(b"".join(records))
+                index.write(b"".join(entries))
         store.move(f"{name}.{attempt}.tmpi", f"{name}.index")
         store.move(f"{name}.{attempt}.tmp", f"{name}.records")
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n_records": pa.array([n], pa.int64()), "n_ids": pa.array([total], pa.int64())})
@@ -126,22 +132,22 @@ def read_records(spark: SparkSession, uri: str, shards: list[tuple[int, int]], w
                 with store.open_input_file(f"{name}.index") as f:
                     entries = np.frombuffer(f.read(), "<i8").reshape(-1, 3)
                 with store.open_input_file(f"{name}.records") as f:
-                    rows: list[tuple] = []
-                    size = 0
-                    ends = np.append(entries[1:, 0], f.size()) if len(entries) else []
-                    for (at, _, n), stop in zip(entries, ends, strict=True):
-                        f.seek(int(at))
-                        doc, ids, _ = record_at(memoryview(f.read(int(stop - at))), 0)
-                        if len(ids) != n:
-                            raise ValueError(f"the index of shard {shard} does not fit its records")
-                        raw = ids.astype("<u4").tobytes()
-                        rows.append((doc, before, int(n), zlib.crc32(raw)) + ((raw,) if with_ids else ()))
-                        before, size = before + int(n), size + len(raw) * with_ids + 64
-                        if size > 16_000_000:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], names=[x for x, _ in fields])
-                            rows, size = [], 0
-                    if rows:
+                    ends = np.append(entries[1:, 0], f.size())
+                    first = 0
+                    while first < len(entries):  # records that lie within RANGE bytes, or one
+                        begin = int(entries[first, 0])
+                        last = max(first + 1, int(np.searchsorted(ends, begin + RANGE, "right")))
+                        f.seek(begin)
+                        data, rows = memoryview(f.read(int(ends[last - 1]) - begin)), []
+                        for at, _, n in entries[first:last].tolist():
+                            doc, ids, _ = record_at(data, at - begin)
+                            if len(ids) != n:
+                                raise ValueError(f"the index of shard {shard} does not fit its records")
+                            raw = wide(ids, ids.itemsize)
+                            rows.append((doc, before, n, zlib.crc32(raw)) + ((raw,) if with_ids else ()))
+                            before += n
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], names=[x for x, _ in fields])
+                        first = last
 
     todo = spark.createDataFrame(shards, "shard int, before bigint").repartition(max(1, len(shards)), "shard")
     return todo.mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + (", ids binary" if with_ids else ""))

@@ -3,7 +3,7 @@
 Both tokenizers used here split a text before merging, and never merge across a change from a
 non-space to a space character. So a text can be cut there, each cut piece encoded once, and the ids of
 the pieces joined; the result equals that of encoding the whole text. Texts that hold a space character
-other than the ASCII ones are encoded whole, as the cuts are not proven there.
+other than the ASCII ones, or the string of a special token, are encoded whole, as the cuts are not proven there.
 """
 
 from __future__ import annotations
@@ -13,19 +13,24 @@ import re
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
+
 #: Word pieces kept in a process; the cache is emptied beyond that.
-CACHE = 800_000
+CACHE = 400_000
 #: Characters that some library counts as space, besides the ASCII ones at which texts are cut.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]")
-#: Runs of space in which the place of a cut matters; elsewhere each space goes with the word after it (marked by
-#: the byte 255, which no text holds) and each line end stands alone.
-_PLAIN = re.compile(rb"[ \n][ \n]|[\t\r\x0b\x0c]")
+#: Bytes of texts that may hold one of them.
+_SUSPECT = b"\x1c\x1d\x1e\x1f\xc2\xe1\xe2\xe3\xef"
+#: Word pieces in each of the two generations that a process keeps: pieces of the older one that are met again move to the newer.
+CACHE = 300_000
+#: Space in which the place of a cut matters; elsewhere each space goes with the word after it (marked by the byte 255,
+#: which no text holds) and each line end stands alone.
+_CONTROLS, _TWICE = b"\t\r\x0b\x0c", (b"  ", b"\n\n", b" \n", b"\n ")
 #: A letter, and the punctuation after it: both tokenizers split there, wherever no apostrophe starts a suffix.
 _TAIL = re.compile(rb"(.*[A-Za-z])([!-&(-/:-@\\[-`{-~]+)\Z", re.S)
 _SPACED = re.compile(rb"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
-_ODD_ASCII = re.compile("[\x1c-\x1f]")
-#: Characters of texts whose new pieces are encoded in one go.
-GROUP = 1_000_000
+#: Characters of texts whose new pieces are encoded in one go, and pieces in one call of the tokenizer.
+GROUP, JOINED = 1_000_000, 64
 _loaded: dict[str, Encoder] = {}
 
 
@@ -37,65 +42,104 @@ def tokenizer_path(name: str) -> str:
 
 
 class Encoder:
-    """Texts to ids as little-endian unsigned 32-bit bytes."""
+    """Texts to ids, as little-endian unsigned numbers of ``width`` bytes: 2 where all ids of the vocabulary fit, else 4."""
 
     def __init__(self, path: str, drops_space: bool):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.drops_space = drops_space
+        self.special = {t.content.encode(): i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("H" if self.width == 2 else "I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def pieces(self, raw: bytes) -> list[bytes]:
+    def pieces(self, text: str) -> list[bytes] | None:
+        """The pieces of a text; none if it has to be encoded whole."""
+        raw = text.encode().lower() if self.drops_space else text.encode()
+        if len(raw.translate(None, _SUSPECT)) < len(raw) and _ODD.search(text) or any(x in raw for x in self.special):
+            return None
         if self.drops_space:
-            return raw.lower().split()
-        if _PLAIN.search(raw):
+            return raw.split()
+        if len(raw.translate(None, _CONTROLS)) < len(raw) or any(x in raw for x in _TWICE):
             return [p.replace(b" ", b"\xff") for p in _SPACED.findall(raw)]
         return raw.replace(b" ", b" \xff").replace(b"\n", b" \n ").split(b" ")
 
+    def apart(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece. A special token stands between pieces, so that one call encodes many and each by itself."""
+        if not self.special:
+            return self.whole([p.replace(b"\xff", b" ").decode() for p in pieces])
+        mark, number = next(iter(self.special.items()))
+        joined = [mark.join(pieces[i : i + JOINED]).replace(b"\xff", b" ").decode() for i in range(0, len(pieces), JOINED)]
+        out, size = [], self.width
+        for raw in self.whole(joined):
+            at = 0
+            for cut in np.flatnonzero(np.frombuffer(raw, f"<u{size}") == number).tolist():
+                out.append(raw[at : cut * size])
+                at = (cut + 1) * size
+            out.append(raw[at:])
+        return out
+
     def learn(self, pieces: set[bytes]) -> None:
         """Puts pieces into the cache, those that end in punctuation by way of their parts."""
-        cache = self.cache
-        parts = {p: m.groups() for p in pieces if (m := _TAIL.match(p))}
+        if len(self.cache) > CACHE:
+            self.cache, self.older = {}, self.cache
+        cache, older = self.cache, self.older
+        cache.update([(p, x) for p in pieces if (x := older.get(p)) is not None])
+        pieces = pieces.difference(cache)
+        parts = {p: m.groups() for p in pieces if not p[-1:].isalnum() and (m := _TAIL.match(p))}
         todo = list(({x for pair in parts.values() for x in pair} | (pieces - parts.keys())).difference(cache))
-        cache.update(zip(todo, self.whole([p.replace(b"\xff", b" ").decode() for p in todo]), strict=True))
+        cache.update(zip(todo, self.apart(todo), strict=True))
         cache.update({p: cache[a] + cache[b] for p, (a, b) in parts.items()})
 
     def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text, in order."""
         done = 0
         while done < len(texts):
-            group: list[list[bytes] | bytes] = []
+            get = self.cache.get
+            group: list[tuple[list[bytes], list[int], list[bytes]]] = []  # pieces, those without ids yet, ids
             new: set[bytes] = set()
             size = 0
             while done < len(texts) and size < GROUP:
                 text = texts[done] or ""
-                if not text.isascii() and _ODD.search(text) or text.isascii() and _ODD_ASCII.search(text):
-                    group.append(self.whole([text])[0])
+                pieces = self.pieces(text)
+                if pieces is None:
+                    group.append(([], [], self.whole([text])))
                 else:
-                    pieces = self.pieces(text.encode())
-                    new.update(pieces)
-                    group.append(pieces)
+                    ids = list(map(get, pieces))
+                    missing = _places(ids)
+                    new.update([pieces[i] for i in missing])
+                    group.append((pieces, missing, ids))
                 size += len(text)
                 done += 1
-            if missing := new.difference(self.cache):
-                if len(self.cache) + len(missing) > CACHE:
-                    self.cache.clear()
-                    missing = new
-                self.learn(missing)
-            find = self.cache.__getitem__
-            for g in group:
-                yield g if isinstance(g, bytes) else b"".join(map(find, g))
+            self.learn(new)
+            for pieces, missing, ids in group:
+                for i in missing:
+                    ids[i] = self.cache[pieces[i]]
+                yield b"".join(ids)
 
     def encode(self, text: str | None) -> bytes:
         return next(self.encode_all([text]))
 
 
+def _places(ids: list[bytes | None]) -> list[int]:
+    """Where ids are None."""
+    out, at = [], -1
+    for _ in range(ids.count(None)):
+        at = ids.index(None, at + 1)
+        out.append(at)
+    return out
+
+
+def wide(ids: bytes, width: int) -> bytes:
+    """Ids of ``width`` bytes as unsigned 32-bit ones."""
+    return ids if width == 4 else np.frombuffer(ids, "<u2").astype("<u4").tobytes()
+
+
 def encoder(path: str, drops_space: bool) -> Encoder:
     """This process's encoder for a tokenizer file. drops_space: the tokenizer makes no ids of spaces."""
     if path not in _loaded:

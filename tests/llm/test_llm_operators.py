@@ -181,45 +181,66 @@ def test_toxicity(spark):
     assert d.limit(0).select(toxicity.scored(d, empty)).count() == 0
 
 
-def test_token_pieces():
-    for name, drops in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
-        e = tokens.Encoder(tokens.tokenizer_path(name), drops)
-        texts = ["", None, "a\x1c b  c\u00a0  d ", "I'm it's don't,. x'S... 'tis 's  ", "  lead  two\n\n x\t\ty ", "<|endoftext|> a<|endoftext|>b", "é, e\u0301! =\u0338 a.b,c;d x1.5% $$$", "ΑΣ ſ K", "a\nb c\n", "x" * 5000]
-        assert list(e.encode_all(texts)) == e.whole([t or "" for t in texts])
+SPECIAL = ["<|endoftext|> a<|endoftext|>b", "x <|startoftext|>y", "<|endoftext|", "a<|EndOfText|>b <|STARTOFTEXT|>"]
+
+
+def plain(name, texts):
+    """The ids of whole texts, straight from the library."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return [e.ids for e in Tokenizer.from_file(public_tokenizers.path(name)).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
+@pytest.mark.parametrize(("name", "drops"), [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_token_pieces(name, drops):
+    e = tokens.Encoder(tokens.tokenizer_path(name), drops)
+    texts = ["", None, "a\x1c b  c\u00a0  d ", "I'm it's don't,. x'S... 'tis 's  ", "  lead  two\n\n x\t\ty ", "é, e\u0301! =\u0338 a.b,c;d x1.5% $$$", "ΑΣ ſ K", "a\nb c\n", "x" * 5000, *SPECIAL]
+    rng = random.Random(1)
+    bits = [" ", " ", "\n", "\t", "  ", "word", "Ünï", "12", "'s", "'", "!?", "<|", "|>", "<|endoftext|>", "\u2003", "x.", "漢字", "\u0301", "\x85", "«", "—"]
+    texts += ["".join(rng.choice(bits) for _ in range(rng.randrange(30))) for _ in range(3000)]
+    want = [np.array(x, "<u2").tobytes() for x in plain(name, texts)]
+    assert e.width == 2 and list(e.encode_all(texts)) == want and list(e.encode_all(texts)) == want
+    assert tokens.wide(want[3], 2) == np.array(plain(name, texts[3:4])[0], "<u4").tobytes()
+
+
+CODED = [*ODD, *((20 + i, t) for i, t in enumerate(SPECIAL)), (30, " ".join(f"Item{i}, {i * 7919}." for i in range(3000)))]
 
 
 def test_packing(spark):
     assert packing.binary_pieces(2048 + 5) == [(0, 2048), (2048, 4), (2052, 1)] and packing.binary_pieces(0) == []
     with pytest.raises(ValueError):
         packing.binary_pieces(5, 3)
-    got = packing.packed(docs(spark, ODD)).collect()
-    e = tokens.encoder(tokens.tokenizer_path(packing.TOKENIZER), True)
+    got = packing.packed(docs(spark, CODED)).collect()
     by_doc = collections.defaultdict(list)
     for r in got:
-        assert r["length"] & (r["length"] - 1) == 0 and r["ids_crc32"] == zlib.crc32(r["ids"]) and r["offset"] == 0
+        assert r["length"] & (r["length"] - 1) == 0 and r["length"] <= 2048 and r["ids_crc32"] == zlib.crc32(r["ids"]) and r["offset"] == 0 and len(r["ids"]) == 4 * r["length"]
         by_doc[r["doc_id"]].append(r)
     assert len({r["sequence_id"] for r in got}) == len(got)
-    for i, t in ODD:
-        if i != 7:
-            assert b"".join(r["ids"] for r in sorted(by_doc[i], key=lambda r: r["start"])) == e.encode(t) + (1).to_bytes(4, "little")
+    for (i, _), ids in zip(CODED, plain(packing.TOKENIZER, [t for _, t in CODED]), strict=True):
+        times = sum(i == k for k, _ in CODED)  # a repeated row is packed each time
+        pieces = sorted(by_doc[i], key=lambda r: r["start"])[::times]
+        assert [r["start"] for r in pieces] == [sum(r["length"] for r in pieces[:k]) for k in range(len(pieces))]
+        assert all(r["doc_tokens"] == len(ids) + 1 for r in pieces)
+        assert b"".join(r["ids"] for r in pieces) == np.array([*ids, 1], "<u4").tobytes()
     assert packing.packed(docs(spark, [])).count() == 0
 
 
 def test_records(spark, tmp_path):
-    got = records.round_trip(docs(spark, ODD), f"file://{tmp_path}/r", with_ids=True, shards=3).collect()
-    e = tokens.encoder(tokens.tokenizer_path(records.TOKENIZER), False)
+    got = records.round_trip(docs(spark, CODED), f"file://{tmp_path}/r", with_ids=True, shards=3).collect()
     got.sort(key=lambda r: r["start"])
-    want = sorted(ODD, key=lambda x: (x[0] is not None, x[0] or 0))
+    want = sorted(CODED, key=lambda x: (x[0] is not None, x[0] or 0))
     at = 0
-    for r, (i, t) in zip(got, want, strict=True):
-        ids = e.encode(t) + bytes(4)
-        assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"], bytes(r["ids"])) == (i, at, len(ids) // 4, zlib.crc32(ids), ids)
-        at += len(ids) // 4
-    raw = records.framed(records.payload_of(3, b"\x01\0\0\0"))
-    assert records.record_at(memoryview(raw), 0)[1].tolist() == [1]
-    for k in (0, 9, 14, len(raw) - 1):
-        with pytest.raises(ValueError):
-            records.record_at(memoryview(raw[:k] + bytes([raw[k] ^ 1]) + raw[k + 1 :]), 0)
+    for r, (i, _), ids in zip(got, want, plain(records.TOKENIZER, [t for _, t in want]), strict=True):
+        raw = np.array([*ids, 0], "<u4").tobytes()
+        assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"], bytes(r["ids"])) == (i, at, len(ids) + 1, zlib.crc32(raw), raw)
+        at += len(ids) + 1
+    for width, ids in ((2, b"\x01\0"), (4, b"\x01\0\0\0")):
+        raw = records.framed(records.payload_of(3, ids, width))
+        assert records.record_at(memoryview(raw), 0)[1].tolist() == [1]
+        for k in (0, 9, 14, len(raw) - 1):
+            with pytest.raises(ValueError):
+                records.record_at(memoryview(raw[:k] + bytes([raw[k] ^ 1]) + raw[k + 1 :]), 0)
     assert records.round_trip(docs(spark, []), f"file://{tmp_path}/e").count() == 0
 
 
