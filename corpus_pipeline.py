@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.llm import decontam, neardup, packing, pii, toxicity
-from tallymark.llm.common import written
-from tallymark.session import ship
+from tallymark.llm.common import prepared, written
 
 #: Not expressible in SQL: the first stage scores with a model that it trains.
 ORACLE_SQL = None
@@ -20,14 +19,14 @@ ORACLE_SQL = None
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under the threshold. The model learns from labels of rows that are not held out."""
-    ship(spark)
+    prepared(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.filter(toxicity.scored(docs, model) < toxicity.THRESHOLD)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that of the smallest id; of rows with one id and one text, one. Shingles have five words."""
-    ship(spark)
+    prepared(spark)
     kept = neardup.near_duplicates(docs).filter("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
     one = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
     repeated = one.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
@@ -39,7 +38,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the contamination rule clears."""
-    ship(spark)
+    prepared(spark)
     found = "contamination of the text"
     marked = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), out_col=found)
     return marked.filter(~decontam.is_contaminated(f"`{found}`")).drop(found)
@@ -47,13 +46,13 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data in their texts replaced by pseudonyms of the same length."""
-    ship(spark)
+    prepared(spark)
     return docs.withColumn("text", pii.pseudonymised(F.col("text"))["text"])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token ids in pieces of power-of-two lengths, each with its ids."""
-    ship(spark)
+    prepared(spark)
     return packing.packed(docs)
 
 
