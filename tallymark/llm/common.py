@@ -16,8 +16,7 @@ BATCH_MB = 16
 def prepared(spark: SparkSession) -> SparkSession:
     """The session with this package on its executors and batches that leave room for long texts."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    set_to = spark.conf.get(name, "")
-    if not set_to or set_to == "67108864b":  # where the user has chosen no size
+    if spark.conf.get(name) == "67108864b":  # the default: the user has chosen no size
         spark.conf.set(name, f"{BATCH_MB}m")
     return ship(spark)
 
