@@ -270,9 +270,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     coarse = label.select("left", "rep").distinct().groupBy("left").agg(F.count("*").alias("members"))
     fine = label.groupBy("left", "key").agg(F.count("*").alias("k")).groupBy("left").agg(F.sum(F.col("k") * F.col("k")).alias("pairs"))
     by_key = coarse.join(fine, "left").filter((F.col("members") > block) & (F.col("pairs") < F.col("members") * F.col("members"))).select("left", F.lit(True).alias("by_key"))
+    by_key = written(by_key, "split")  # so that a crowded tuple's rows can be split in the join
     members = label.join(by_key, "left", "left").select(F.when(F.col("by_key"), F.col("key")).otherwise(F.col("left")).alias("bucket"), "rep", "n", "component").distinct()
     more = components(_settled(written(members, "members"), sets, percent, block)).select(F.col("id").alias("component"), F.col("component").alias("joined"))
-    for done in (tupled, bucketed, pairs, sets, links, label):
+    for done in (tupled, bucketed, pairs, sets, links, label, by_key):
         dropped(done)
 
     found = sketches.join(classes.select("s1", "s2", "rep"), ["s1", "s2"], "left")

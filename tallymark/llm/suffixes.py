@@ -9,8 +9,8 @@ content alone decides.
    which gives the longest match to its right. The same over reversed prefixes gives the match to its left.
    Equal suffixes collapse before the sort, and the rows at the ends of a range count as fully matched, which
    the last step puts right.
-3. Matches of at least ``least`` words in all are confirmed exactly: every stretch of ``least`` words in them
-   is counted by document, and confirmed stretches are joined to spans, each with its parts
+3. Matches of at least ``least`` words in all are confirmed: every stretch of ``least`` words in them
+   is counted by document, by a 64-bit hash of its words, and confirmed stretches are joined to spans, each with its parts
    that hold no word of a stretch seen here first.
 
 Documents with equal texts collapse before all this and come back as wholes.
@@ -238,7 +238,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     left = _matched(suffixes, "left", reach).withColumnRenamed("far", "far_left")
     matched = suffixes.join(right, ["gram", "right"]).join(left, ["gram", "left"]).filter(F.col("far_left") + F.col("far_right") >= reach)
     stretches = written(_stretches(matched.select("doc_id", "pos", "near", "wide", "gram", "right", "left", "far_right", "far_left"), least, gram), "stretches")
+    # written before the join back, so that the rows of a stretch that very many texts hold can be split there
     confirmed = stretches.groupBy("hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("hash", "low")
+    confirmed = written(confirmed, "confirmed")
     hits = stretches.join(confirmed, "hash").select("doc_id", "start", (F.col("low") < F.col("doc_id")).alias("later")).join(whole, "doc_id", "left")
     # of the words of a later stretch, those in no first stretch around it are one run, maybe an empty one
     by_doc, own = Window.partitionBy("doc_id"), F.when(~F.col("later"), F.col("start"))
