@@ -92,8 +92,15 @@ def char_spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]
     """Word ranges as half-open character ranges of the original text."""
     raw = text.encode("utf-8", "surrogatepass")
     at = [m.span() for m in _WORD.finditer(raw)] if ranges else []
-    char = lambda i: len(raw[:i].decode("utf-8", "surrogatepass"))
-    return [(char(at[a][0]), char(at[b - 1][1])) for a, b in ranges]
+    out, byte, char = [], 0, 0
+    for a, b in ranges:  # in order, so each part of the text is decoded once
+        ends = []
+        for to in (at[a][0], at[b - 1][1]):
+            char += len(raw[byte:to].decode("utf-8", "surrogatepass"))
+            byte = to
+            ends.append(char)
+        out.append((ends[0], ends[1]))
+    return out
 
 
 #: What contamination() adds.

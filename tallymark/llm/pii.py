@@ -8,18 +8,22 @@ document, with no table of them anywhere. Who has the key can map them back.
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import re
+import secrets
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-#: The key of the registered query; a real run passes its own.
-KEY = b"tallymark pseudonyms"
+#: The setting of a session that holds the key.
+KEY_SETTING = "spark.tallymark.pii.key"
 ROUNDS = 10
+#: Letters and digits of a value that one permutation takes; longer values are permuted block by block.
+BLOCK = 64
 _FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 _ALNUM = "0123456789abcdefghijklmnopqrstuvwxyz"
 
@@ -27,7 +31,7 @@ _ALNUM = "0123456789abcdefghijklmnopqrstuvwxyz"
 class Permutation:
     """Keyed permutations of ranges of whole numbers."""
 
-    def __init__(self, key: bytes = KEY):
+    def __init__(self, key: bytes):
         self.key = hashlib.blake2b(key, digest_size=32).digest()
 
     def _step(self, half: int, turn: int, bits: int, kind: str) -> int:
@@ -54,7 +58,18 @@ class Permutation:
                 return x
 
     def text(self, value: str, kind: str, hexadecimal: bool = False, back: bool = False) -> str:
-        """Digits, letters and their case stay what they are; other characters stay themselves."""
+        """Digits, letters and their case stay what they are; other characters stay themselves.
+
+        The permutation of a block depends on all that stands before it, so equal values have equal images and values
+        that only begin alike have unlike ends.
+        """
+        if len(value) > BLOCK:
+            out, before = [], hashlib.blake2b(key=self.key, digest_size=16)
+            for at in range(0, len(value), BLOCK):
+                done = self.text(value[at : at + BLOCK], f"{kind}:{before.hexdigest()}", hexadecimal, back)
+                out.append(done)
+                before.update((done if back else value[at : at + BLOCK]).encode())
+            return "".join(out)
         sizes = [0 if not c.isascii() or not c.isalnum() else 10 if c.isdigit() else 6 if hexadecimal else 26 for c in value]
         number, total = 0, 1
         for c, n in zip(value, sizes, strict=True):
@@ -211,12 +226,13 @@ _DIGIT = re.compile("[0-9]")
 
 def found(text: str, p: Permutation) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, pseudonym) of the values in a text, in order, without overlaps."""
-    out: list[tuple[int, int, str, str]] = []
+    out: list[tuple[int, int, str, str]] = []  # in order, so only the neighbours can overlap a new one
 
     def add(start: int, end: int, kind: str, new: str | None) -> bool:
-        free = new is not None and not any(start < e and s < end for s, e, _, _ in out)
+        at = bisect.bisect_left(out, (start,))
+        free = new is not None and (at == 0 or out[at - 1][1] <= start) and (at == len(out) or end <= out[at][0])
         if free:
-            out.append((start, end, kind, new))
+            out.insert(at, (start, end, kind, new))
         return free
 
     if "=" in text or ":" in text:
@@ -233,7 +249,7 @@ def found(text: str, p: Permutation) -> list[tuple[int, int, str, str]]:
                 for end in (i for i in range(m.end() - 1, m.start(), -1) if text[i] in " .-"):
                     if (part := pattern.fullmatch(text, m.start(), end)) and add(m.start(), end, kind, make(p, part[0])):
                         break
-    return sorted(out)
+    return out
 
 
 def replaced(text: str, spans: list[tuple[int, int, str, str]]) -> str:
@@ -244,10 +260,19 @@ def replaced(text: str, spans: list[tuple[int, int, str, str]]) -> str:
     return "".join([*parts, text[at:]])
 
 
-def pseudonymised(text: Column, key: bytes = KEY) -> Column:
+def session_key(spark: SparkSession) -> bytes:
+    """The key that the session's setting KEY_SETTING holds; where it is unset, a random one for this session."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key.encode()
+
+
+def pseudonymised(text: Column, key: bytes) -> Column:
     """struct(text, found array of struct(kind, start, end)) of a text column.
 
-    Whole texts are searched. A null text stays null and has nothing found; an empty one stays empty. Texts
+    Whole texts are searched. Who has the key can map pseudonyms back; runs with one key give one pseudonym for a value. A null text stays null and has nothing found; an empty one stays empty. Texts
     without personal data come back unchanged; lengths never change, so offsets hold for both texts.
     """
 

@@ -40,7 +40,7 @@ def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", pii.pseudonymised(F.col("text")).alias("p"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", pii.pseudonymised(F.col("text"), pii.session_key(spark)).alias("p"))
     return docs.select("doc_id", "p.text", F.size("p.found").cast("bigint").alias("n_found"), F.array_join(F.array_sort(F.array_distinct("p.found.kind")), ",").alias("kinds"))
 
 

@@ -35,7 +35,9 @@ PRIOR = 0.5
 #: Words longer than this are cut into pieces of this length.
 WORD = 64
 #: Words whose scores a process keeps.
-CACHE = 300_000
+CACHE = 150_000
+#: The softmax's bias where there are not labels of both kinds.
+UNTAUGHT = np.array([4.0, -4.0])
 #: A text is rejected from this score on.
 THRESHOLD = 0.5
 _WORDS = re.compile(rf"\w{{1,{WORD}}}")
@@ -135,13 +137,15 @@ def train(texts: list[str], labels: list[int], class_weights: tuple[float, float
                 softmax -= (rate * outer / np.sqrt(seen_softmax)).astype(np.float32)
                 seen_bias += p * p
                 bias -= rate * p / np.sqrt(seen_bias)
-    bias = bias + PRIOR * np.log(np.maximum(class_weights, 1e-6))
+        bias = bias + PRIOR * np.log(np.maximum(class_weights, 1e-6))
+    else:
+        table, bias = np.zeros_like(table), UNTAUGHT
     return Model(table, softmax * SCALE, bias)
 
 
 def held_out(doc_id: Column) -> Column:
-    """Whether a row's label is kept from training: crc32 of the id as text, modulo 5, is 0."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    """Whether a row's label is kept from training: crc32 of the id as text, modulo 5, is 0. A null id has no label: false."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS, train_chars: int = TRAIN_CHARS) -> Model:
@@ -150,7 +154,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     The sample has at most about ``per_class`` rows of each label, those whose ids hash lowest, and leaves
     out texts of more than ``train_chars`` characters; rows weigh so that the classes keep the shares they
     have among all labelled rows. A null label or id takes no part; an id with several labels counts as 1
-    if any is 1. Without labels of both kinds every text scores the prior.
+    if any is 1, one with several texts gives the first in order. Without labels of both kinds nothing can be
+    learnt: every text scores the same, far under the threshold, and none is rejected.
     """
     label = F.col(label_col).cast("int")
     known = (
@@ -161,7 +166,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     cut = {y: min(1 << 30, (per_class << 30) // max(1, n)) for y, n in counts.items()}
     chosen = known.filter(F.expr(" or ".join([f"(y = {y} and h < {c})" for y, c in cut.items()] or ["false"])))
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).filter(F.length("t") <= train_chars)
-    rows = texts.join(F.broadcast(chosen.select("i", "y")), "i").select("t", "y").limit(4 * per_class + 1000).collect()  # bounded by per_class and train_chars
+    # one text for each of about 2 * per_class ids
+    rows = texts.join(F.broadcast(chosen.select("i", "y")), "i").groupBy("i").agg(F.min("t").alias("t"), F.max("y").alias("y")).select("t", "y").collect()
     rows.sort(key=lambda r: (r["y"], zlib.crc32(r["t"].encode()), r["t"]))
     got = Counter(r["y"] for r in rows)
     weights = tuple(counts.get(c, 0) / max(1, got[c]) for c in (0, 1))

@@ -138,7 +138,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, id_col: str = "vec_
 
     Nearest first by inner product, ties to the smaller id; all candidates if there are fewer than k. Rows with
     a null id, and vectors that are null, empty, zero, of another length than most, or hold null or non-finite
-    components take no part. Repeated ids count once, with one of their vectors. Of equal vectors only the
+    components take no part. Repeated ids count once, with the first of their vectors in order, and are asked for if any of their rows is. Of equal vectors only the
     k + 1 smallest ids can be among any k nearest, so a class of equal vectors keeps those; other columns are
     left out. An empty table gives no row.
     """
@@ -148,7 +148,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, id_col: str = "vec_
     sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
     if not sizes:
         return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    rows = written(rows.filter(F.size("v") == sizes[0]["d"]).dropDuplicates(["id"]), "vectors")
+    rows = written(rows.filter(F.size("v") == sizes[0]["d"]).groupBy("id").agg(F.min("v").alias("v"), F.max("asked").alias("asked")), "vectors")
     ranked = rows.select("id", "v", F.row_number().over(Window.partitionBy("v").orderBy("id")).alias("r")).filter(F.col("r") <= k + 1)
     classes = written(ranked.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")), "classes")
     shards = max(1, -(-classes.count() // shard))

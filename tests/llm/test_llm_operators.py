@@ -85,6 +85,45 @@ def test_near_duplicates_odd(spark):
     assert neardup.near_duplicates(docs(spark, []), words=2).count() == 0
 
 
+@pytest.mark.parametrize("block", [4, 256])
+def test_crowded_buckets(spark, block):
+    """Far variants of one text share buckets without a link, beside a large group of near copies and two groups that few links connect."""
+    rng = random.Random(9)
+    base, other = sentence(rng, 150, 10**6), sentence(rng, 150, 10**6)
+    texts = [*variants(rng, base, 60, 20), *variants(rng, base, 80, 5), *variants(rng, base, 40, 12), *variants(rng, other, 30, 14), *variants(rng, other, 30, 9)]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs(spark, rows), words=2, block=block).collect()}
+    want = near_by_force(rows)
+    assert len({c for _, c in want.values()}) > 50 and got == want
+
+
+def test_settled():
+    """Blocks connect what links connect, whatever the bounds rule out."""
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        pool = rng.integers(0, 2**63, 40).astype(np.uint64)
+        sets = [np.unique(rng.choice(pool, rng.integers(1, 38), replace=False)) for _ in range(25)]
+        names = rng.integers(0, 12, 25).tolist()
+        probes = [n != 3 for n in names]
+
+        def closed(pairs):
+            up = {n: n for n in names}
+
+            def top(x):
+                while up[x] != x:
+                    x = up[x]
+                return x
+
+            for a, b in pairs:
+                up[top(a)] = top(b)
+            return {frozenset(n for n in up if top(n) == top(m)) for m in up}
+
+        force = [(names[i], names[j]) for i in range(25) for j in range(25) if probes[i] and 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
+        got = neardup.settled(names, probes, sets, 80)
+        assert closed(got) == closed(force) and len(got) <= len(set(names))
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 90), (90, 95), (7, 7)], "a bigint, b bigint")
     got = {r["id"]: r["component"] for r in graph.components(edges).collect()}
@@ -177,6 +216,11 @@ def test_toxicity(spark):
     out = [i for i, t, _ in labels if zlib.crc32(str(i).encode()) % 5 == 0]
     assert np.mean([(got[i] >= 0.5) == (i % 4 == 0) for i in out]) > 0.95
     assert got[1000] >= 0.5 > got[1003] and got[1001] == got[1002]
+    assert d.filter("doc_id is null").count() == 0 and spark.sql("select cast(null as bigint) i").select(toxicity.held_out(F.col("i"))).first()[0] is False
+    for few in (lab.limit(0), lab.filter("toxic = 1"), lab.filter("toxic = 0")):  # nothing can be learnt: nothing is rejected
+        assert d.select(toxicity.scored(d, toxicity.fit(d, few)).alias("s")).filter("s >= 0.5").count() == 0
+    long = docs(spark, [(1, "w1 " * 300_000), (2, "x" * 1_000_000), (None, "w1")])
+    assert long.select(toxicity.scored(long, model).alias("s")).filter("s between 0 and 1").count() == 3
     empty = toxicity.fit(d.limit(0), lab)
     assert d.limit(0).select(toxicity.scored(d, empty)).count() == 0
 
@@ -251,7 +295,7 @@ def test_pseudonyms(spark):
     assert p.text(p.text("aZ9-k", "y"), "y", back=True) == "aZ9-k"
     card, t = "4041 8949 7460 8795", "card 4041894974608795, mail a.b@c.org, ip 42.144.35.254, tel +1 (415) 555-1234, born 1984-02-29 or 3/14/1999, DE89 3704 0044 0532 0130 00, password=b7db7aa4a5fc"
     rows = [(1, t), (2, f"again {card} and a.b@c.org"), (3, None), (4, ""), (5, "Nothing 1.2.3 here, 2019 or 4041894974608796 @home 31.02.2001")]
-    got = {r["doc_id"]: r["p"] for r in docs(spark, rows).select("doc_id", pii.pseudonymised(F.col("text")).alias("p")).collect()}
+    got = {r["doc_id"]: r["p"] for r in docs(spark, rows).select("doc_id", pii.pseudonymised(F.col("text"), b"k").alias("p")).collect()}
     assert got[3]["text"] is None and got[4]["text"] == "" and got[5]["text"] == rows[4][1] and got[5]["found"] == []
     new = got[1]["text"]
     assert len(new) == len(t) and [f["kind"] for f in got[1]["found"]] == ["card", "email", "address", "phone", "date", "date", "iban", "secret"]
@@ -261,6 +305,26 @@ def test_pseudonyms(spark):
     assert spans[0] == got[2]["text"].split("again ")[1][:19].replace(" ", "") and spans[1] in got[2]["text"]
 
 
+def test_long_values(spark):
+    p = pii.Permutation(b"k")
+    long = "aB3" * 333_333
+    new = p.text(long, "secret")
+    assert new != long and p.text(new, "secret", back=True) == long and p.text(long, "secret") == new
+    rows = [(1, f"token={long} and sk-{'k' * 90_000}"), (2, " ".join(f"10.{i % 256}.{i // 256}.7" for i in range(8000))), (3, f"password={long}")]
+    got = {r["doc_id"]: r["p"] for r in docs(spark, rows).select("doc_id", pii.pseudonymised(F.col("text"), b"k").alias("p")).collect()}
+    assert len(got[1]["found"]) == 2 and len(got[2]["found"]) == 8000 and all(len(got[i]["text"]) == len(t) for i, t in rows)
+    assert got[1]["text"].split()[0].removeprefix("token=") == got[3]["text"].removeprefix("password=")
+    assert docs(spark, []).select(pii.pseudonymised(F.col("text"), b"k")).count() == 0
+
+
+def test_session_key(spark):
+    spark.conf.unset(pii.KEY_SETTING)
+    key = pii.session_key(spark)
+    assert len(key) == 64 and pii.session_key(spark) == key
+    spark.conf.set(pii.KEY_SETTING, "chosen")
+    assert pii.session_key(spark) == b"chosen"
+
+
 @pytest.mark.parametrize(
     ("kind", "value"),
     [
