@@ -18,7 +18,11 @@ ORACLE_SQL = None
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is under the threshold. The model learns from labels of rows that are not held out."""
+    """Documents whose toxicity score is under the threshold. The model learns from labels of rows that are not held out.
+
+    Without labels of both kinds all documents stay. Null and empty texts score as texts without words; rows
+    with a null or repeated id are judged like others; an empty table stays empty.
+    """
     prepared(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.filter(toxicity.scored(docs, model) < toxicity.THRESHOLD)
@@ -45,13 +49,13 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data in their texts replaced by pseudonyms of the same length."""
+    """All documents, personal data in their texts replaced by pseudonyms of the same length. Null and empty texts stay what they are."""
     prepared(spark)
-    return docs.withColumn("text", pii.pseudonymised(F.col("text"))["text"])
+    return docs.withColumn("text", pii.pseudonymised(F.col("text"), pii.session_key(spark))["text"])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' token ids in pieces of power-of-two lengths, each with its ids."""
+    """The documents' token ids in pieces of power-of-two lengths, each with its ids. A null or empty text is the end id alone."""
     prepared(spark)
     return packing.packed(docs)
 
