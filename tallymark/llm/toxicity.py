@@ -35,7 +35,7 @@ PRIOR = 0.5
 #: Words longer than this are cut into pieces of this length.
 WORD = 64
 #: Words whose scores a process keeps.
-CACHE = 150_000
+CACHE = 300_000
 #: The softmax's bias where there are not labels of both kinds.
 UNTAUGHT = np.array([4.0, -4.0])
 #: A text is rejected from this score on.
