@@ -30,11 +30,11 @@ DECISION = [
     r"classif", r"categor", r"\brout(?:e|es|ed|ing|er)\b", r"\bjudg(?:e|es|ed|ing)\b", r"evaluat", r"\brat(?:e|es|ed|ing)\b", r"\bscor(?:e|es|ed|ing)\b",
     r"\blabel(?:s|ed|ling)?\b", r"\btag(?:s|ged|ging)?\b", r"\bextract", r"\bfilter", r"moderat", r"\bverif", r"\bvalidat", r"\bcheck(?:s|ed|ing)?\b",
     r"sentiment", r"\bspam\b", r"toxic", r"\bintent\b", r"\btopic\b", r"triage", r"prioriti", r"approv", r"\bflag(?:s|ged|ging)?\b", r"\brank(?:s|ed|ing)?\b",
-    r"duplicate", r"\bgrade\b", r"\bgrading\b", r"\bdecide", r"\bdecision", r"yes or no",
+    r"duplicate", r"\bgrade\b|\bgrading\b", r"\bdecide|\bdecision", r"yes or no",
 ]
 #: Stems of generative language.
 GENERATIVE = [
-    r"\bwrite", r"\bwrote", r"\bwriting\b", r"\bdraft", r"\bsummar", r"\bessay", r"\bstory\b", r"\bpoem", r"\brewrite", r"\btranslat", r"\bexplain", r"\bgenerat",
+    r"\bwrite|\bwrote|\bwriting\b", r"\bdraft", r"\bsummar", r"\bessay", r"\bstory\b", r"\bpoem", r"\brewrite", r"\btranslat", r"\bexplain", r"\bgenerat",
     r"\bbrainstorm", r"\bblog\b", r"\barticle", r"\bcompose", r"\brefactor",
 ]
 #: Verbs that open a question.

@@ -81,11 +81,3 @@ def template(prompt: Column, words: int = 5) -> Column:
     """The first words of a prompt that are not stopwords, in lower case."""
     found = F.regexp_extract_all(F.lower(prompt), F.lit("([a-z']+)"), 1)
     return F.array_join(F.slice(F.filter(found, lambda w: ~w.isin(STOPWORDS)), 1, words), " ")
-
-
-def money(c: Column) -> Column:
-    return F.concat(F.lit("$"), F.format_number(c, 2))
-
-
-def percent(part: Column, whole: Column) -> Column:
-    return F.concat(F.format_number(F.coalesce(F.try_divide(part * 100, whole), F.lit(0.0)), 1), F.lit("%"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 
 from pyspark.sql import DataFrame, Window
@@ -52,16 +53,10 @@ def build_maps(items: DataFrame) -> DataFrame:
 
 
 def unique_names(maps: list[tuple[str, str]]) -> list[str]:
-    """Class names for (role, template) in order: the role, else with up to three template words, else numbered."""
-    taken: dict[str, int] = {}
-    names = []
+    """Class names for (role, template) in order: the role, else with one of three template words, else numbered."""
+    given: dict[str, None] = {}
     for kind, words in maps:
-        choices = [kind, *(kind + w.capitalize() for w in [w for w in re.findall("[a-z]+", words.lower()) if w != "you"][:3])]
-        free = [c for c in choices if c not in taken]
-        if free:
-            name, taken[free[0]] = free[0], 1
-        else:
-            taken[choices[-1]] += 1
-            name = f"{choices[-1]}{taken[choices[-1]]}"
-        names.append(name)
-    return names
+        longer = [kind + w.capitalize() for w in re.findall("[a-z]+", words.lower()) if w != "you"][:3]
+        numbered = (f"{(longer or [kind])[-1]}{i}" for i in itertools.count(2))
+        given[next(n for n in itertools.chain([kind], longer, numbered) if n not in given)] = None
+    return list(given)

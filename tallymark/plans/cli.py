@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+from collections import Counter
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from tallymark.operators.pricing import CONSERVATIVE, OPTIMISTIC, load_prices
 from tallymark.operators.scoring import check_thresholds
 from tallymark.plans import report
 from tallymark.session import ship, staged
-from tallymark.sources.calls import read_all, read_decisions
+from tallymark.sources.calls import expand, read_all, read_decisions
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -33,6 +34,8 @@ def _parser() -> argparse.ArgumentParser:
     a.add_argument("--divisor-optimistic", type=float, default=OPTIMISTIC)
     a.add_argument("--no-redact", action="store_true")
     a.add_argument("--self-check", action="store_true")
+    a.add_argument("--base-url", help="the service that the self-check asks; without it a stand-in answers")
+    a.add_argument("--key-variable", help="the environment variable that holds the service's key")
     a.add_argument("--markdown")
     a.add_argument("--html")
     a.add_argument("--rows", help="folder to write the scored rows to, as Parquet")
@@ -70,8 +73,7 @@ def _audit(spark: SparkSession, o: argparse.Namespace) -> int:
     for r in [*audit.by_verdict.collect(), *audit.savings(o.divisor, o.divisor_optimistic).collect()]:
         print("  " + ", ".join(f"{k} {v:,.2f}" if isinstance(v, float) else f"{k} {v}" for k, v in r.asDict().items()))
     if o.self_check:
-        rows = audit.rows.select(F.col("source").alias("origin"), "score", "verdict", "ordinal")
-        print(selfcheck.agreement(selfcheck.opinions(rows)).first().asDict())
+        print(selfcheck.agreement(selfcheck.opinions(selfcheck.of_calls(audit.rows), base_url=o.base_url, token=os.environ.get(o.key_variable or "", ""))).first().asDict())
     _write(o.markdown, report.audit_markdown(audit, o.top, not o.no_redact) if o.markdown else "")
     _write(o.html, report.audit_html(audit, not o.no_redact) if o.html else "")
     if o.rows:
@@ -80,11 +82,16 @@ def _audit(spark: SparkSession, o: argparse.Namespace) -> int:
 
 
 def _scan(spark: SparkSession, o: argparse.Namespace) -> int:
+    totals: Counter[str] = Counter()
+    every = None
     for root in o.roots:
         findings, stats = codescan.scan(spark, root)
-        print(root, stats.first().asDict())
-        for r in findings.collect():
-            print(f"  {r['path']}:{r['line']} {r['verdict']} {r['score']:.2f} {r['api']}")
+        totals.update(stats.first().asDict())
+        own = findings.withColumn("path", F.concat(F.lit(f"{root.rstrip('/')}/"), "path")) if len(o.roots) > 1 else findings
+        every = own if every is None else every.unionByName(own)
+    print(", ".join(f"{k} {n:,}" for k, n in totals.items()))
+    for r in every.orderBy(F.desc("score"), "path", "line").toLocalIterator():
+        print(f"  {r['path']}:{r['line']} {r['verdict']} {r['score']:.2f} {r['api']}")
     return 0
 
 
@@ -124,7 +131,15 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     missing = [p for p in paths if "://" not in p and not os.path.exists(p)]
     if missing or not paths:
         print(f"no such path: {', '.join(missing) or 'none given'}", file=sys.stderr)
+    there = [p for p in paths if p not in missing]
+    if not there or missing and o.command in ("calibrate", "migrate"):
         return 2
+    if o.command == "audit":
+        for p in (p for p in there if not expand(p)):
+            print(f"nothing to read in {p}", file=sys.stderr)
+        o.paths = there
+    elif o.command == "scan-code":
+        o.roots = there
     spark = spark or SparkSession.builder.appName("tallymark").getOrCreate()
     try:
         return {"audit": _audit, "scan-code": _scan, "calibrate": _calibrate, "migrate": _migrate}[o.command](ship(spark), o)

@@ -12,6 +12,7 @@ from tallymark.functions.text import cell, redacted
 from tallymark.operators import calibration
 from tallymark.operators.audit import Audit
 
+#: Names of the report's sections.
 SECTIONS = ["Summary", "Verdict breakdown", "Signals observed", "Top migration candidates", "Suggested decision maps", "Costs and savings", "Privacy", "Disclaimers"]
 #: Candidates that the HTML page lists.
 HTML_TOP = 50
@@ -38,24 +39,24 @@ def candidates(audit: Audit, n: int, redact: bool = True) -> list[dict]:
 
 
 def audit_markdown(audit: Audit, top: int = 10, redact: bool = True) -> str:
-    """The audit report. What is collected is bounded: verdicts, signals, ``top`` rows; models and maps are listed 100 and 25 at most."""
+    """The audit report. Verdicts, signals, ``top`` rows, and all models and maps, which come in parts."""
     t, verdicts = audit.totals().first(), audit.by_verdict.collect()
     out = ["# Decision migration audit", "", "## Summary", "", f"{t['total_calls']:,} calls, {_money(t['total_spend'])}; {_money(t['migratable_spend'])} could move."]
     out += [f"- {r['scenario']} (divisor {r['divisor']:g}): {_money(r['saved'])} saved, {_share(r['saved'], t['total_spend'])}" for r in audit.savings().collect()]
     out += ["", "## Verdict breakdown", "", "| Verdict | Calls | Share | Spend |", "|---|---:|---:|---:|"]
     out += [f"| {r['verdict']} | {r['calls']:,} | {_share(r['calls'], t['total_calls'])} | {_money(r['spend'])} |" for r in verdicts]
     out += [f"| total | {t['total_calls']:,} | | {_money(t['total_spend'])} |", "", "### By model", "", "| Model | Calls | Cost | Likely |", "|---|---:|---:|---:|"]
-    out += [f"| {r['model']} | {r['calls']:,} | {_money(r['cost'])} | {r['likely']:,} |" for r in audit.models_table().limit(100).collect()]
+    out += [f"| {r['model']} | {r['calls']:,} | {_money(r['cost'])} | {r['likely']:,} |" for r in audit.models_table().toLocalIterator()]
     out += ["", "## Signals observed", "", "| Signal | Weight | Calls |", "|---|---:|---:|"]
     out += [f"| {r['signal']} | {WEIGHTS[r['signal']]:.2f} | {r['calls']:,} |" for r in audit.signal_tally().collect()]
     out += ["", "## Top migration candidates", "", "| # | Source | Model | Score | Prompt | Output | Why |", "|---:|---|---|---:|---|---|---|"]
     out += [f"| {r['place']} | {r['source']} | {r['model']} | {r['score']:.2f} | {r['prompt']} | {r['output']} | {r['why']} |" for r in candidates(audit, top, redact)]
     out += ["", "## Suggested decision maps", ""]
     example = redacted(F.col("example")) if redact else F.col("example")
-    for m in audit.maps().withColumn("example", example).limit(25).collect():
+    for m in audit.maps().withColumn("example", example).toLocalIterator():
         out += [f"### {m['role']}: {m['template']} ({m['calls']} calls)", "", f"- {m['kind']}, score {m['score_low']:.2f} to {m['score_high']:.2f}", f"- e.g. {m['example']}", f"- options: {m['options'] or m['range'] or m['note']}", ""]
     out += ["## Costs and savings", "", f"Costs are logged for {t['logged_calls']:,} calls and estimated for {t['estimated_calls']:,}, from tokens or a quarter of the characters. A saving is the spend less the spend divided by the divisor."]
-    unknown = [r["model"] for r in audit.unknown_models().limit(100).collect()]
+    unknown = [r["model"] for r in audit.unknown_models().toLocalIterator()]
     out += ["", f"Models priced at the table's median: {', '.join(unknown) or 'none'}.", "", "## Privacy", "", "Keys, addresses and credentials are masked in this report; nothing leaves the machine.", "", "## Disclaimers", "", "Verdicts are heuristics. Try each change on live traffic before the switch.", ""]
     return "\n".join(out)
 

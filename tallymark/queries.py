@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.functions import signals as S
@@ -14,8 +14,9 @@ from tallymark.operators.audit import Audit
 from tallymark.operators.maps import build_maps
 from tallymark.operators.pricing import model_prices, price_table
 from tallymark.operators.scoring import duplication, output_clusters, with_scores
+from tallymark.session import scratch
 from tallymark.sources import tables as T
-from tallymark.sources.calls import as_int, field
+from tallymark.sources.calls import as_int, field, read_calls, read_decisions
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,7 +58,7 @@ def _maps(items: DataFrame) -> DataFrame:
 
 def map_documents(spark: SparkSession, d: str) -> DataFrame:
     docs = T.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return docs.select("doc_id", X.role(F.col("text")).alias("role"), F.length(X.template(F.col("text"))).cast("bigint").alias("template_chars"))
+    return docs.select("doc_id", X.role(F.col("text")).alias("role"), X.template(F.col("text")).alias("template"))
 
 
 def conversation_calls(spark: SparkSession, d: str) -> DataFrame:
@@ -65,6 +66,56 @@ def conversation_calls(spark: SparkSession, d: str) -> DataFrame:
     return p.select("conv_id", "turn", X.clipped(F.col("prompt")).alias("prompt_excerpt"), X.clipped(F.col("output"), limit=200).alias("output_excerpt"))
 
 
+def _read(lines: Callable[[DataFrame], DataFrame], name: str) -> Query:
+    """Calls of the events, written as files that ``lines`` gives the records of, and read back."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        path = scratch(spark, name)
+        records = lines(T.calls_events(spark, d))
+        if name.endswith(".csv"):
+            records.write.csv(path, header=True, escape='"')
+        else:
+            records.select(F.to_json(F.struct("*"))).write.text(path)
+        tokens = [F.coalesce(c, F.lit(-1)).alias(c) for c in ("input_tokens", "output_tokens")]
+        return read_calls(spark, path)[0].select("model", "format", *tokens, "prompt_excerpt", "output_excerpt", "logged_cost_usd", "weight", *([] if name.endswith(".csv") else ["call_id"]))
+
+    return run
+
+
+def _choice(c: str) -> Column:
+    return F.struct(F.array(F.struct(F.struct(F.col(c).alias("content")).alias("message"))).alias("choices"))
+
+
+def _messages(c: str) -> Column:
+    return F.array(F.struct(F.lit("user").alias("role"), F.col(c).alias("content")))
+
+
+def as_litellm(calls: DataFrame) -> DataFrame:
+    usage = F.struct(F.col("input_tokens").alias("prompt_tokens"), F.col("output_tokens").alias("completion_tokens"))
+    return calls.select(F.col("call_id").alias("id"), "model", _messages("prompt_excerpt").alias("messages"), _choice("output_excerpt").alias("response"), usage.alias("usage"), F.col("logged_cost_usd").alias("response_cost"))
+
+
+def as_langfuse(calls: DataFrame) -> DataFrame:
+    usage = F.struct(F.col("input_tokens").alias("input"), F.col("output_tokens").alias("output"))
+    return calls.select(F.col("call_id").alias("id"), F.lit("GENERATION").alias("type"), "model", F.col("prompt_excerpt").alias("input"), F.col("output_excerpt").alias("output"), usage.alias("usage"), F.col("logged_cost_usd").alias("totalCost"))
+
+
+def as_generic(calls: DataFrame) -> DataFrame:
+    """Prompts are lists of messages, outputs objects with choices."""
+    return calls.select(F.col("call_id").alias("id"), F.col("model").alias("model_name"), _messages("prompt_excerpt").alias("prompt"), _choice("output_excerpt").alias("completion"), "input_tokens", "output_tokens", F.col("logged_cost_usd").alias("cost"), F.col("weight").alias("request_count"))
+
+
+def as_usage(calls: DataFrame) -> DataFrame:
+    """Two columns of one name but for case: the last counts."""
+    return calls.select("model", F.col("input_tokens").alias(" Input_Tokens"), "output_tokens", F.lit("7").alias("Cost"), F.col("logged_cost_usd").alias("cost"), F.col("weight").alias("requests"), F.col("prompt_excerpt").alias("prompt"), F.col("output_excerpt").alias("answer"))
+
+
+def read_decision_lines(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch(spark, "decisions.jsonl")
+    T.decisions_events(spark, d).select(F.to_json(F.struct(F.col("p").alias("prob"), F.col("correct").alias("outcome"), "model", "question"))).write.text(path)
+    return read_decisions(spark, path)[0].groupBy("p", "correct", "model", "question").agg(F.count("*").alias("n"))
+
+
 def queries() -> dict[str, Query]:
     q: dict[str, Query] = {
         "verdict_counts": lambda s, d: _audit(s, d).by_verdict.select("verdict", "calls"),
@@ -96,11 +147,16 @@ def queries() -> dict[str, Query]:
         "coverage_table": lambda s, d: _rounded(calibration.coverage_table(T.decisions_labels(s, d)), "sel_acc"),
         "rc_thinned": lambda s, d: _rounded(calibration.thinned(T.decisions_events(s, d)), "coverage", "sel_acc", "threshold"),
         "calibration_compare": lambda s, d: _rounded(calibration.compared(T.decisions_labels(s, d), T.decisions_events(s, d)), "candidate", "baseline"),
-        "selfcheck_mock": lambda s, d: selfcheck.opinions(with_scores(T.calls_events(s, d)).select(F.col("source").alias("origin"), "score", "verdict", "ordinal")),
-        "selfcheck_agreement": lambda s, d: selfcheck.agreement(selfcheck.opinions(with_scores(T.calls_events(s, d)).select(F.col("source").alias("origin"), "score", "verdict", "ordinal"))),
+        "selfcheck_mock": lambda s, d: selfcheck.opinions(selfcheck.of_calls(_audit(s, d).rows)),
+        "selfcheck_agreement": lambda s, d: selfcheck.agreement(selfcheck.opinions(selfcheck.of_calls(_audit(s, d).rows))),
         "event_json_fields": lambda s, d: T.table(s, d, "events").select("event_id", as_int(field(F.try_parse_json("props"), "missing", "k")).alias("k")),
         "conversation_calls": conversation_calls,
         "code_sites": code_sites,
+        "read_litellm": _read(as_litellm, "calls.jsonl"),
+        "read_langfuse": _read(as_langfuse, "calls.ndjson"),
+        "read_generic": _read(as_generic, "calls.jsonl"),
+        "read_usage_csv": _read(as_usage, "usage.csv"),
+        "read_decisions": read_decision_lines,
     }
     return q
 
@@ -179,13 +235,24 @@ def oracle_sql() -> dict[str, str]:
     role = "CASE " + " ".join(f"WHEN regexp_matches({_PLAIN.format('coalesce(text, chr(32))')}, '(?i){p}') THEN '{n}'" for p, n in X.ROLES) + f" ELSE '{X.DEFAULT_ROLE}' END"
     stop = ", ".join(f"'{w}'" for w in X.STOPWORDS)
     words = f"list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z'']+'), lambda w: w NOT IN ({stop}))"
-    checked = f"{events}, o AS (SELECT source origin, score, verdict, CASE WHEN score >= 0.5 THEN 'yes' ELSE 'no' END choice, round(CASE WHEN score >= 0.5 THEN least(0.99::DOUBLE, score) ELSE 1 - greatest(0.02::DOUBLE, score) END, 4) p, true mock FROM s ORDER BY score DESC, ordinal LIMIT 25)"
+    checked = f"{priced}, o AS (SELECT source origin, score, verdict, CASE WHEN score >= 0.5 THEN 'yes' ELSE 'no' END choice, round(CASE WHEN score >= 0.5 THEN least(0.99::DOUBLE, score) ELSE 1 - greatest(0.02::DOUBLE, score) END, 4) p, true mock FROM w ORDER BY score DESC, w.cost_usd DESC, ordinal LIMIT 25)"
 
     def clip(c: str, limit: int) -> str:
         x = strip.format(f"coalesce({c}, '')")
         return f"CASE WHEN length({x}) > {limit} THEN left({x}, 300) || ' … ' || right({x}, 120) ELSE {x} END"
 
+    read = "SELECT {0} model, '{1}' AS format, coalesce(input_tokens, -1)::BIGINT input_tokens, coalesce(output_tokens, -1)::BIGINT output_tokens, prompt prompt_excerpt, output output_excerpt, logged logged_cost_usd, {2}::BIGINT weight{3} FROM e"
+    labelled = f"""WITH l AS (SELECT doc_id::VARCHAR call_id, 'labels#L' || doc_id source, 'gpt-4o-mini' model, NULL::BIGINT input_tokens, NULL::BIGINT output_tokens, {clip("'Is this document toxic? Answer yes or no: ' || text", 440)} prompt,
+      CASE WHEN toxic = 1 THEN 'yes' ELSE 'no' END output, 1 weight, doc_id ordinal FROM labels JOIN documents USING (doc_id)), {_scored('l')}"""
     return {
+        "label_scores": f"{labelled} SELECT verdict, count(*) calls FROM s GROUP BY 1",
+        "code_sites": """SELECT * FROM (VALUES ('a/router.py', 3, 'python', 'c.chat.completions.create', 'gpt-4o', 'Classify this ticket', 'enum membership, reads completion text', 0.655::DOUBLE, 'likely'),
+          ('b/write.ts', 1, 'js', 'messages.create (pattern)', 'claude-sonnet-4', 'Write a blog post about spring', '', 0.06::DOUBLE, 'unlikely')) x(path, line, language, api, model, prompt_excerpt, handling, score, verdict)""",
+        "read_litellm": f"WITH {_EVENTS} " + read.format("", "litellm", "1", ", call_id"),
+        "read_langfuse": f"WITH {_EVENTS} " + read.format("", "langfuse", "1", ", call_id"),
+        "read_generic": f"WITH {_EVENTS} " + read.format("", "generic", "weight", ", call_id"),
+        "read_usage_csv": f"WITH {_EVENTS} " + read.format("", "generic", "weight", ""),
+        "read_decisions": f"WITH {ev} SELECT p, y = 1 correct, 'events' model, question, count(*) n FROM d GROUP BY ALL",
         "verdict_counts": f"{events}, {verdicts} SELECT v.verdict, coalesce(sum(weight), 0)::BIGINT calls FROM v LEFT JOIN s USING (verdict) GROUP BY 1",
         **{f"signal_{n}": f"{events} SELECT call_id, {n} AS value FROM s" for n in S.WEIGHTS},
         "call_scores": f"{events} SELECT call_id, score, verdict FROM s",
@@ -205,7 +272,7 @@ def oracle_sql() -> dict[str, str]:
         "prompt_clip": f"SELECT doc_id, {clip('text', 440)} AS excerpt FROM documents",
         "output_norm": rf"SELECT doc_id, regexp_replace(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g'), '^ | $', '', 'g') AS normal FROM documents",
         "redact_documents": f"SELECT doc_id, {redact} AS safe FROM documents",
-        "map_documents": f"SELECT doc_id, {role} AS role, length(array_to_string(({words})[1:5], ' '))::BIGINT template_chars FROM documents",
+        "map_documents": f"SELECT doc_id, {role} AS role, array_to_string(({words})[1:5], ' ') AS template FROM documents",
         "reliability_bins": f"WITH {ev}, {bins} SELECT CAST(i AS INT) bin, round(i / 10, 6) lo, round((i + 1) / 10, 6) hi, coalesce(n, 0) n, round(coalesce(conf, 0), 6) conf, round(coalesce(acc, 0), 6) acc, round(coalesce(acc - conf, 0), 6) gap, round(coalesce(abs(acc - conf), 0), 6) abs_gap FROM range(10) x(i) LEFT JOIN b ON bin = i",
         "calibration_summary": f"WITH {ev}, {bins} SELECT count(*) n, round(avg(y), 6) accuracy, round(avg(p), 6) avg_p, round(avg((p - y) ** 2), 6) brier, 'events' model, round((SELECT sum(n * abs(acc - conf)) / sum(n) FROM b), 6) ece, round((SELECT max(abs(acc - conf)) FROM b), 6) mce FROM d",
         "calibration_groups": f"WITH {lb}, b AS (SELECT question, least(CAST(floor(p * 10) AS INT), 9) bin, count(*) n, sum(p) sp, sum(y) sy FROM d GROUP BY 1, 2) SELECT question, sum(n)::BIGINT n, round(sum(sy)::DOUBLE / sum(n), 6) accuracy, round(sum(abs(sy - sp)) / sum(n), 6) ece, round(sum(sp) / sum(n), 6) avg_p FROM b GROUP BY 1",

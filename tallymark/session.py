@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,3 +37,9 @@ def staged(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tallymark-')}")
     return df.checkpoint()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the folder that driver and executors share, for files named ``name``; on one machine, without such a folder, in a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='tallymark-')}"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}-{name}"

@@ -80,7 +80,7 @@ def sniffed(v: Column) -> Column:
 
     return (
         F.when(has(keys, "messages", "response_cost"), "litellm")
-        .when(F.coalesce(as_text(field(v, "type")) == "generation", F.lit(False)) | has(keys, "totalcost", "calculatedtotalcost"), "langfuse")
+        .when(F.coalesce(F.lower(as_text(field(v, "type"))) == "generation", F.lit(False)) | has(keys, "totalcost", "calculatedtotalcost"), "langfuse")
         .when(has(usage, "prompt_tokens", "completion_tokens") & ~has(usage, "input"), "litellm")
         .when(has(usage, "input") & has(usage, "output") & ~has(usage, "prompt_tokens"), "langfuse")
         .otherwise("generic")
@@ -109,7 +109,7 @@ def json_records(spark: SparkSession, path: str) -> DataFrame:
     """(file, ordinal, v, bad): parsed objects in order; rows that do not parse have bad set and no ordinal."""
     whole = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.regexp_replace("value", "\\A\ufeff", "").alias("text"))
     t = F.regexp_replace("text", r"(?U)\A\s+|\s+\z", "")
-    one = t.startswith("[") | (t.startswith("{") & ~t.rlike(LINES))
+    one = t.startswith("[") | (t.startswith("{") & ~t.contains("\n"))
     parsed = F.when(one, F.try_parse_json(t))
     listed = F.coalesce(F.try_variant_get(parsed, "$", "array<variant>"), F.when(F.try_variant_get(parsed, "$.data", "array<variant>").isNotNull(), F.try_variant_get(parsed, "$.data", "array<variant>")), F.array(parsed))
     whole = whole.withColumn("whole", F.when(parsed.isNotNull(), listed))
@@ -125,10 +125,11 @@ def json_records(spark: SparkSession, path: str) -> DataFrame:
 
 def table_records(spark: SparkSession, path: str, suffix: str) -> DataFrame:
     """Rows of a CSV or TSV file as variants, names stripped and in lower case, values strings."""
-    raw = spark.read.csv(path, header=True, inferSchema=False, sep="\t" if suffix == ".tsv" else ",", multiLine=True, escape='"', encoding="UTF-8")
-    names = [n.lstrip("\ufeff").strip().lower() for n in raw.columns]
-    rows = raw.toDF(*[f"c{i}" for i in range(len(names))])
-    v = F.parse_json(F.to_json(F.struct(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names)))))
+    how = {"sep": "\t" if suffix == ".tsv" else ",", "multiLine": True, "escape": '"', "encoding": "UTF-8"}
+    head = spark.read.csv(path, header=False, **how).first()
+    names = {(n or "").lstrip("\ufeff").strip().lower(): i for i, n in enumerate(head or ["model"])}  # of equal names the last
+    rows = spark.read.schema(", ".join(f"c{i} string" for i in range(len(head or names)))).csv(path, header=True, enforceSchema=True, **how)
+    v = F.parse_json(F.to_json(F.struct(*(F.col(f"c{i}").alias(n) for n, i in names.items()))))
     numbered = rows.select(v.alias("v"), F.monotonically_increasing_id().alias("i"))
     order = Window.orderBy("i")  # one file read in one task: multi-line files are not split
     name = os.path.basename(unquote(urlparse(path).path))
@@ -148,6 +149,9 @@ def _normal(v: Column) -> dict[str, dict[str, Column]]:
     listed = messages_text(F.try_variant_get(v, "$.input", "variant"))
     asked = F.when(inputs != "", inputs).when(listed != "", listed).otherwise(messages_text(F.try_variant_get(v, "$.body.messages", "variant")))
     count = as_int(field(v, *COUNT))
+    said, answered = field(v, *PROMPT), field(v, *OUTPUT)
+    answered = F.when(kind(answered).startswith("OBJECT"), F.try_variant_get(answered, "$.choices[0].message.content", "variant")).otherwise(answered)
+    either = lambda x: F.when(kind(x).startswith("ARRAY"), messages_text(x)).otherwise(F.coalesce(as_text(x), F.lit("")))
     one = F.lit(1).cast("bigint")
     unknown = F.lit("unknown")
     return {
@@ -161,7 +165,7 @@ def _normal(v: Column) -> dict[str, dict[str, Column]]:
         },
         "generic": {
             "model": F.coalesce(F.try_variant_get(field(v, *MODEL), "$", "string"), unknown), "input_tokens": F.coalesce(as_int(field(v, *INPUT_TOKENS)), used(*USAGE_INPUT)), "output_tokens": F.coalesce(as_int(field(v, *OUTPUT_TOKENS)), used(*USAGE_OUTPUT)),
-            "prompt": F.coalesce(as_text(field(v, *PROMPT)), F.lit("")), "output": F.coalesce(as_text(field(v, *OUTPUT)), F.lit("")), "cost": as_float(field(v, *COST)), "time": as_text(field(v, *TIME)), "weight": F.when(count != 0, count).otherwise(one),
+            "prompt": either(said), "output": either(answered), "cost": as_float(field(v, *COST)), "time": as_text(field(v, *TIME)), "weight": F.when(count != 0, count).otherwise(one),
         },
     }
 

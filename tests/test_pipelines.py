@@ -75,6 +75,19 @@ def test_audit_and_report(spark, logs):
     assert "<script src" not in page and "http" not in page and "a@b.co" not in page
 
 
+def test_odd_records(spark, tmp_path):
+    p = tmp_path / "one.json"
+    p.write_text('{"model": "m", "prompt": ["Rate", {"content": "this"}], "completion": {"choices": [{"message": {"content": "4\u2028"}}]}}', encoding="utf-8")
+    r = read_calls(spark, str(p))[0].first()
+    assert (r["format"], r["prompt_excerpt"], r["output_excerpt"]) == ("generic", "Rate\nthis", "4")
+    c = tmp_path / "u.csv"
+    c.write_text("model,Cost,cost\nm,1,2\n", encoding="utf-8")
+    assert read_calls(spark, str(c))[0].first()["logged_cost_usd"] == 2.0
+    c.write_text("", encoding="utf-8")
+    assert read_calls(spark, str(c))[0].count() == 0
+    assert main(["audit", str(p), "no-such-file.csv"], spark) == 0
+
+
 def test_prices(spark, tmp_path):
     p = tmp_path / "p.json"
     p.write_text(json.dumps({"models": {"GPT-4": [9, 9], "gpt-4o-m": [1, 1]}}))
@@ -133,7 +146,7 @@ def route(c, t):
     return x if x in LABELS else "b"
 def story(c):
     return c.messages.create(model="claude-3", messages=[{"content": f"Write a story"}])
-db.completion(model="postgres-v2")
+shell.completion(model="bash-5", word="git")
 '''
 
 
@@ -164,7 +177,9 @@ def test_code_scan_and_migration(spark, tree, tmp_path):
 
 
 def test_self_check(spark):
-    rows = spark.createDataFrame([("a", 0.9, "likely", 1), ("b", 0.4, "maybe", 2), ("c", 0.1, "unlikely", 3)], "origin string, score double, verdict string, ordinal bigint")
+    rows = spark.createDataFrame([("a", "", 0.9, "likely", 1.0, 1), ("b", "", 0.4, "maybe", 1.0, 2), ("c", "", 0.1, "unlikely", 0.5, 3), ("d", "", 0.1, "unlikely", 2.0, 4)], "origin string, prompt string, score double, verdict string, cost_usd double, ordinal bigint")
+    assert [r["origin"] for r in selfcheck.opinions(rows, 3).collect()] == ["a", "b", "d"]
+    rows = rows.filter("origin != 'd'")
     a = selfcheck.agreement(selfcheck.opinions(rows)).first()
     assert (a["n"], round(a["agreement"], 4), a["errors"], a["mock"]) == (3, 0.6667, 0, True)
     assert selfcheck.ask("q", ["yes", "no"], 0.1)["choice"] == "no"
