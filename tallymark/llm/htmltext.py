@@ -2,9 +2,13 @@
 
 Markup is stripped into lines, one for each block-level run of text. Lines inside menus, headers, footers,
 sidebars, notices, adverts, forms and reader comments are page furniture and left out before anything is
-measured; the others weigh their length. A block is a run of lines that only furniture parts and that lie all in
-one article or main element or all in none. If the heaviest block lies in such an element, the text is that of
-these elements; otherwise it is all that is not furniture.
+measured; the others weigh their length.
+
+Where no article or main element holds the heaviest block (a run of lines all in one such element or all in none),
+lengths are summed over sliding windows of WINDOW lines. The text surges at the first window that reaches SURGE
+characters, or a SHARE of the fullest window if that is less, and dives after the last; it is all that lies
+between. Where such an element holds the heaviest block, its start and end are the surge and the dive: the text is
+that of all such elements.
 """
 
 from __future__ import annotations
@@ -18,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Lines in a window, characters of a window at which the text surges, and the same as a share of the fullest window.
+WINDOW, SURGE, SHARE = 5, 80, 0.25
 #: Elements whose text never shows as page text.
 HIDDEN = frozenset("script style noscript template head title textarea select option button svg math iframe object canvas datalist audio video".split())
 #: Elements that hold page furniture.
@@ -123,12 +129,26 @@ def lines_of(page: str) -> list[tuple[str, bool, int]]:
     return out
 
 
+def surge_and_dive(lengths: list[int]) -> tuple[int, int]:
+    """The lines between surge and dive: the first of the first full window, and one past the last of the last."""
+    upto = list(itertools.accumulate(lengths, initial=0))
+    last = max(1, len(lengths) - WINDOW + 1)
+    sums = [upto[min(i + WINDOW, len(lengths))] - upto[i] for i in range(last)]
+    least = min(SURGE, SHARE * max(sums))
+    full = [i for i, n in enumerate(sums) if n >= least]
+    return full[0], min(full[-1] + WINDOW, len(lengths))
+
+
 def main_text(page: str | None) -> str:
     """The main text: lines joined by one newline; empty for null, empty or textless pages."""
     lines = [(text, article) for text, furniture, article in lines_of(page or "") if not furniture]
+    if not lines:
+        return ""
     blocks = [(sum(len(text) for text, _ in block), article) for article, block in itertools.groupby(lines, key=lambda x: x[1])]
-    bound = bool(blocks) and max(blocks, key=lambda b: b[0])[1] > 0
-    return "\n".join(text for text, article in lines if article or not bound)
+    if max(blocks, key=lambda b: b[0])[1]:
+        return "\n".join(text for text, article in lines if article)
+    surge, dive = surge_and_dive([len(text) for text, _ in lines])
+    return "\n".join(text for text, _ in lines[surge:dive])
 
 
 def extracted(page: Column) -> Column:

@@ -423,6 +423,21 @@ def test_vectors(spark):
     assert len(vectors.nearest_neighbours(frame.filter("vec_id < 3"), F.lit(True)).collect()) == 6
 
 
+def test_recall_of_full_shards(spark):
+    """The registered query's parameters over the table at sf0.1: the 20 nearest against all products."""
+    frame = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = frame.orderBy("vec_id").collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], "f8")
+    got = collections.defaultdict(list)
+    for r in vectors.nearest_neighbours(frame, F.col("vec_id") % 20 == 0, shard=1000).collect():  # two shards
+        got[r["query_id"]].append(r["score"])
+    hits = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        s = np.delete(x @ x[q], q)
+        hits += sum(v >= np.sort(s)[-20] - 1e-9 for v in got[ids[q]])
+    assert hits / (20 * len(got)) >= 0.9
+
+
 def test_url_rules(spark):
     urls = ["http://a.net/x", "https://M.Example.NET/en/5", "http://example.com/de/?q", "http://x.example.com/de", "http://b.org/fr/a/b", "net/", None, "", "http://net", "x://a.net?/", "http://anet/", "http://a.net//", "http://" + "a." * 300 + "net/" + "b/" * 300]
     rows = [(i, u, "clash") for i, u in enumerate(urls)] + [(0, urls[0], "again")]
@@ -467,6 +482,30 @@ def test_main_text_of_other_shapes(page, text):
     assert htmltext.main_text(page) == text
 
 
+def test_surge_and_dive():
+    rng = random.Random(6)
+    for _ in range(300):
+        lengths = [rng.choice([1, 3, 10, 40, 200]) for _ in range(rng.randrange(1, 30))]
+        w = htmltext.WINDOW
+        windows = {i: sum(lengths[i : i + w]) for i in range(len(lengths)) if i == 0 or i + w <= len(lengths)}
+        least = min(htmltext.SURGE, htmltext.SHARE * max(windows.values()))
+        inside = {k for i, n in windows.items() if n >= least for k in range(i, min(i + w, len(lengths)))}
+        assert htmltext.surge_and_dive(lengths) == (min(inside), max(inside) + 1)
+    menu = [f"Item {i}" for i in range(12)]
+    body = ["A heading", *("A sentence of the text that goes on for a while, as such do." for _ in range(6))]
+    page = "<body>" + "".join(f"<div>{t}</div>" for t in [*menu, *body, *menu]) + "</body>"
+    kept = htmltext.main_text(page).split("\n")
+    assert [x for x in kept if x not in menu] == body and len(kept) < len(body) + 2 * htmltext.WINDOW
+
+
+def test_long_pages(spark):
+    rows = [(i, "u", t, "") for i, t in enumerate(["<article>" + "<p>word " * 100_000, "<div>" * 50_000 + "x", "a<" * 200_000, "<p class='" + "y " * 300_000 + "'>z"])]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")
+    got = {r["page_id"]: r["n_chars"] for r in htmltext.extract_pages(pages).collect()}
+    assert got[0] == 500_000 - 1 and got[1] == 1 and got[3] == 1 and len(got) == 4
+    assert htmltext.extract_pages(pages.limit(0)).count() == 0
+
+
 def test_pages(spark):
     rows = [(1, "u", "<article><p>a\u00e9</p></article>", "clash"), (1, "u", None, ""), (None, None, "", "")]
     got = htmltext.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")).collect()
