@@ -25,3 +25,4 @@ def test_entry_points():
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert "verdict_counts" in e.queries()
+    assert ("pipeline" in e.queries()) == (e.llm is not None) == any(n.startswith("op1_") for n in e.queries())
