@@ -2,8 +2,8 @@
 
 Equal vectors collapse first. Vectors are dealt to shards by hash; in a shard, greedy searches from the
 centre propose neighbours for each vector, pruning keeps those that no kept one makes redundant by a factor
-ALPHA (Subramanya et al., 2019), and edges are added both ways. Queries, in blocks, are searched in every
-shard with a beam; scores are inner products in double precision on the original vectors. Inner products
+ALPHA (Subramanya et al., 2019), and edges are added both ways. Each graph is built once and written with its
+vectors. Queries, in blocks, are searched in every shard with a beam; scores are inner products in double precision on the original vectors. Inner products
 become distances by one more component that brings all vectors of a shard to one norm.
 """
 
@@ -25,9 +25,9 @@ K = 20
 
 
 class Graph:
-    """A searchable graph over the rows of a matrix."""
+    """A searchable graph over the rows of a matrix; with ``edges``, one that was built before."""
 
-    def __init__(self, vectors: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA, seed: int = 3):
+    def __init__(self, vectors: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA, seed: int = 3, edges: np.ndarray | None = None):
         self.vectors = np.asarray(vectors, np.float64)
         x = self.vectors / max(np.abs(self.vectors).max(initial=0.0), 1e-300)
         norms = (x * x).sum(1)
@@ -35,15 +35,15 @@ class Graph:
         self.degree, self.alpha = degree, alpha
         n = len(self.x)
         rng = np.random.default_rng(seed)
-        self.edges = np.full((n, degree), -1, np.int32)
-        if n > 1:
+        self.edges = np.full((n, degree), -1, np.int32) if edges is None else edges
+        if n > 1 and edges is None:
             start = min(degree // 2, n - 1)
             self.edges[:, :start] = (np.arange(n)[:, None] + 1 + rng.integers(0, n - 1, (n, start))) % n
         centre = self.x.mean(0) if n else 0
         self.entry = int(((self.x - centre) ** 2).sum(1).argmin()) if n else -1
         order = rng.permutation(n)
         at, step = 0, 256
-        while at < n:
+        while at < n and edges is None:
             self._insert(order[at : at + step], beam)
             at, step = at + step, min(2 * step, 1024)
 
@@ -154,14 +154,21 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, id_col: str = "vec_
     shards = max(1, -(-classes.count() // shard))
     asked = rows.filter("asked").select("id", "v")
     blocks = max(1, -(-asked.count() // query_block))
-    base = classes.select(F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "v", "ids")
+
+    def build(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("ids", key=lambda c: c.map(lambda x: x[0])).reset_index(drop=True)
+        return rows.assign(at=np.arange(len(rows), dtype=np.int32), edges=list(Graph(np.stack(rows["v"].to_numpy())).edges))
+
+    dealt = classes.select(F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int").alias("shard"), "v", "ids")
+    graphs = written(dealt.groupBy("shard").applyInPandas(build, "shard int, v array<double>, ids array<bigint>, at int, edges array<int>"), "graphs")
+    base = graphs.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     probe = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("to"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("part"), F.col("id").alias("query_id"), F.col("v").alias("q"))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "ids": [], "score": []})
-        left = left.sort_values("ids", key=lambda c: c.map(lambda x: x[0])).reset_index(drop=True)
-        graph = Graph(np.stack(left["v"].to_numpy()))
+        left = left.sort_values("at").reset_index(drop=True)
+        graph = Graph(np.stack(left["v"].to_numpy()), edges=np.stack(left["edges"].to_numpy()).astype(np.int32))
         # one more than k, as a query may find itself
         nodes, scores = graph.nearest(np.stack(right["q"].to_numpy()), k + 1, beam)
         at = nodes >= 0
