@@ -197,6 +197,7 @@ def _settled(members: DataFrame, sets: DataFrame, percent: int, block: int) -> D
     sized = counts.groupBy("bucket").agg(F.sum("weight").alias("weight"), F.max(F.struct("weight", "component")).alias("most"))
     blocks = lambda c: F.greatest(F.lit(1), F.ceil(c / block)).cast("int")
     sized = sized.select("bucket", F.col("most.component").alias("largest"), blocks(F.col("weight")).alias("bases"), blocks(F.col("weight") - F.col("most.weight")).alias("parts"))
+    sized = written(sized, "sized")  # so that a crowded bucket's rows can be split in the join
     placed = members.join(sized, "bucket").withColumn("probe", F.col("component") != F.col("largest"))
     base, part = F.pmod(F.xxhash64("rep"), F.col("bases")).cast("int"), F.pmod(F.xxhash64(F.lit(1), "rep"), F.col("parts")).cast("int")
     to = lambda p, q: F.struct(p.cast("int").alias("base"), q.cast("int").alias("part"))
