@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,22 +64,20 @@ def short_input(tokens: Column, text: Column) -> Column:
 
 
 def is_json(text: Column) -> Column:
-    """Whether a text is JSON as Python reads it (numbers like NaN and repeated keys pass); only asked of texts that begin like JSON."""
-
-    @F.pandas_udf("boolean")
-    def valid(texts: pd.Series) -> pd.Series:
-        def one(t: str | None) -> bool:
-            if not t or t[0] not in "{[":
-                return False
-            try:
-                json.loads(t)
-            except (ValueError, RecursionError):
-                return False
-            return True
-
-        return pd.Series([one(t) for t in texts], dtype=bool)
-
-    return valid(text)
+    """Whether a text is one JSON array or object as Python reads it: NaN, Infinity and repeated keys pass. Null is not.
+
+    Escapes and the insides of strings are taken out first, so only the structure is left. That has to be
+    the single member of an array and of an object alike, so nothing can follow it: a bracket ends one of
+    the two too early, a comma makes a second member. Arrays nested more than about a thousand deep are no JSON.
+    """
+    control = F.lit(r"[\x00-\x1F]")
+    plain = F.regexp_replace(text, r'\\(?:["\\/bfnrt]|u[0-9A-Fa-f]{4})', "x")
+    bare = F.regexp_replace(plain, r'"[^"]*"', '""')
+    inside_clean = (F.regexp_count(plain, control) == F.regexp_count(bare, control)) & ~F.contains(plain, F.lit("\\")) & ~F.contains(bare, F.lit("'"))
+    numbers = F.regexp_replace(bare, r"(?<![\w.+-])(?:-?Infinity|NaN)(?![\w.])", "0")
+    member = F.json_array_length(F.concat(F.lit("["), numbers, F.lit("]"))) == 1
+    value = F.size(F.json_object_keys(F.concat(F.lit('{"x":'), numbers, F.lit("}")))) == 1
+    return F.coalesce(inside_clean & member & value, F.lit(False))
 
 
 def structured_output(text: Column) -> Column:
@@ -90,7 +85,7 @@ def structured_output(text: Column) -> Column:
     begins = F.substring(t, 1, 1).isin("{", "[")
     return (
         F.when(t == "", 0.0)
-        .when(begins, F.when(is_json(F.when(begins, t)), 1.0).otherwise(0.5))
+        .when(begins, F.when(is_json(t), 1.0).otherwise(0.5))
         .when(F.lower(t).isin("yes", "no", "true", "false"), 1.0)
         .when(t.rlike(r"(?U)\A-?\d+(?:\.\d+)?\z"), 1.0)
         .when((F.length(t) <= 48) & t.rlike(r"\A[A-Za-z0-9][A-Za-z0-9_\-/ ]{0,47}\z") & (F.size(F.split(t, " +")) <= 4), 0.8)
@@ -114,8 +109,10 @@ def question_shape(prompt: Column) -> Column:
     return F.least(F.lit(1.0), F.when(ends, 0.7).otherwise(0.0) + F.when(starts, 0.3).otherwise(0.0))
 
 
-def penalty(prompt: Column) -> Column:
-    return F.when((hits(prompt, GENERATIVE) > 0) & (hits(prompt, DECISION) == 0), PENALTY).otherwise(1.0)
+def penalty(prompt: Column, decides: Column | None = None) -> Column:
+    """``decides``: whether the prompt has decision language, where that is known already."""
+    decides = hits(prompt, DECISION) > 0 if decides is None else decides
+    return F.when(~decides & (hits(prompt, GENERATIVE) > 0), PENALTY).otherwise(1.0)
 
 
 def low_diversity(cluster: Column) -> Column:
@@ -128,7 +125,7 @@ def score(signals: Column, prompt: Column) -> Column:
     total = F.lit(0.0)
     for name, weight in WEIGHTS.items():
         total = total + weight * signals[name]
-    return F.round(total * penalty(prompt), 4)
+    return F.round(total * penalty(prompt, signals["decision_language"] > 0), 4)
 
 
 def verdict(score: Column, likely: float = LIKELY, maybe: float = MAYBE) -> Column:
