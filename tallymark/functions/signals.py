@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallymark.functions.text import stripped
+from tallymark.functions.text import any_of, folded, stripped
 
 #: Weights of the signals.
 WEIGHTS = {
@@ -95,7 +95,7 @@ def structured_output(text: Column) -> Column:
 
 def hits(text: Column, stems: list[str]) -> Column:
     """Stems found in a text, without overlaps."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(f"(?iU){'|'.join(stems)}"))
+    return F.regexp_count(folded(F.coalesce(text, F.lit(""))), F.lit(f"(?U){any_of(stems)}"))
 
 
 def decision_language(prompt: Column) -> Column:

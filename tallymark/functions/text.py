@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import operator
+import re
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,6 +44,26 @@ def stripped(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
 
 
+def folded(c: Column) -> Column:
+    """In lower case as patterns that ignore case see it: the four letters outside ASCII that equal an ASCII one become that one.
+
+    A pattern in lower case then needs no ``(?i)``, which costs several times as much in Java.
+    """
+    return F.lower(F.when(F.length(c) == F.octet_length(c), c).otherwise(F.translate(c, "ſıİ\u212a", "siik")))
+
+
+def any_of(stems: list[str]) -> str:
+    """One pattern for all stems that asks for the start of a word once for those that want one, not once for each."""
+    starts = [s.removeprefix(r"\b").replace(r"|\b", "|") for s in stems if s.startswith(r"\b")]
+    return "|".join([rf"\b(?:{'|'.join(starts)})", *(s for s in stems if not s.startswith(r"\b"))])
+
+
+def holds(low: Column, pattern: str) -> Column:
+    """Whether a folded text matches ``pattern``; it is searched only where it holds the letters that an alternative begins with."""
+    letters = re.findall(r"(?:^|\|(?![^(]*\)))(?:\\b)?([a-z]+)", pattern)
+    return reduce(operator.or_, (F.contains(low, F.lit(x)) for x in letters)) & low.rlike(f"(?U)(?:{pattern})")
+
+
 def clipped(c: Column, head: int = 300, tail: int = 120, limit: int = 440) -> Column:
     """Stripped; beyond ``limit`` characters, the head and the tail around an ellipsis."""
     t = stripped(F.coalesce(c, F.lit("")))
@@ -71,10 +95,14 @@ def cell(c: Column, most: int | None = None) -> Column:
 
 def role(prompt: Column) -> Column:
     """The role that a prompt asks for."""
-    out = F.lit(DEFAULT_ROLE)
-    for pattern, name in reversed(ROLES):
-        out = F.when(prompt.rlike(f"(?iU)(?:{pattern})"), F.lit(name)).otherwise(out)
-    return out
+
+    def first(low: Column) -> Column:
+        out = F.lit(DEFAULT_ROLE)
+        for pattern, name in reversed(ROLES):
+            out = F.when(holds(low, pattern), F.lit(name)).otherwise(out)
+        return out
+
+    return F.transform(F.array(folded(prompt)), first)[0]  # folded once, not once for each role
 
 
 def template(prompt: Column, words: int = 5) -> Column:

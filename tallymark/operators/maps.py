@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.functions.text import normal_output, role, template
+from tallymark.session import staged
 
 #: Options that a sketch lists at most, and origins.
 OPTIONS, ORIGINS = 10, 5
@@ -19,9 +20,10 @@ def build_maps(items: DataFrame) -> DataFrame:
     """One row per (role, template): calls, scores, kind, options or range or note, example, origins; most calls first.
 
     items: prompt, output, score, weight, origin, ordinal. Distinct outputs and origins are counted in two
-    levels, so a cluster with many of them gathers no more than it shows.
+    levels, so a cluster with many of them gathers no more than it shows. Roles and templates are found once
+    and written, as five aggregates read them.
     """
-    keyed = items.select(role(F.col("prompt")).alias("role"), template(F.col("prompt")).alias("template"), "*", normal_output(F.col("output")).alias("out"))
+    keyed = staged(items.select(role(F.col("prompt")).alias("role"), template(F.col("prompt")).alias("template"), "*", normal_output(F.col("output")).alias("out")))
     keys = ["role", "template"]
     main = keyed.groupBy(*keys).agg(
         F.sum("weight").alias("calls"), F.min("score").alias("low"), F.max("score").alias("high"), F.min("ordinal").alias("first"),
