@@ -9,19 +9,22 @@ and from there to character offsets of the original text.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallymark.llm.common import dropped, written
+
 #: Words in a window; an item with fewer is one window.
 WINDOW = 13
 #: A document is contaminated from one hit word in this many.
 SHARE = 20
-#: Benchmark characters in one automaton; a larger benchmark is scanned with several, one after the other.
-AUTOMATON_CHARS = 16_000_000
+#: Benchmark characters in one automaton; a larger benchmark takes several passes over the texts.
+AUTOMATON_CHARS = 2_000_000
 
 #: Everything outside [^\x00-\x2F\x3A-\x60\x7B-\x7F], after lower-casing A-Z, becomes a space.
 _TABLE = bytes(
@@ -121,26 +124,40 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
     All columns of docs are kept; one named like ``out_col`` is replaced. A null or wordless text has no
     words and no hits. Items with a null id or text, or without words, give no window; equal items are all
-    listed. An empty benchmark finds nothing. The benchmark goes through the driver in parts of bounded size;
-    each part is one automaton, and every text is scanned with each, so a process holds the whole benchmark.
+    listed. An empty benchmark finds nothing. Each part of the benchmark is one automaton of bounded size and
+    one pass over the texts, which adds to what the passes before it found; passes but the last are written,
+    so driver and workers hold one automaton at a time, however large the benchmark is.
     """
-    spark = docs.sparkSession
-    automata = [spark.sparkContext.broadcast(Automaton(p, window)) for p in _shards(benchmark, item_col, item_text_col, automaton_chars)]
+    context, before, scanned = docs.sparkSession.sparkContext, None, None
+    for part in _shards(benchmark, item_col, item_text_col, automaton_chars):
+        if before is not None:
+            last, scanned = scanned, written(docs, "scanned")
+            docs = scanned
+            before.destroy()
+            if last is not None:
+                dropped(last)
+        automaton = context.broadcast(Automaton(part, window))
+        docs = docs.withColumn(out_col, _pass(automaton)(F.col(text_col), F.lit(None).cast(FOUND) if before is None else F.col(out_col)))
+        before = automaton
+    return docs
+
+
+def _pass(automaton: Broadcast) -> Callable[[Column, Column], Column]:
+    """A function of (text, what was found before it) that adds what this automaton finds."""
 
     @F.pandas_udf(FOUND)
-    def found(texts: pd.Series) -> pd.DataFrame:
+    def found(texts: pd.Series, known: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        for t in texts:
-            words, ranges, items = words_of(t), [], set()
-            for a in automata:
-                r, i = a.value.scan(words)
-                ranges += r
-                items |= i
-            ranges = merged(ranges)
+        for t, old, old_items in zip(texts, known["words"], known["items"], strict=True):
+            words = words_of(t)
+            ranges, items = automaton.value.scan(words)
+            if old is not None:
+                ranges = merged(ranges + [(r["start"], r["end"]) for r in old])
+                items |= set(old_items)
             rows.append((len(words), sum(b - a for a, b in ranges), sorted(items), [{"start": a, "end": b} for a, b in ranges], [{"start": a, "end": b} for a, b in char_spans(t or "", ranges)]))
         return pd.DataFrame(rows, columns=["n_words", "n_hit", "items", "words", "chars"])
 
-    return docs.withColumn(out_col, found(F.col(text_col)))
+    return found
 
 
 def is_contaminated(found: str = "found", share: int = SHARE) -> Column:
