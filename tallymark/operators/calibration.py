@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallymark.session import staged
+
 #: Coverages that the table shows.
 LEVELS = [0.5, 0.7, 0.8, 0.9, 0.95, 0.99, 1.0]
 #: Points that a thinned curve has, about.
@@ -47,16 +51,16 @@ def groups(decisions: DataFrame, bins: int = 10) -> DataFrame:
     return rows.orderBy(F.desc("n"), "first").drop("first")
 
 
-def risk_coverage(decisions: DataFrame) -> DataFrame:
-    """(k, coverage, sel_acc, threshold): accuracy of the k surest decisions, for every k.
+def _ranked(decisions: DataFrame) -> tuple[DataFrame, int]:
+    """The curve (k, coverage, sel_acc, threshold), and how many decisions there are.
 
-    Ranks come from range partitions: each is sorted and counted by itself, and the counts of those before it
-    (one row for each partition) are added, so no task sees more than its range.
+    Ranks come from range partitions, which are written: each is sorted and counted by itself, and the counts of those
+    before it (one row for each partition) are added, so no task sees more than its range.
     """
     spark = decisions.sparkSession
     order = [F.desc("p"), F.asc("ordinal")]
-    ranged = decisions.select("p", "ordinal", F.col("correct").cast("int").alias("y")).repartitionByRange(spark.sparkContext.defaultParallelism, *order)
-    ranged = ranged.withColumn("part", F.spark_partition_id()).persist()
+    ranged = decisions.select("p", "ordinal", F.col("correct").cast("int").alias("y")).repartitionByRange(*order)
+    ranged = staged(ranged.withColumn("part", F.spark_partition_id()))
     sums = ranged.groupBy("part").agg(F.count("*").alias("c"), F.sum("y").alias("h")).orderBy("part").collect()
     before, k, h = [], 0, 0
     for r in sums:
@@ -65,21 +69,32 @@ def risk_coverage(decisions: DataFrame) -> DataFrame:
     offsets = F.broadcast(spark.createDataFrame(before, "part int, k0 bigint, h0 bigint"))
     w = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = ranged.join(offsets, "part").select("p", (F.col("k0") + F.count("*").over(w)).alias("k"), (F.col("h0") + F.sum("y").over(w)).alias("hits"))
-    return rows.select("k", (F.col("k") / F.lit(max(k, 1))).alias("coverage"), (F.col("hits") / F.col("k")).alias("sel_acc"), F.col("p").alias("threshold"))
+    return rows.select("k", (F.col("k") / F.lit(max(k, 1))).alias("coverage"), (F.col("hits") / F.col("k")).alias("sel_acc"), F.col("p").alias("threshold")), k
+
+
+def risk_coverage(decisions: DataFrame) -> DataFrame:
+    """(k, coverage, sel_acc, threshold): accuracy of the k surest decisions, for every k."""
+    return _ranked(decisions)[0]
+
+
+def rank_at(level: float, n: int) -> int:
+    """The fewest of n decisions that cover ``level`` of them, within 1e-9."""
+    k = max(1, math.ceil((level - 1e-9) * n))
+    return next(i for i in (k - 1, k, k + 1) if i > 0 and i / n >= level - 1e-9)
 
 
 def coverage_table(decisions: DataFrame) -> DataFrame:
     """(level, sel_acc) at the fewest decisions that reach each coverage; null if none does."""
-    spark = decisions.sparkSession
-    levels = spark.createDataFrame([(x,) for x in LEVELS], "level double")
-    curve = risk_coverage(decisions).select("k", "coverage", "sel_acc", F.explode(F.array(*map(F.lit, LEVELS))).alias("level")).filter(F.col("coverage") >= F.col("level") - 1e-9)
-    return levels.join(curve.groupBy("level").agg(F.min_by("sel_acc", "k").alias("sel_acc")), "level", "left").orderBy("level")
+    curve, n = _ranked(decisions)
+    ranks = [(x, rank_at(x, n) if n else None) for x in LEVELS]
+    levels = decisions.sparkSession.createDataFrame(ranks, "level double, k bigint")
+    return levels.join(curve.filter(F.col("k").isin([k for _, k in ranks if k])), "k", "left").select("level", "sel_acc").orderBy("level")
 
 
 def thinned(decisions: DataFrame, points: int = POINTS) -> DataFrame:
     """The curve at every N // points-th decision, and at the last."""
-    n = decisions.count()
-    return risk_coverage(decisions).filter(((F.col("k") - 1) % max(1, n // points) == 0) | (F.col("k") == n)).orderBy("k")
+    curve, n = _ranked(decisions)
+    return curve.filter(((F.col("k") - 1) % max(1, n // points) == 0) | (F.col("k") == n)).orderBy("k")
 
 
 def compared(candidate: DataFrame, baseline: DataFrame) -> DataFrame:

@@ -29,14 +29,10 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the checkpoint folder: what reads it plans over its rows, not over how they were read.
-
-    The folder is the one the cluster names; where none is set, on one machine, a temporary one.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tallymark-')}")
-    return df.checkpoint()
+    """df computed once and written to the shared folder: what reads it plans over its rows, not over how they were read."""
+    path = scratch(df.sparkSession, "staged")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -1,8 +1,8 @@
 """Readers of logged calls (JSONL, NDJSON, JSON, CSV, TSV) and of decisions, into the fixed schemas.
 
 Records are parsed as VARIANT, since their fields differ from row to row; field names are looked up by alias
-in order. A file whose text is one JSON value is read whole, so it has to fit one task; lines of a file are
-exploded after that. Formats are told by the first record of a file.
+in order. A file whose text is one JSON list is read whole, so it has to fit one task; others are read by lines, in
+parts of a file. Formats are told by the first record of a file.
 """
 
 from __future__ import annotations
@@ -105,22 +105,56 @@ def expand(path: str) -> list[str]:
     return [os.path.join(path, n) for s in SUFFIXES for n in names if n.lower().endswith(s)]
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, file, block, id, line): lines that are not blank, by the part of the file that a task reads; ``id`` is their order within it."""
+    at = F.col("_metadata.file_path")
+    rows = spark.read.text(path, lineSep="\n").select(at.alias("path"), F.element_at(F.split(at, "/"), -1).alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    rows = rows.withColumn("line", F.when(F.col("block") == 0, F.regexp_replace("line", "\\A\ufeff", "")).otherwise(F.col("line")))
+    return rows.filter(F.regexp_replace("line", r"(?U)\s+", "") != "")
+
+
+def _members(v: Column) -> Column:
+    """A list's members, or the value by itself."""
+    return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v))
+
+
+def _document(v: Column) -> Column:
+    """The records of a value that is a whole file: those of a list, or of the list under ``data``."""
+    under = F.try_variant_get(v, "$.data", "array<variant>")
+    return F.when(F.try_variant_get(v, "$", "array<variant>").isNull() & under.isNotNull(), under).otherwise(_members(v))
+
+
 def json_records(spark: SparkSession, path: str) -> DataFrame:
-    """(file, ordinal, v, bad): parsed objects in order; rows that do not parse have bad set and no ordinal."""
-    whole = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.regexp_replace("value", "\\A\ufeff", "").alias("text"))
-    t = F.regexp_replace("text", r"(?U)\A\s+|\s+\z", "")
-    one = t.startswith("[") | (t.startswith("{") & ~t.contains("\n"))
-    parsed = F.when(one, F.try_parse_json(t))
-    listed = F.coalesce(F.try_variant_get(parsed, "$", "array<variant>"), F.when(F.try_variant_get(parsed, "$.data", "array<variant>").isNotNull(), F.try_variant_get(parsed, "$.data", "array<variant>")), F.array(parsed))
-    whole = whole.withColumn("whole", F.when(parsed.isNotNull(), listed))
-    from_whole = whole.filter("whole is not null").select("file", F.posexplode("whole").alias("i", "v")).select("file", "i", F.lit(0).alias("j"), "v", F.lit(False).alias("bad"))
-    lines = whole.filter("whole is null").select("file", F.posexplode(F.split("text", LINES)).alias("i", "line")).filter(F.regexp_replace("line", r"(?U)\s+", "") != "")
-    lines = lines.withColumn("v", F.try_parse_json("line"))
-    inner = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array("v"))
-    from_lines = lines.select("file", "i", F.posexplode(inner).alias("j", "v"), F.col("v").isNull().alias("bad"))
-    rows = from_whole.unionByName(from_lines).filter(F.col("bad") | kind(F.col("v")).startswith("OBJECT"))
-    order = Window.partitionBy("file").orderBy("i", "j").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("ordinal", F.count_if(~F.col("bad")).over(order)).select("file", "ordinal", "v", "bad")
+    """(file, ordinal, v, bad): parsed objects in order; rows that do not parse have bad set and no ordinal.
+
+    Lines are read in parts of a file, over all machines; only a file that begins as a list is tried as one value,
+    in one task. Ordinals run on over the parts of a file by adding up their counts.
+    """
+    lines = _lines(spark, path)
+    bare = F.regexp_replace("line", r"(?U)\A\s+|\s+\z", "")
+    files = lines.groupBy("path").agg(F.count("*").alias("n"), F.min_by(F.substring(bare, 1, 1), F.struct("block", "id")).alias("head"), F.max("block").alias("last"))
+    odd = files.filter("head = '[' or last > 0").collect()  # of the paths that a scan lists anyway
+    single = files.filter("n = 1 and head = '{'").select("path", F.lit(True).alias("single"))
+    whole = F.when(F.col("single"), F.try_parse_json(bare))
+    lines = lines.join(single, "path", "left").withColumn("whole", whole)
+    pieces = F.when(F.col("whole").isNotNull(), F.array(bare)).otherwise(F.filter(F.split("line", LINES), lambda x: F.regexp_replace(x, r"(?U)\s+", "") != ""))
+    rows = lines.select("path", "file", "block", "id", F.col("whole").isNotNull().alias("one"), F.posexplode(pieces).alias("i", "piece")).withColumn("v", F.try_parse_json("piece"))
+    rows = rows.select("path", "file", "block", "id", "i", F.col("v").isNull().alias("bad"), F.posexplode(F.when(F.col("one"), _document(F.col("v"))).otherwise(_members(F.col("v")))).alias("j", "v"))
+    if listed := [unquote(r["path"]) for r in odd if r["head"] == "["]:
+        at = F.col("_metadata.file_path")
+        text = spark.read.text(listed, wholetext=True).select(at.alias("path"), F.element_at(F.split(at, "/"), -1).alias("file"), F.try_parse_json(F.regexp_replace("value", r"(?U)\A\ufeff?\s+|\A\ufeff|\s+\z", "")).alias("v")).filter("v is not null")
+        zero = F.lit(0).cast("bigint")
+        values = text.select("path", "file", zero.alias("block"), zero.alias("id"), F.lit(0).alias("i"), F.lit(False).alias("bad"), F.posexplode(_document(F.col("v"))).alias("j", "v"))
+        rows = rows.join(text.select("path"), "path", "left_anti").unionByName(values)
+    rows = rows.filter(F.col("bad") | kind(F.col("v")).startswith("OBJECT"))
+    order = Window.partitionBy("path", "block").orderBy("id", "i", "j").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ordinal = F.count_if(~F.col("bad")).over(order)
+    if any(r["last"] for r in odd):
+        counts = rows.groupBy("path", "block").agg(F.count_if(~F.col("bad")).alias("n"))  # one row for each part
+        earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.join(counts.select("path", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")), ["path", "block"])
+        ordinal = ordinal + F.col("before")
+    return rows.select("file", ordinal.alias("ordinal"), "v", "bad")
 
 
 def table_records(spark: SparkSession, path: str, suffix: str) -> DataFrame:
@@ -130,10 +164,13 @@ def table_records(spark: SparkSession, path: str, suffix: str) -> DataFrame:
     names = {(n or "").lstrip("\ufeff").strip().lower(): i for i, n in enumerate(head or ["model"])}  # of equal names the last
     rows = spark.read.schema(", ".join(f"c{i} string" for i in range(len(head or names)))).csv(path, header=True, enforceSchema=True, **how)
     v = F.parse_json(F.to_json(F.struct(*(F.col(f"c{i}").alias(n) for n, i in names.items()))))
-    numbered = rows.select(v.alias("v"), F.monotonically_increasing_id().alias("i"))
-    order = Window.orderBy("i")  # one file read in one task: multi-line files are not split
+    # an id is its task's number, then the row's place in the task: adding the counts of earlier tasks numbers all rows without a sort
+    numbered = rows.select(v.alias("v"), F.monotonically_increasing_id().alias("i")).withColumn("task", F.shiftright("i", 33))
+    counts = rows.groupBy(F.spark_partition_id().cast("bigint").alias("task")).agg(F.count("*").alias("n"))  # one row for each task
+    before = counts.select("task", F.coalesce(F.sum("n").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     name = os.path.basename(unquote(urlparse(path).path))
-    return numbered.select(F.lit(name).alias("file"), F.row_number().over(order).cast("bigint").alias("ordinal"), "v", F.lit(False).alias("bad"))
+    place = F.col("before") + F.col("i").bitwiseAND((1 << 33) - 1) + 1
+    return numbered.join(before, "task").select(F.lit(name).alias("file"), place.alias("ordinal"), "v", F.lit(False).alias("bad"))
 
 
 def _normal(v: Column) -> dict[str, dict[str, Column]]:
@@ -234,12 +271,14 @@ def as_bool(v: Column) -> Column:
 
 
 def read_decisions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(decisions, one row of ``skipped``) of a JSONL file."""
-    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "\\A\ufeff", ""), LINES)).alias("i", "line")).filter(F.regexp_replace("line", r"(?U)\s+", "") != "")
+    """(decisions, one row of ``skipped``) of a JSONL file; ``ordinal`` sorts by file, part of it and line.
+
+    The order of decisions is that of files, of their parts and of lines."""
+    lines = _lines(spark, path).select(F.struct("path", "block", "id").alias("at"), F.posexplode(F.filter(F.split("line", LINES), lambda x: F.regexp_replace(x, r"(?U)\s+", "") != "")).alias("i", "line"))
     v = F.col("v")
-    rows = whole.withColumn("v", F.try_parse_json("line")).withColumn("object", F.coalesce(kind(v).startswith("OBJECT"), F.lit(False)))
+    rows = lines.withColumn("v", F.try_parse_json("line")).withColumn("object", F.coalesce(kind(v).startswith("OBJECT"), F.lit(False)))
     p, c = as_float(_present(v, P)), as_bool(_present(v, CORRECT))
-    rows = rows.select("i", F.when(F.col("object"), p).alias("p"), F.when(F.col("object"), c).alias("correct"), as_text(field(v, "model")).alias("model"), as_text(field(v, "question")).alias("question"))
+    rows = rows.select("at", "i", F.when(F.col("object"), p).alias("p"), F.when(F.col("object"), c).alias("correct"), as_text(field(v, "model")).alias("model"), as_text(field(v, "question")).alias("question"))
     good = F.coalesce(F.col("p").between(0, 1) & ~F.isnan("p") & F.col("correct").isNotNull(), F.lit(False))
-    kept = rows.filter(good).select("p", "correct", F.coalesce("model", F.lit("")).alias("model"), F.coalesce("question", F.lit("")).alias("question"), F.col("i").cast("bigint").alias("ordinal"))
+    kept = rows.filter(good).select("p", "correct", F.coalesce("model", F.lit("")).alias("model"), F.coalesce("question", F.lit("")).alias("question"), F.struct("at", "i").alias("ordinal"))
     return kept, rows.agg(F.count_if(~good).alias("skipped"))
