@@ -25,6 +25,10 @@ class Audit:
         self.rows = self.rows.persist()
         return self
 
+    def release(self) -> None:
+        """Gives up what cache() keeps."""
+        self.rows.unpersist()
+
     @cached_property
     def by_verdict(self) -> DataFrame:
         """(verdict, calls, spend): all four verdicts, zeros kept."""
@@ -55,8 +59,8 @@ class Audit:
         return self.rows.groupBy("model").agg(F.sum(weight()).alias("calls"), F.sum("cost_usd").alias("cost"), F.coalesce(F.sum(F.when(F.col("verdict") == "likely", weight())), F.lit(0)).alias("likely")).orderBy(F.desc("cost"), "model")
 
     def unknown_models(self) -> DataFrame:
-        """Models that no price key fits."""
-        return self.rows.filter("is_fallback").select("model").distinct().orderBy("model")
+        """(model, priced_at) of models that no price key fits."""
+        return self.rows.filter("is_fallback").select("model", F.col("price_key").alias("priced_at")).distinct().orderBy("model")
 
     def signal_tally(self) -> DataFrame:
         """(signal, calls) in which each signal is above 0."""

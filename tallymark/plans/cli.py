@@ -5,9 +5,8 @@ from __future__ import annotations
 import argparse
 import os
 import sys
-from collections import Counter
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.functions.signals import LIKELY, MAYBE
@@ -17,7 +16,8 @@ from tallymark.operators.pricing import CONSERVATIVE, OPTIMISTIC, load_prices
 from tallymark.operators.scoring import check_thresholds
 from tallymark.plans import report
 from tallymark.session import ship, staged
-from tallymark.sources.calls import expand, read_all, read_decisions
+from tallymark.sources.calls import CALLS, expand, read_all, read_decisions
+from tallymark.sources.demo import demo_calls, demo_sources
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -25,6 +25,8 @@ def _parser() -> argparse.ArgumentParser:
     sub = p.add_subparsers(dest="command", required=True)
     a = sub.add_parser("audit")
     a.add_argument("paths", nargs="*")
+    a.add_argument("--scan-code", action="append", default=[], help="a folder of sources to scan as well; may be given several times")
+    a.add_argument("--demo", action="store_true", help="audit made-up logs and sources")
     a.add_argument("--format", choices=["litellm", "langfuse", "generic"])
     a.add_argument("--min-score", type=float, default=LIKELY)
     a.add_argument("--maybe-threshold", type=float, default=MAYBE)
@@ -63,34 +65,54 @@ def _write(path: str | None, text: str) -> None:
 
 def _audit(spark: SparkSession, o: argparse.Namespace) -> int:
     check_thresholds(o.min_score, o.maybe_threshold)
-    calls, skipped = read_all(spark, o.paths, o.format)
+    trees = {"demo": demo_sources(spark)} if o.demo else {r: codescan.read_tree(spark, r) for r in o.scan_code}
+    scan = codescan.scan_roots(trees) if trees else None
+    if o.demo:
+        calls, skipped = demo_calls(spark)
+    elif o.paths:
+        calls, skipped = read_all(spark, o.paths, o.format)
+    else:
+        calls, skipped = spark.createDataFrame([], CALLS), None
     calls = staged(calls)
-    if calls.isEmpty():
+    if calls.isEmpty() and not (scan and scan[1]["sites"]):
         return 1
     audit = Audit(spark, calls, load_prices(o.price_file) if o.price_file else None, o.min_score, o.maybe_threshold).cache()
-    t = audit.totals().first()
-    print(f"{t['total_calls']:,} calls, {t['total_spend']:.2f} USD, {skipped.first()[0]} records skipped")
-    for r in [*audit.by_verdict.collect(), *audit.savings(o.divisor, o.divisor_optimistic).collect()]:
-        print("  " + ", ".join(f"{k} {v:,.2f}" if isinstance(v, float) else f"{k} {v}" for k, v in r.asDict().items()))
-    if o.self_check:
-        print(selfcheck.agreement(selfcheck.opinions(selfcheck.of_calls(audit.rows), base_url=o.base_url, token=os.environ.get(o.key_variable or "", ""))).first().asDict())
-    _write(o.markdown, report.audit_markdown(audit, o.top, not o.no_redact) if o.markdown else "")
-    _write(o.html, report.audit_html(audit, not o.no_redact) if o.html else "")
+    checked = None
+    if o.self_check:  # of code sites if there are any, else of calls
+        of_code = bool(scan and scan[1]["sites"])
+        asked = selfcheck.of_sites(scan[0]) if of_code else selfcheck.of_calls(audit.rows)
+        checked = staged(selfcheck.opinions(asked, base_url=o.base_url, token=os.environ.get(o.key_variable or "", ""), site="code site" if of_code else "log call"))
+    _summary(audit, o, skipped.first()[0] if skipped else 0, scan[1] if scan else None, checked)
+    _write(o.markdown, report.audit_markdown(audit, o.top, not o.no_redact, scan, checked) if o.markdown else "")
+    _write(o.html, report.audit_html(audit, not o.no_redact, scan, checked) if o.html else "")
     if o.rows:
         audit.rows.write.mode("overwrite").parquet(o.rows)
+    audit.release()
     return 0
 
 
+def _summary(audit: Audit, o: argparse.Namespace, skipped: int, scanned: dict | None, checked: DataFrame | None) -> None:
+    """What an audit found, in a few lines."""
+    t = audit.totals().first()
+    calls, spend = t["total_calls"], t["total_spend"]
+    share = lambda x, of: f"{100 * x / of if of else 0:.1f}%"
+    print(f"{calls:,} calls, {spend:,.2f} USD ({t['logged_calls']:,} with logged costs, {t['estimated_calls']:,} estimated), {skipped} records skipped")
+    for r in audit.by_verdict.collect():
+        print(f"  {r['verdict']}: {r['calls']:,} calls ({share(r['calls'], calls)}), {r['spend']:,.2f} USD")
+    print(f"  could move: {t['migratable_spend']:,.2f} USD")
+    for r in audit.savings(o.divisor, o.divisor_optimistic).collect():
+        print(f"  {r['scenario']} (divisor {r['divisor']:g}): {r['saved']:,.2f} USD saved ({share(r['saved'], spend)})")
+    if scanned:
+        print("code: " + ", ".join(f"{k} {n:,}" for k, n in scanned.items()))
+    if checked is not None:
+        a = selfcheck.agreement(checked).first()
+        print(f"self-check: {a['n']} rows, {a['agreement']:.0%} agreement, {a['errors']} without an answer, {'a stand-in' if a['mock'] else 'a service'} answered")
+
+
 def _scan(spark: SparkSession, o: argparse.Namespace) -> int:
-    totals: Counter[str] = Counter()
-    every = None
-    for root in o.roots:
-        findings, stats = codescan.scan(spark, root)
-        totals.update(stats.first().asDict())
-        own = findings.withColumn("path", F.concat(F.lit(f"{root.rstrip('/')}/"), "path")) if len(o.roots) > 1 else findings
-        every = own if every is None else every.unionByName(own)
+    findings, totals = codescan.scan_roots({r: codescan.read_tree(spark, r) for r in o.roots})
     print(", ".join(f"{k} {n:,}" for k, n in totals.items()))
-    for r in every.orderBy(F.desc("score"), "path", "line").toLocalIterator():
+    for r in findings.toLocalIterator():
         print(f"  {r['path']}:{r['line']} {r['verdict']} {r['score']:.2f} {r['api']}")
     return 0
 
@@ -127,17 +149,18 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         o = _parser().parse_args(args)
     except SystemExit as e:
         return 2 if e.code else 0
-    paths = {"audit": lambda: o.paths, "scan-code": lambda: o.roots, "calibrate": lambda: [o.path, *filter(None, [o.baseline])], "migrate": lambda: [o.root]}[o.command]()
+    paths = {"audit": lambda: [*o.paths, *o.scan_code], "scan-code": lambda: o.roots, "calibrate": lambda: [o.path, *filter(None, [o.baseline])], "migrate": lambda: [o.root]}[o.command]()
     missing = [p for p in paths if "://" not in p and not os.path.exists(p)]
-    if missing or not paths:
+    demo = o.command == "audit" and o.demo
+    if missing or not (paths or demo):
         print(f"no such path: {', '.join(missing) or 'none given'}", file=sys.stderr)
     there = [p for p in paths if p not in missing]
-    if not there or missing and o.command in ("calibrate", "migrate"):
+    if not (there or demo) or missing and o.command in ("calibrate", "migrate"):
         return 2
     if o.command == "audit":
-        for p in (p for p in there if not expand(p)):
+        o.paths, o.scan_code = ([p for p in given if p in there] for given in (o.paths, o.scan_code))
+        for p in (p for p in o.paths if not expand(p)):
             print(f"nothing to read in {p}", file=sys.stderr)
-        o.paths = there
     elif o.command == "scan-code":
         o.roots = there
     spark = spark or SparkSession.builder.appName("tallymark").getOrCreate()

@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 from tallymark.functions import signals as S
 from tallymark.functions import text as X
-from tallymark.operators import calibration, codescan, selfcheck
+from tallymark.operators import calibration, codescan, migrate, selfcheck
 from tallymark.operators.audit import Audit
 from tallymark.operators.maps import build_maps
 from tallymark.operators.pricing import model_prices, price_table
 from tallymark.operators.scoring import duplication, output_clusters, with_scores
+from tallymark.plans import report
 from tallymark.session import scratch
 from tallymark.sources import tables as T
-from tallymark.sources.calls import as_int, field, read_calls, read_decisions
+from tallymark.sources.calls import as_int, field, messages_text, read_calls, read_decisions, sniffed, united
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,17 +41,35 @@ def _rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     return df.withColumns({n: F.round(n, digits) for n in names})
 
 
+#: Source text for the code scan, as no table holds any.
+SOURCES = [
+    ("a/router.py", 'LABELS = ("refund", "bug")\ndef route(c, t):\n    r = c.chat.completions.create(model="gpt-4o", messages=[{"role": "user", "content": "Classify this ticket"}])\n    x = r.choices[0].message.content\n    return x if x in LABELS else "other"\n'),
+    ("b/write.ts", 'const r = await client.messages.create({ model: "claude-sonnet-4", messages: [{ role: "user", content: "Write a blog post about spring" }] });\n'),
+    ("c/broken.py", "def f(:\n"),
+]
+
+
+def _sources(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(SOURCES, "path string, content string")
+
+
 def code_sites(spark: SparkSession, d: str) -> DataFrame:
-    """Sites in source text that is given here, as no table holds source code."""
-    sources = [
-        ("a/router.py", 'LABELS = ("refund", "bug")\ndef route(c, t):\n    r = c.chat.completions.create(model="gpt-4o", messages=[{"role": "user", "content": "Classify this ticket"}])\n    x = r.choices[0].message.content\n    return x if x in LABELS else "other"\n'),
-        ("b/write.ts", 'const r = await client.messages.create({ model: "claude-sonnet-4", messages: [{ role: "user", content: "Write a blog post about spring" }] });\n'),
-        ("c/broken.py", "def f(:\n"),
-    ]
-    found = codescan.scored_sites(codescan.sites(spark.createDataFrame(sources, "path string, content string")))
+    found = codescan.scored_sites(codescan.sites(_sources(spark)))
     return found.select("path", "line", "language", "api", "model", "prompt_excerpt", F.array_join("handling", ", ").alias("handling"), "score", "verdict")
 
 
+def code_roots(spark: SparkSession, d: str) -> DataFrame:
+    """Two trees of the same files: where each finding is, with the totals of both."""
+    found, totals = codescan.scan_roots({"x": _sources(spark), "y/": _sources(spark)})
+    return found.select("path", "line", "verdict", *(F.lit(n).alias(k) for k, n in totals.items()))
+
+
+def site_marks(spark: SparkSession, d: str) -> DataFrame:
+    """How many marks the patch of each file puts in."""
+    p = migrate.patches(codescan.scored_sites(codescan.sites(_sources(spark))), _sources(spark), 0.6)
+    return p.select("path", F.size(F.regexp_extract_all("patch", F.lit(r"(?m)^\+.*TODO"), 0)).alias("marks"))
+
+
 def _maps(items: DataFrame) -> DataFrame:
     m = build_maps(items)
     return m.select("role", "template", "kind", "calls", "score_low", "score_high", F.array_join("options", "|").alias("options"), F.col("range.lo").alias("lo"), F.col("range.hi").alias("hi"), "example", F.array_join("origins", "|").alias("origins"))
@@ -116,6 +135,71 @@ def read_decision_lines(spark: SparkSession, d: str) -> DataFrame:
     return read_decisions(spark, path)[0].groupBy("p", "correct", "model", "question").agg(F.count("*").alias("n"))
 
 
+def _written(spark: SparkSession, lines: DataFrame, name: str) -> str:
+    path = scratch(spark, name)
+    lines.write.text(path)
+    return path
+
+
+def read_skips(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of which one in ten is no record, and one in ten a list of two."""
+    record = F.to_json(F.struct("model", F.col("weight").alias("n")))
+    text = F.when(F.col("ordinal") % 10 == 0, "{bad").when(F.col("ordinal") % 10 == 1, F.concat(F.lit("["), record, F.lit(","), record, F.lit(",3]"))).otherwise(record)
+    calls, skipped = read_calls(spark, _written(spark, T.calls_events(spark, d).select(text), "skips.jsonl"))
+    return calls.agg(F.count("*").alias("calls"), F.sum("weight").alias("weight")).join(skipped)  # two single rows
+
+
+def read_document(spark: SparkSession, d: str) -> DataFrame:
+    """One JSON value: the nations in a list under ``data``."""
+    n = T.table(spark, d, "nation").coalesce(1).sortWithinPartitions("n_nationkey")
+    whole = n.agg(F.to_json(F.struct(F.sort_array(F.collect_list(F.struct(F.col("n_nationkey").alias("n"), F.col("n_name").alias("model")))).alias("data"))))
+    return read_calls(spark, _written(spark, whole, "nations.json"))[0].select("model", "weight", F.col("ordinal"))
+
+
+def sniffed_formats(spark: SparkSession, d: str) -> DataFrame:
+    calls = T.calls_events(spark, d)
+    of = [shape(calls).select(F.col("id").cast("bigint").alias("event_id"), F.to_json(F.struct("*")).alias("t")) for shape in (as_litellm, as_langfuse, as_generic)]
+    rows = [df.filter(F.col("event_id") % 3 == i) for i, df in enumerate(of)]
+    return rows[0].union(rows[1]).union(rows[2]).select("event_id", sniffed(F.parse_json("t")).alias("format"))
+
+
+def decision_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of four kinds: names and values of other kinds, a first key that is null, and a p above 1."""
+    i = F.col("event_id")
+    kinds = ['{"p": 0.75, "correct": "Hit"}', '{"probability": "0.25", "outcome": 0, "question": "q"}', '{"p": null, "prob": 0.5, "correct": true}', '{"confidence": 1.5, "hit": true}']
+    text = F.element_at(F.array(*map(F.lit, kinds)), (i % 4 + 1).cast("int"))
+    rows, skipped = read_decisions(spark, _written(spark, T.table(spark, d, "events").select(text), "fields.jsonl"))
+    return rows.groupBy("p", "correct", "question").agg(F.count("*").alias("n")).join(skipped)
+
+
+def message_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as lists of messages; contents are strings, or lists of a string and of parts with a text."""
+    c = T.table(spark, d, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
+    plain, parts = F.to_json(F.struct("role", F.col("text").alias("content"))), F.to_json(F.struct("role", F.array(F.struct(F.lit("text").alias("type"), F.col("text"))).alias("content")))
+    message = F.struct("turn", F.when(F.col("turn") % 2 == 0, plain).otherwise(parts).alias("m"))
+    listed = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(message)).alias("ms"))  # bounded by a conversation
+    return listed.select("conv_id", messages_text(F.parse_json(F.concat(F.lit("["), F.array_join("ms.m", ","), F.lit("]")))).alias("text"))
+
+
+def read_union(spark: SparkSession, d: str) -> DataFrame:
+    """A CSV file and a JSONL file as one."""
+    path = scratch(spark, "usage.csv")
+    calls = T.calls_events(spark, d)
+    as_usage(calls).write.csv(path, header=True, escape='"')
+    lines = _written(spark, as_generic(calls).select(F.to_json(F.struct("*"))), "calls.jsonl")
+    both, skipped = united([read_calls(spark, path), read_calls(spark, lines)])
+    return both.groupBy(F.shiftright("ordinal", 40).alias("file")).agg(F.count("*").alias("calls"), F.sum("weight").alias("weight")).join(skipped)
+
+
+#: Prices that come before those of the table.
+OVERRIDES = {"GPT-4o": (9.0, 8.0), "mystery": (1.0, 2.0)}
+
+
+def top_likely(spark: SparkSession, d: str) -> DataFrame:
+    rows = report.candidates(_audit(spark, d), 10)
+    return spark.createDataFrame([(r["place"], r["source"], r["why"]) for r in rows], "place bigint, source string, why string")
+
+
 def queries() -> dict[str, Query]:
     q: dict[str, Query] = {
         "verdict_counts": lambda s, d: _audit(s, d).by_verdict.select("verdict", "calls"),
@@ -157,6 +241,19 @@ def queries() -> dict[str, Query]:
         "read_generic": _read(as_generic, "calls.jsonl"),
         "read_usage_csv": _read(as_usage, "usage.csv"),
         "read_decisions": read_decision_lines,
+        "code_roots": code_roots,
+        "site_marks": site_marks,
+        "read_skips": read_skips,
+        "read_document": read_document,
+        "read_union": read_union,
+        "sniffed_formats": sniffed_formats,
+        "decision_fields": decision_fields,
+        "message_texts": message_texts,
+        "markdown_cells": lambda s, d: T.table(s, d, "documents").select("doc_id", X.cell(F.coalesce("text", F.lit("")), 80).alias("cell")),
+        "strict_verdicts": lambda s, d: with_scores(T.calls_events(s, d), 0.8, 0.5).groupBy("verdict").agg(F.sum("weight").alias("calls")),
+        "signals_by_value": lambda s, d: with_scores(T.calls_events(s, d)).select("call_id", report.by_value(F.col("signals")).alias("why")),
+        "top_likely": top_likely,
+        "price_overrides": lambda s, d: model_prices(T.calls_events(s, d), price_table(s, OVERRIDES)),
     }
     return q
 
@@ -244,7 +341,23 @@ def oracle_sql() -> dict[str, str]:
     read = "SELECT {0} model, '{1}' AS format, coalesce(input_tokens, -1)::BIGINT input_tokens, coalesce(output_tokens, -1)::BIGINT output_tokens, prompt prompt_excerpt, output output_excerpt, logged logged_cost_usd, {2}::BIGINT weight{3} FROM e"
     labelled = f"""WITH l AS (SELECT doc_id::VARCHAR call_id, 'labels#L' || doc_id source, 'gpt-4o-mini' model, NULL::BIGINT input_tokens, NULL::BIGINT output_tokens, {clip("'Is this document toxic? Answer yes or no: ' || text", 440)} prompt,
       CASE WHEN toxic = 1 THEN 'yes' ELSE 'no' END output, 1 weight, doc_id ordinal FROM labels JOIN documents USING (doc_id)), {_scored('l')}"""
+    why = " UNION ALL ".join(f"SELECT call_id, {i} i, '{n}' n, {n} v FROM s" for i, n in enumerate(S.WEIGHTS))
+    why = f"y AS (SELECT call_id, coalesce(string_agg(n || ' ' || printf('%.2f', v), ', ' ORDER BY v DESC, i) FILTER (v > 0), '') why FROM ({why}) GROUP BY 1)"
+    cell = r"replace(replace(coalesce(text, ''), '|', '\|'), chr(10), ' ⏎ ')"
     return {
+        "code_roots": "SELECT *, 6 files_scanned, 2 errors, 4 sites, 2 decision_shaped FROM (VALUES ('x/a/router.py', 3, 'likely'), ('y/a/router.py', 3, 'likely'), ('x/b/write.ts', 1, 'unlikely'), ('y/b/write.ts', 1, 'unlikely')) x(path, line, verdict)",
+        "site_marks": "SELECT 'a/router.py' path, 1 marks",
+        "read_skips": f"WITH {_EVENTS} SELECT sum(CASE ordinal % 10 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END)::BIGINT calls, sum(CASE ordinal % 10 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END * weight)::BIGINT weight, count(*) FILTER (ordinal % 10 = 0) skipped FROM e",
+        "read_document": "SELECT n_name model, greatest(1, n_nationkey) weight, n_nationkey + 1 ordinal FROM nation",
+        "read_union": f"WITH {_EVENTS} SELECT f AS file, count(*) calls, sum(weight)::BIGINT weight, 0::BIGINT skipped FROM e, (VALUES (0), (1)) x(f) GROUP BY 1",
+        "sniffed_formats": "SELECT event_id, ['litellm', 'langfuse', 'generic'][CAST(event_id % 3 AS INT) + 1] AS format FROM events",
+        "decision_fields": "SELECT p, correct, question, (SELECT count(*) FROM events WHERE event_id % 4 = k) n, (SELECT count(*) FROM events WHERE event_id % 4 > 1) skipped FROM (VALUES (0, 0.75::DOUBLE, true, ''), (1, 0.25::DOUBLE, false, 'q')) x(k, p, correct, question)",
+        "message_texts": "SELECT conv_id, coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (text <> ''), '') AS text FROM conversations GROUP BY 1",
+        "markdown_cells": f"SELECT doc_id, CASE WHEN length({cell}) > 80 THEN left({cell}, 79) || '…' ELSE {cell} END AS cell FROM documents",
+        "strict_verdicts": f"{events}, v AS (SELECT weight, CASE WHEN verdict = 'insufficient' THEN verdict WHEN score >= 0.8 THEN 'likely' WHEN score >= 0.5 THEN 'maybe' ELSE 'unlikely' END verdict FROM s) SELECT verdict, sum(weight)::BIGINT calls FROM v GROUP BY 1",
+        "signals_by_value": f"{events}, {why} SELECT * FROM y",
+        "top_likely": f"{priced}, {why}, t AS (SELECT *, row_number() OVER (ORDER BY score DESC, w.cost_usd DESC, ordinal) place FROM w) SELECT place, source, why FROM t JOIN y USING (call_id) WHERE place <= 10 AND verdict = 'likely'",
+        "price_overrides": f"{priced} SELECT model, CASE WHEN normal = 'gpt-4o' THEN 'gpt-4o' WHEN starts_with(normal, 'mystery') THEN 'mystery' ELSE price_key END price_key, CASE WHEN normal = 'gpt-4o' THEN 9 WHEN starts_with(normal, 'mystery') THEN 1 ELSE in_rate END in_rate, CASE WHEN normal = 'gpt-4o' THEN 8 WHEN starts_with(normal, 'mystery') THEN 2 ELSE out_rate END out_rate, is_fallback AND NOT starts_with(normal, 'mystery') is_fallback FROM mp JOIN m USING (model)",
         "label_scores": f"{labelled} SELECT verdict, count(*) calls FROM s GROUP BY 1",
         "code_sites": """SELECT * FROM (VALUES ('a/router.py', 3, 'python', 'c.chat.completions.create', 'gpt-4o', 'Classify this ticket', 'enum membership, reads completion text', 0.655::DOUBLE, 'likely'),
           ('b/write.ts', 1, 'js', 'messages.create (pattern)', 'claude-sonnet-4', 'Write a blog post about spring', '', 0.06::DOUBLE, 'unlikely')) x(path, line, language, api, model, prompt_excerpt, handling, score, verdict)""",
@@ -264,7 +377,7 @@ def oracle_sql() -> dict[str, str]:
         "spend_by_verdict": f"{both}, {verdicts} SELECT v.verdict, coalesce(sum(weight), 0)::BIGINT calls, round(coalesce(sum(cost_usd), 0), 4) spend FROM v LEFT JOIN w USING (verdict) GROUP BY 1",
         "audit_totals": f"{both} SELECT sum(greatest(1, weight))::BIGINT total_calls, round(sum(cost_usd), 4) total_spend, round(sum(cost_usd) FILTER (verdict IN ('likely', 'maybe')), 4) migratable_spend, (sum(weight) FILTER (price_key = '(logged)'))::BIGINT logged_calls, (sum(weight) FILTER (price_key <> '(logged)'))::BIGINT estimated_calls FROM w",
         "savings_scenarios": f"{both}, x AS (SELECT sum(cost_usd) FILTER (verdict IN ('likely', 'maybe')) m FROM w) SELECT scenario, divisor, round(m * (1 - 1 / divisor), 4) saved FROM x, (VALUES ('conservative', 100::DOUBLE), ('optimistic', 400::DOUBLE)) y(scenario, divisor)",
-        "unknown_models": f"{both} SELECT DISTINCT model FROM w WHERE is_fallback",
+        "unknown_models": f"{both} SELECT DISTINCT model, '(table median)' priced_at FROM w WHERE is_fallback",
         "distinct_models": f"{both} SELECT DISTINCT model FROM w",
         "models_table": f"{priced} SELECT model, sum(weight)::BIGINT calls, round(sum(cost_usd), 4) AS cost, coalesce(sum(weight) FILTER (verdict = 'likely'), 0)::BIGINT likely FROM w GROUP BY 1",
         "signal_tally": f"{events} " + " UNION ALL ".join(f"SELECT '{n}' AS signal, coalesce(sum(weight) FILTER ({n} > 0), 0)::BIGINT calls FROM s" for n in S.WEIGHTS),

@@ -8,6 +8,7 @@ parts of a file. Formats are told by the first record of a file.
 from __future__ import annotations
 
 import os
+from functools import reduce
 from urllib.parse import unquote, urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -30,6 +31,8 @@ TIME = "timestamp created_at ts date day time".split()
 MODEL = "model model_name model_slug name".split()
 P = "p prob probability confidence conf".split()
 CORRECT = "correct is_correct outcome label_ok hit".split()
+#: What a call has.
+CALLS = "call_id string, source string, format string, model string, input_tokens bigint, output_tokens bigint, prompt_excerpt string, output_excerpt string, logged_cost_usd double, timestamp string, weight bigint, ordinal bigint"
 #: What Python's splitlines() splits at.
 LINES = "\r\n|[\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029]"
 
@@ -240,17 +243,15 @@ def read_calls(spark: SparkSession, path: str, fmt: str | None = None) -> tuple[
 
 def read_all(spark: SparkSession, paths: list[str], fmt: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The union over files and folders, ordinals running on from file to file."""
-    frames = [read_calls(spark, f, fmt) for p in paths for f in expand(p)]
+    return united([read_calls(spark, f, fmt) for p in paths for f in expand(p)])
+
+
+def united(frames: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """What read_calls() gave for several files as one."""
     if not frames:
         raise ValueError("no readable files")
-    calls = None
-    for i, (c, _) in enumerate(frames):
-        c = c.withColumn("ordinal", F.col("ordinal") + F.lit(i) * F.lit(1 << 40))
-        calls = c if calls is None else calls.unionByName(c)
-    skipped = frames[0][1]
-    for _, s in frames[1:]:
-        skipped = skipped.union(s)
-    return calls, skipped.agg(F.sum("skipped").alias("skipped"))
+    calls = reduce(DataFrame.unionByName, (c.withColumn("ordinal", F.col("ordinal") + F.lit(i) * F.lit(1 << 40)) for i, (c, _) in enumerate(frames)))
+    return calls, reduce(DataFrame.union, (s for _, s in frames)).agg(F.sum("skipped").alias("skipped"))
 
 
 def _present(v: Column, names: list[str]) -> Column:

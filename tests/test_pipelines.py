@@ -200,10 +200,42 @@ def test_command_line(spark, logs, tree, tmp_path):
     assert main(["calibrate", p, "--baseline", p, "--markdown", str(tmp_path / "c.md"), "--html", str(tmp_path / "c.html")], spark) == 0
     assert "m (baseline)" in (tmp_path / "c.md").read_text() and "<svg" in (tmp_path / "c.html").read_text()
     assert main(["calibrate", p, "--bins", "1"], spark) == 2
-    assert main(["scan-code", str(tree)], spark) == 0
+    assert main(["scan-code", str(tree), str(tree / "sub")], spark) == 0
     assert main(["migrate", str(tree), "--out-dir", str(tmp_path / "m"), "--min-score", "0.99"], spark) == 1
 
 
+def test_demo_with_code(spark, tree, tmp_path, capsys):
+    out = [str(tmp_path / n) for n in ("a.md", "a.html")]
+    assert main(["audit", "--demo", "--self-check", "--markdown", out[0], "--html", out[1]], spark) == 0
+    said = capsys.readouterr().out
+    assert "1 records skipped" in said and "sites 2, decision_shaped 1" in said and "self-check: 2 rows" in said
+    for text in (open(p, encoding="utf-8").read() for p in out):
+        assert all(x in text for x in [*report.SECTIONS, report.CODE, report.CHECK, "desk/route.py:4", "in-house-7b", "(table median)"])
+    assert main(["audit", "--scan-code", str(tree)], spark) == 0
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none/x.txt").write_text("no source")
+    assert main(["audit", "--scan-code", str(tmp_path / "none")], spark) == 1
+
+
+def test_parts_of_a_file(spark, tmp_path):
+    p = lines(tmp_path / "long.jsonl", ["", *({"id": str(i), "model": "m", "prompt": "x" * 50} if i % 10 else "bad" for i in range(300))])
+    want = [(f"long.jsonl#L{n}", str(i)) for n, i in enumerate((i for i in range(300) if i % 10), 1)]
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for s in ("2000", size):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", s)
+            calls, skipped = read_calls(spark, p)
+            assert [(r["source"], r["call_id"]) for r in calls.orderBy("ordinal").collect()] == want and skipped.first()[0] == 30
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_ranks():
+    for n in (1, 2, 3, 7, 10, 19, 20, 97, 1000):
+        for level in calibration.LEVELS:
+            assert calibration.rank_at(level, n) == next(k for k in range(1, n + 1) if k / n >= level - 1e-9)
+
+
 def test_stream(spark, tmp_path):
     from tallymark.sources import tables
     from tallymark.streaming.scoring import scored_stream, verdicts_by_time
