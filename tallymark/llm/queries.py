@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import decontam, htmltext, neardup, packing, pii, records, suffixes, toxicity, urlrules, vectors
+from tallymark.llm import alignment, decontam, htmltext, mixing, neardup, packing, pii, records, runs, suffixes, toxicity, urlrules, vectors
 from tallymark.llm.common import prepared
 
 
@@ -68,8 +68,20 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract_pages(_table(spark, sf_dir, "pages"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(_table(spark, sf_dir, "documents"), plant=True)
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(_table(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_toxicity, op2_minhash, op3_packing, op4_suffixes, op5_pii, op6_decontamination, op7_records, op8_vectors, op9_url_filters, op10_html_extraction)
+    found = (op1_toxicity, op2_minhash, op3_packing, op4_suffixes, op5_pii, op6_decontamination, op7_records, op8_vectors, op9_url_filters, op10_html_extraction, op11_periodic_runs, op12_mixing, op13_alignment)
     return {f.__name__: lambda spark, sf_dir, f=f: f(prepared(spark), sf_dir) for f in found}
 
 

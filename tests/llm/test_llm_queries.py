@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_names_and_sql():
     found = Q.queries()
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in found] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in found] == list(range(1, 14))
     assert set(Q.oracle_sql()) <= set(found)
 
 
