@@ -13,7 +13,6 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +20,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import dropped, written
+from tallymark.llm.common import written
 from tallymark.llm.tokens import tokenizer_path
 
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Characters of text that share a dictionary, about; a longer text has one of its own.
-CHUNK = 4_000_000
+CHUNK = 32_000_000
 #: Segments tokenised in one call, and characters of them.
 GROUP, GROUP_CHARS = 4096, 1_000_000
 #: Keys that a pair of ids is spread over where it meets the segments that hold it.
@@ -66,6 +65,7 @@ class Pair:
         self.b = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
         kinds = sentencepiece_model_pb2.ModelProto.SentencePiece
         self.b_bytes = [bytes([int(p.piece[3:5], 16)]) if p.type == kinds.BYTE else p.piece.replace("▁", " ").encode() for p in model.pieces]
+        self.a_length, self.b_length = (np.array([len(w) for w in t]) for t in (self.a_bytes, self.b_bytes))
         entries = [w.decode(errors="replace") for w in self.a_bytes] + [p.piece.replace("▁", " ") for p in model.pieces if p.type != kinds.BYTE]
         self.cuts = "".join(c for c in SPACES if not any(re.search(rf"[^{_WIDE}]{c}", w) for w in entries))
         self.where = re.compile(rf"(?<=[^{_WIDE}])(?=[{self.cuts}])" if self.cuts else r"(?!)")
@@ -78,8 +78,8 @@ class Pair:
             return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")[1:]
         return self.where.split(text)
 
-    def encode(self, segments: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        return zip((e.ids for e in self.a.encode_batch_fast(segments, add_special_tokens=False)), self.b.encode(segments, num_threads=1), strict=True)
+    def encode(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        return [e.ids for e in self.a.encode_batch_fast(segments, add_special_tokens=False)], self.b.encode(segments, num_threads=1)
 
 
 _loaded: dict[tuple[str, str], Pair] = {}
@@ -91,108 +91,158 @@ def pair(first: str, second: str) -> Pair:
     return _loaded[first, second]
 
 
-def groups(a: list[int], b: list[int], a_ends: list[int], b_ends: list[int]) -> tuple[str, list[tuple[int, int]]]:
-    """The groups as text, and the pairs of ids whose tokens end together."""
-    out, links = [], []
-    i = j = ai = bj = 0
-    while i < len(a) and j < len(b):
-        x, y = a_ends[i], b_ends[j]
-        if x < y:
-            i += 1
-        elif y < x:
-            j += 1
-        else:
-            links.append((a[i], b[j]))
-            i, j = i + 1, j + 1
-            out.append(f"{','.join(map(str, a[ai:i]))}|{','.join(map(str, b[bj:j]))}")
-            ai, bj = i, j
-    return ";".join(out), links
+def groups(a: list[str], b: list[str], a_last: list[int], b_last: list[int]) -> list[str]:
+    """Each group as text: the tokens of both up to the next places in a_last and b_last."""
+    out, i, j = [], 0, 0
+    for x, y in zip(a_last, b_last, strict=True):
+        out.append(f"{a[i]}|{b[j]}" if x == i and y == j else f"{','.join(a[i : x + 1])}|{','.join(b[j : y + 1])}")
+        i, j = x + 1, y + 1
+    return out
 
 
-_PARTS = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.binary()), ("i", pa.int32()), ("n", pa.int64()), ("segment", pa.string())])
+def align(p: Pair, segments: list[str]) -> list[tuple[bool, int, int, str, np.ndarray]]:
+    """(ok, n_a, n_b, groups, links) of each segment; links are pairs of ids in one number, A's in the upper 32 bits.
+
+    ok: the bytes of its tokens are the segment's, with both tokenizers.
+    """
+    both, size = p.encode(segments), np.array([len(s.encode()) for s in segments])
+    ids = [np.array([i for x in k for i in x], np.int64) for k in both]
+    n = [np.array([len(x) for x in k]) for k in both]
+    raw = "".join(segments).encode()
+    for k, (table, lengths) in enumerate(((p.a_bytes, p.a_length), (p.b_bytes, p.b_length))):
+        whole = b"".join([table[i] for i in ids[k].tolist()]) == raw
+        if not whole or not np.array_equal(np.cumsum(np.append(0, lengths[ids[k]]))[np.cumsum(n[k])], np.cumsum(size)):
+            good = [all(b"".join([t[i] for i in x[at]]) == s.encode() for t, x in zip((p.a_bytes, p.b_bytes), both, strict=True)) for at, s in enumerate(segments)]
+            rest = iter(align(p, [s for s, g in zip(segments, good, strict=True) if g]) if any(good) else [])
+            return [next(rest) if g else (False, 0, 0, "", np.zeros(0, np.int64)) for g in good]
+    a_ends, b_ends = np.cumsum(p.a_length[ids[0]]), np.cumsum(p.b_length[ids[1]])
+    at = np.searchsorted(b_ends, a_ends)
+    a_last = np.flatnonzero(b_ends[at] == a_ends)
+    b_last = at[a_last]
+    links = ids[0][a_last] << 32 | ids[1][b_last]
+    shown = groups(list(map(str, ids[0].tolist())), list(map(str, ids[1].tolist())), a_last.tolist(), b_last.tolist())
+    ends = np.searchsorted(a_last, np.cumsum(n[0]) - 1, "right").tolist()
+    return [(True, x, y, ";".join(shown[i:j]), links[i:j]) for x, y, i, j in zip(n[0].tolist(), n[1].tolist(), [0, *ends], ends)]
+
+
+_PARTS = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("n_ids", pa.int64()), ("ids", pa.binary()), ("i", pa.int32()), ("n", pa.int64()), ("segment", pa.string())])
+
+
+def _rows(schema: pa.Schema, length: int, /, **columns: pa.Array) -> pa.RecordBatch:
+    """Rows of the columns given, nulls in the others."""
+    return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(length, f.type) for f in schema], schema=schema)
 
 
 def _parts(first: str, second: str, chunk_chars: int):
-    """Documents to rows of two kinds: (chunk, doc_id, ids), numbers of segments as little-endian 32-bit ones, and (chunk, i, n, segment), the dictionary with counts."""
+    """Documents to rows of two kinds: (chunk, doc_id, n_ids, ids), numbers of segments as packed 32-bit ones, and (chunk, i, n, segment), the dictionary with counts."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segments = pair(first, second).segments
         chunk = TaskContext.get().partitionId() << 32
         number: dict[str, int] = {}
-        docs: list[tuple] = []
+        names: list[int | None] = []
+        docs: list[np.ndarray] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            counts = np.zeros(len(number), np.int64)
-            for _, ids in docs:
-                counts += np.bincount(np.frombuffer(ids, "<i4"), minlength=len(number))
-            nothing = lambda kind, n: pa.nulls(n, kind)
-            at = lambda n: pa.array(np.full(n, chunk), pa.int64())
             n, m = len(docs), len(number)
-            yield pa.RecordBatch.from_arrays([at(n), pa.array([d for d, _ in docs], pa.int64()), pa.array([x for _, x in docs], pa.binary()), nothing(pa.int32(), n), nothing(pa.int64(), n), nothing(pa.string(), n)], schema=_PARTS)
+            yield _rows(_PARTS, n, chunk=pa.array(np.full(n, chunk)), doc_id=pa.array(names, pa.int64()), n_ids=pa.array([len(x) for x in docs], pa.int64()), ids=pa.array([pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in docs], pa.binary()))
             if m:
-                yield pa.RecordBatch.from_arrays([at(m), nothing(pa.int64(), m), nothing(pa.binary(), m), pa.array(np.arange(m, dtype=np.int32)), pa.array(counts), pa.array(list(number), pa.string())], schema=_PARTS)
+                counts = np.bincount(np.concatenate(docs), minlength=m)
+                yield _rows(_PARTS, m, chunk=pa.array(np.full(m, chunk)), i=pa.array(np.arange(m, dtype=np.int32)), n=pa.array(counts), segment=pa.array(list(number), pa.string()))
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = segments(text) if text else []
                 for s in set(found).difference(number):
                     number[s] = len(number)
-                docs.append((doc, np.fromiter(map(number.__getitem__, found), "<i4", len(found)).tobytes()))
+                names.append(doc)
+                docs.append(np.fromiter(map(number.__getitem__, found), "<i4", len(found)))
                 size += len(text or "")
                 if size >= chunk_chars:
                     yield from flush()
-                    chunk, number, docs, size = chunk + 1, {}, [], 0
+                    chunk, number, names, docs, size = chunk + 1, {}, [], [], 0
         if docs:
             yield from flush()
 
     return cut
 
 
+def _numbers(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(raw, n * 4, "zstd"), "<i4") if n else np.zeros(0, "<i4")
+
+
+_ALIGNED = pa.schema([("seg", pa.int64()), ("chunk", pa.int64()), ("i", pa.int32()), ("ok", pa.bool_()), ("times", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("groups", pa.string()), ("links", pa.list_(pa.int64()))])
+_ALIGNED_SQL = "seg bigint, chunk bigint, i int, ok boolean, times bigint, n_a bigint, n_b bigint, n_groups bigint, groups string, links array<bigint>"
+
+
 def _aligned(first: str, second: str):
-    """Distinct segments to their alignments; ``ok`` where the bytes of both kinds of tokens are the segment's."""
-    names = ["segment", "ok", "n_a", "n_b", "n_groups", "groups", "links"]
-    link = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())]))
-    kinds = [pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.string(), link]
+    """Dictionary entries, equal segments one after another, to rows of two kinds: (seg, chunk, i, ok) of each entry, and each
+    distinct segment's alignment with the times that it occurs."""
 
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pair(first, second)
-        a_bytes, b_bytes = p.a_bytes, p.b_bytes
+        last, seg = None, (TaskContext.get().partitionId() << 32) - 1
+        waiting: list[str] = []  # distinct segments not aligned yet; the last one may still get entries
+        first_of, times, chars = seg + 1, [], 0
+        entries: list[pa.RecordBatch] = []
+        owners: list[np.ndarray] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            found = align(p, waiting)
+            m = len(found)
+            ok = np.array([f[0] for f in found])
+            yield _rows(
+                _ALIGNED, m, seg=pa.array(np.arange(first_of, first_of + m)), ok=pa.array(ok), times=pa.array(times, pa.int64()), n_a=pa.array([f[1] for f in found], pa.int64()), n_b=pa.array([f[2] for f in found], pa.int64()),
+                n_groups=pa.array([len(f[4]) for f in found], pa.int64()), groups=pa.array([f[3] for f in found], pa.string()),
+                links=pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(f[4]) for f in found]), pa.int32()), pa.array(np.concatenate([f[4] for f in found]))),
+            )
+            for batch, owner in zip(entries, owners, strict=True):
+                yield _rows(_ALIGNED, len(owner), seg=pa.array(owner), chunk=batch.column(0), i=batch.column(1), ok=pa.array(ok[owner - first_of]))
+
         for batch in batches:
-            texts, at = batch.column(0).to_pylist(), 0
-            while at < len(texts):
-                some, size = [], 0
-                while at < len(texts) and len(some) < GROUP and size < GROUP_CHARS:
-                    some.append(texts[at])
-                    size += len(texts[at])
-                    at += 1
-                rows = []
-                for text, (a, b) in zip(some, p.encode(some), strict=True):
-                    xs, ys, raw = [a_bytes[i] for i in a], [b_bytes[i] for i in b], text.encode()
-                    if b"".join(xs) != raw or b"".join(ys) != raw:
-                        rows.append((text, False, 0, 0, 0, "", []))
-                        continue
-                    shown, links = groups(a, b, list(accumulate(map(len, xs))), list(accumulate(map(len, ys))))
-                    rows.append((text, True, len(a), len(b), len(links), shown, [{"a": x, "b": y, "n": n} for (x, y), n in Counter(links).items()]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-    return align
+            at = 0
+            names, counts = batch.column(3).to_pylist(), batch.column(2).to_pylist()
+            owner = np.zeros(len(names), np.int64)
+            for k, (name, n) in enumerate(zip(names, counts, strict=True)):
+                if name != last:
+                    if len(waiting) >= GROUP or chars >= GROUP_CHARS:
+                        entries.append(batch.slice(at, k - at))
+                        owners.append(owner[at:k])
+                        yield from flush()
+                        first_of, at, chars = seg + 1, k, 0
+                        for done in (waiting, times, entries, owners):
+                            done.clear()
+                    last, seg = name, seg + 1
+                    waiting.append(name)
+                    times.append(0)
+                    chars += len(name)
+                times[-1] += n
+                owner[k] = seg
+            entries.append(batch.slice(at))
+            owners.append(owner[at:])
+        if waiting:
+            yield from flush()
+
+    return work
 
 
 def _spoilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (chunk, ids, bad): counts of the segments of documents that hold one of ``bad``."""
+    """Of (chunk, n_ids, ids, bad): counts of the segments of documents that hold one of ``bad``."""
     for batch in batches:
         found: dict[int, Counter] = {}
-        for chunk, ids, bad in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            ids = np.frombuffer(ids, "<i4")
+        for chunk, n, raw, bad in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            ids = _numbers(raw, n)
             if np.isin(ids, bad).any():
                 found.setdefault(chunk, Counter()).update(dict(zip(*(x.tolist() for x in np.unique(ids, return_counts=True)), strict=True)))
         rows = [(c, i, n) for c, counts in found.items() for i, n in counts.items()]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["chunk", "i", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["chunk", "i", "less"])
 
 
-_SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+#: Columns of a dictionary that add up over a document; each group has one link.
+_SUMS = ["n_a", "n_b", "n_groups", "n_best", "count_sum"]
+_OUT = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
 
 def _composed(docs: pa.Table, words: pa.Table, details: bool) -> pa.Table:
@@ -203,14 +253,15 @@ def _composed(docs: pa.Table, words: pa.Table, details: bool) -> pa.Table:
     shown = words.column("groups").to_pylist()
     shown = [shown[k] for k in order.tolist()]
     rows = []
-    for doc, raw in zip(docs.column("doc_id").to_pylist(), docs.column("ids").to_pylist(), strict=True):
-        ids = np.frombuffer(raw, "<i4")
+    for doc, n, raw in zip(*(docs.column(c).to_pylist() for c in ("doc_id", "n_ids", "ids")), strict=True):
+        ids = _numbers(raw, n)
         good = len(ids) > 0 and bool(ok[ids].all())
         text = ";".join([shown[k] for k in ids.tolist()]) if good else ""
-        row = (doc, *(sums[:, ids].sum(1).tolist() if good else [0] * len(_SUMS)), hashlib.sha256(text.encode()).hexdigest() if good else "")
+        a, b, g, best, total = sums[:, ids].sum(1).tolist() if good else [0] * len(_SUMS)
+        row = (doc, a, b, g, g, best, total, hashlib.sha256(text.encode()).hexdigest() if good else "")
         rows.append(row + ((text,) if details else ()))
-    kinds = [pa.int64()] * (1 + len(_SUMS)) + [pa.string()] * (2 if details else 1)
-    names = ["doc_id", *_SUMS, "groups_sha256"] + (["groups"] if details else [])
+    kinds = [pa.int64()] * (1 + len(_OUT)) + [pa.string()] * (2 if details else 1)
+    names = ["doc_id", *_OUT, "groups_sha256"] + (["groups"] if details else [])
     return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(names), kinds, strict=True)], names=names)
 
 
@@ -226,26 +277,23 @@ def aligned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fir
     table gives no row. A text without space is one segment, in memory once.
     """
     first, second = first or tokenizer_path(FIRST), second or tokenizer_path(SECOND)
-    spark_parts = "chunk bigint, doc_id bigint, ids binary, i int, n bigint, segment string"
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    parts = written(texts.mapInArrow(_parts(first, second, chunk), spark_parts), "segments")
-    numbers, entries = parts.filter("ids is not null").select("chunk", "doc_id", "ids"), parts.filter("segment is not null").select("chunk", "i", "n", "segment")
-    links = "array<struct<a: int, b: int, n: bigint>>"
-    distinct = entries.select("segment").distinct().mapInArrow(_aligned(first, second), f"segment string, ok boolean, n_a bigint, n_b bigint, n_groups bigint, groups string, links {links}")
-    table = written(distinct.withColumn("seg", F.monotonically_increasing_id()), "alignments")
-    where = written(entries.join(table.select("segment", "seg", "ok"), "segment").select("chunk", "i", "n", "seg", "ok"), "dictionaries")
+    parts = written(texts.mapInArrow(_parts(first, second, chunk), "chunk bigint, doc_id bigint, n_ids bigint, ids binary, i int, n bigint, segment string"), "segments", "zstd")
+    numbers, entries = parts.filter("ids is not null").select("chunk", "doc_id", "n_ids", "ids"), parts.filter("segment is not null").select("chunk", "i", "n", "segment")
+    table = written(entries.repartition("segment").sortWithinPartitions("segment").mapInArrow(_aligned(first, second), _ALIGNED_SQL), "alignments", "zstd")
+    where, distinct = table.filter("i is not null").select("seg", "chunk", "i", "ok"), table.filter("i is null").drop("chunk", "i")
     bad = where.filter("not ok").groupBy("chunk").agg(F.collect_list("i").alias("bad"))  # bounded by a chunk's dictionary
-    less = numbers.join(bad, "chunk").select("chunk", "ids", "bad").mapInArrow(_spoilt, "chunk bigint, i int, n bigint").groupBy("chunk", "i").agg(F.sum("n").alias("less"))
-    counts = where.select("seg", "n").union(where.join(less, ["chunk", "i"]).select("seg", -F.col("less"))).groupBy("seg").agg(F.sum("n").alias("times"))
-    linked = table.filter("ok").select("seg", F.explode("links").alias("l")).select("seg", "l.*")
-    pairs = written(linked.join(counts.filter("times > 0"), "seg").groupBy("a", "b").agg(F.sum(F.col("n") * F.col("times")).alias("count")), "pairs")
-    best = pairs.groupBy("b").agg(F.max("count").alias("most"))
-    ranked = pairs.join(best, "b").select("a", "b", "count", (F.col("count") == F.col("most")).cast("bigint").alias("best")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    scored = linked.withColumn("salt", F.pmod(F.xxhash64("seg"), F.lit(SALTS)).cast("int")).join(ranked, ["a", "b", "salt"])
-    scored = scored.groupBy("seg").agg(F.sum(F.col("n") * F.col("best")).alias("n_best"), F.sum(F.col("n") * F.col("count")).alias("count_sum"))
-    sums = table.join(scored, "seg", "left").select("seg", "ok", "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), F.coalesce("n_best", F.lit(0)).alias("n_best"), F.coalesce("count_sum", F.lit(0)).alias("count_sum"), "groups")
-    words = written(where.select("chunk", "i", "seg").join(sums, "seg").select("chunk", "i", "ok", *_SUMS, "groups"), "composed")
-    for done in (where, table, pairs):
-        dropped(done)
-    out = "doc_id bigint, " + ", ".join(f"{c} bigint" for c in _SUMS) + ", groups_sha256 string" + (", groups string" if details else "")
+    less = numbers.join(bad, "chunk").select("chunk", "n_ids", "ids", "bad").mapInArrow(_spoilt, "chunk bigint, i int, less bigint")
+    less = written(less.join(where, ["chunk", "i"]).groupBy("seg").agg(F.sum("less").alias("less")), "spoilt")
+    linked = distinct.filter("ok").select("seg", "times", F.explode("links").alias("pair"))
+    times = linked.groupBy("pair").agg(F.sum("times").alias("times")).unionByName(linked.join(less, "seg").groupBy("pair").agg((-F.sum("less")).alias("times")))
+    pairs = written(times.groupBy("pair").agg(F.sum("times").alias("count")), "pairs")
+    b_id = F.col("pair").bitwiseAND((1 << 32) - 1)
+    best = pairs.groupBy(b_id.alias("b")).agg(F.max("count").alias("most"))
+    ranked = pairs.join(best, b_id == F.col("b")).select("pair", "count", (F.col("count") == F.col("most")).cast("bigint").alias("best")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    scored = linked.select("seg", "pair", F.pmod(F.xxhash64("seg"), F.lit(SALTS)).cast("int").alias("salt")).join(ranked, ["pair", "salt"])
+    scored = scored.groupBy("seg").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
+    sums = distinct.join(scored, "seg", "left").select("seg", "n_a", "n_b", "n_groups", F.coalesce("n_best", F.lit(0)).alias("n_best"), F.coalesce("count_sum", F.lit(0)).alias("count_sum"), "groups")
+    words = where.join(sums, "seg").select("chunk", "i", "ok", *_SUMS, "groups")
+    out = "doc_id bigint, " + ", ".join(f"{c} bigint" for c in _OUT) + ", groups_sha256 string" + (", groups string" if details else "")
     return numbers.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(lambda d, w: _composed(d, w, details), out)

@@ -33,10 +33,10 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+def written(df: DataFrame, what: str, codec: str | None = None) -> DataFrame:
     """df as Parquet in the shared folder, read again: cuts the lineage and survives lost executors."""
     at = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    df.write.parquet(at, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
