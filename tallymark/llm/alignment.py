@@ -28,6 +28,8 @@ FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 CHUNK = 32_000_000
 #: Segments tokenised in one call, and characters of them.
 GROUP, GROUP_CHARS = 4096, 1_000_000
+#: Dictionary rows that are packed together, about.
+PACK = 500_000
 #: Keys that a pair of ids is spread over where it meets the segments that hold it.
 SALTS = 16
 #: Space that may begin a segment, if the vocabularies allow it.
@@ -245,11 +247,41 @@ _SUMS = ["n_a", "n_b", "n_groups", "n_best", "count_sum"]
 _OUT = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Dictionary rows as (chunk, part): those of a chunk among PACK rows as one compressed table, as many narrow rows shuffle badly."""
+
+    def flush(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(rows)
+        table = table.take(np.argsort(table.column("chunk").to_numpy(), kind="stable"))
+        chunks, starts = np.unique(table.column("chunk").to_numpy(), return_index=True)
+        table, parts = table.drop_columns("chunk").combine_chunks(), []
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(table)], strict=True):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_table(table.slice(a, b - a))
+            parts.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(parts, pa.binary())], names=["chunk", "part"])
+
+    rows, n = [], 0
+    for batch in batches:
+        rows.append(batch)
+        n += len(batch)
+        if n >= PACK:
+            yield flush(rows)
+            rows, n = [], 0
+    if n:
+        yield flush(rows)
+
+
 def _composed(docs: pa.Table, words: pa.Table, details: bool) -> pa.Table:
-    """The documents of one chunk from its dictionary."""
+    """The documents of one chunk from the parts of its dictionary."""
+    if not len(words):  # texts without segments only
+        words = pa.table({c: pa.array([], k) for c, k in [("i", pa.int32()), ("ok", pa.bool_()), *((c, pa.int64()) for c in _SUMS), ("groups", pa.string())]})
+    else:
+        words = pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in words.column("part").to_pylist()])
     order = np.argsort(words.column("i").to_numpy())
     ok = words.column("ok").to_numpy(zero_copy_only=False)[order]
-    sums = np.stack([words.column(c).to_numpy()[order] for c in _SUMS]) if len(order) else np.zeros((len(_SUMS), 0), np.int64)
+    sums = np.stack([words.column(c).to_numpy()[order] for c in _SUMS])
     shown = words.column("groups").to_pylist()
     shown = [shown[k] for k in order.tolist()]
     rows = []
@@ -294,6 +326,6 @@ def aligned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fir
     scored = linked.select("seg", "pair", F.pmod(F.xxhash64("seg"), F.lit(SALTS)).cast("int").alias("salt")).join(ranked, ["pair", "salt"])
     scored = scored.groupBy("seg").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
     sums = distinct.join(scored, "seg", "left").select("seg", "n_a", "n_b", "n_groups", F.coalesce("n_best", F.lit(0)).alias("n_best"), F.coalesce("count_sum", F.lit(0)).alias("count_sum"), "groups")
-    words = where.join(sums, "seg").select("chunk", "i", "ok", *_SUMS, "groups")
+    words = where.join(sums, "seg").select("chunk", "i", "ok", *_SUMS, "groups").mapInArrow(_packed, "chunk bigint, part binary")
     out = "doc_id bigint, " + ", ".join(f"{c} bigint" for c in _OUT) + ", groups_sha256 string" + (", groups string" if details else "")
     return numbers.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(lambda d, w: _composed(d, w, details), out)
