@@ -17,7 +17,7 @@ from tallymark.operators.scoring import duplication, output_clusters, with_score
 from tallymark.plans import report
 from tallymark.session import scratch
 from tallymark.sources import tables as T
-from tallymark.sources.calls import as_int, field, messages_text, read_calls, read_decisions, sniffed, united
+from tallymark.sources.calls import as_int, field, messages_text, read_all, read_calls, read_decisions, sniffed
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -142,11 +142,15 @@ def _written(spark: SparkSession, lines: DataFrame, name: str) -> str:
 
 
 def read_skips(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of which one in ten is no record, and one in ten a list of two."""
+    """Lines of ten kinds: no record, a list of two (also the first line), text after a record, two records, a repeated key, NaN."""
     record = F.to_json(F.struct("model", F.col("weight").alias("n")))
-    text = F.when(F.col("ordinal") % 10 == 0, "{bad").when(F.col("ordinal") % 10 == 1, F.concat(F.lit("["), record, F.lit(","), record, F.lit(",3]"))).otherwise(record)
+    again = F.concat(F.lit('{"n":7,"usage":{"input":1,"input":2},'), F.substring(record, 2, 1 << 20))
+    kinds = {0: F.concat(F.lit("["), record, F.lit(","), record, F.lit(",3]")), 1: F.lit("{bad"), 2: F.concat(record, F.lit(" junk")), 3: F.concat(record, record), 4: again, 5: F.concat(F.lit('{"cost":NaN,'), F.substring(record, 2, 1 << 20))}
+    text = record
+    for k, x in kinds.items():
+        text = F.when(F.col("ordinal") % 10 == k, x).otherwise(text)
     calls, skipped = read_calls(spark, _written(spark, T.calls_events(spark, d).select(text), "skips.jsonl"))
-    return calls.agg(F.count("*").alias("calls"), F.sum("weight").alias("weight")).join(skipped)  # two single rows
+    return calls.agg(F.count("*").alias("calls"), F.sum("weight").alias("weight"), F.count("input_tokens").alias("with_tokens")).join(skipped)  # two single rows
 
 
 def read_document(spark: SparkSession, d: str) -> DataFrame:
@@ -187,7 +191,7 @@ def read_union(spark: SparkSession, d: str) -> DataFrame:
     calls = T.calls_events(spark, d)
     as_usage(calls).write.csv(path, header=True, escape='"')
     lines = _written(spark, as_generic(calls).select(F.to_json(F.struct("*"))), "calls.jsonl")
-    both, skipped = united([read_calls(spark, path), read_calls(spark, lines)])
+    both, skipped = read_all(spark, [path, lines])
     return both.groupBy(F.shiftright("ordinal", 40).alias("file")).agg(F.count("*").alias("calls"), F.sum("weight").alias("weight")).join(skipped)
 
 
@@ -347,7 +351,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "code_roots": "SELECT *, 6 files_scanned, 2 errors, 4 sites, 2 decision_shaped FROM (VALUES ('x/a/router.py', 3, 'likely'), ('y/a/router.py', 3, 'likely'), ('x/b/write.ts', 1, 'unlikely'), ('y/b/write.ts', 1, 'unlikely')) x(path, line, verdict)",
         "site_marks": "SELECT 'a/router.py' path, 1 marks",
-        "read_skips": f"WITH {_EVENTS} SELECT sum(CASE ordinal % 10 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END)::BIGINT calls, sum(CASE ordinal % 10 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END * weight)::BIGINT weight, count(*) FILTER (ordinal % 10 = 0) skipped FROM e",
+        "read_skips": f"WITH {_EVENTS}, k AS (SELECT weight, ordinal % 10 r, CASE WHEN ordinal % 10 = 0 THEN 2 WHEN ordinal % 10 < 4 THEN 0 ELSE 1 END c FROM e) SELECT sum(c)::BIGINT calls, sum(c * weight)::BIGINT weight, count(*) FILTER (r = 4) with_tokens, count(*) FILTER (c = 0) skipped FROM k",
         "read_document": "SELECT n_name model, greatest(1, n_nationkey) weight, n_nationkey + 1 ordinal FROM nation",
         "read_union": f"WITH {_EVENTS} SELECT f AS file, count(*) calls, sum(weight)::BIGINT weight, 0::BIGINT skipped FROM e, (VALUES (0), (1)) x(f) GROUP BY 1",
         "sniffed_formats": "SELECT event_id, ['litellm', 'langfuse', 'generic'][CAST(event_id % 3 AS INT) + 1] AS format FROM events",
