@@ -36,6 +36,20 @@ class Audit:
         every = self.spark.createDataFrame([(v, i) for i, v in enumerate(S.VERDICTS)], "verdict string, place int")
         return every.join(found, "verdict", "left").orderBy("place").select("verdict", F.coalesce("calls", F.lit(0)).alias("calls"), F.coalesce("spend", F.lit(0.0)).alias("spend"))
 
+    def rollup(self, time: str = "timestamp") -> DataFrame:
+        """(level, verdict, model, month, calls, spend): one pass gives the whole, each verdict, each model, each model's verdicts and each verdict's months.
+
+        ``level`` names the columns that a row is for, joined by a plus; the others are null. A null model or time stays a group of its own.
+        """
+        rows = self.rows.select("verdict", "model", F.substring(time, 1, 7).alias("month"), weight().alias("w"), "cost_usd")
+        sets = [[], ["verdict"], ["model"], ["verdict", "model"], ["verdict", "month"]]
+        names = ["verdict", "model", "month"]
+        found = rows.groupingSets(sets, *names).agg(F.grouping_id(*names).alias("g"), F.sum("w").alias("calls"), F.sum("cost_usd").alias("spend"))
+        level = F.lit("all")
+        for s in sets[1:]:  # a bit is set where the column is summed over
+            level = F.when(F.col("g") == sum(1 << (2 - i) for i, n in enumerate(names) if n not in s), "+".join(s)).otherwise(level)
+        return found.select(level.alias("level"), *names, "calls", "spend")
+
     def totals(self) -> DataFrame:
         """One row: calls, spend, what could move, and how costs are known."""
         moves = F.col("verdict").isin("likely", "maybe")

@@ -9,15 +9,16 @@ from pyspark.sql import functions as F
 
 from tallymark.functions import signals as S
 from tallymark.functions import text as X
-from tallymark.operators import calibration, codescan, migrate, selfcheck
+from tallymark.operators import calibration, codescan, history, migrate, selfcheck, sketches
 from tallymark.operators.audit import Audit
 from tallymark.operators.maps import build_maps
 from tallymark.operators.pricing import model_prices, price_table
-from tallymark.operators.scoring import duplication, output_clusters, with_scores
+from tallymark.operators.scoring import duplication, output_clusters, weight, with_scores
 from tallymark.plans import report
 from tallymark.session import scratch
 from tallymark.sources import tables as T
 from tallymark.sources.calls import as_int, field, messages_text, read_all, read_calls, read_decisions, sniffed
+from tallymark.streaming import sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -195,6 +196,42 @@ def read_union(spark: SparkSession, d: str) -> DataFrame:
     return both.groupBy(F.shiftright("ordinal", 40).alias("file")).agg(F.count("*").alias("calls"), F.sum("weight").alias("weight")).join(skipped)
 
 
+def _dated(spark: SparkSession, d: str) -> DataFrame:
+    """Calls of the events with their time."""
+    e = T.table(spark, d, "events").select(F.col("event_id").alias("ordinal"), "ts", "user_id")
+    return T.calls_events(spark, d).drop("timestamp").join(e, "ordinal").withColumn("timestamp", F.date_format("ts", "yyyy-MM-dd"))
+
+
+def audit_rollup(spark: SparkSession, d: str) -> DataFrame:
+    calls = T.calls_events(spark, d).withColumn("timestamp", F.concat(F.lit("2024-0"), (F.col("ordinal") % 7 + 1).cast("string"), F.lit("-01")))
+    return _rounded(Audit(spark, calls).rollup(), "spend", digits=4)
+
+
+def asof_prices(spark: SparkSession, d: str) -> DataFrame:
+    """Line items as calls, by the newest price of their supplier's model; orders as the history of prices."""
+    model = lambda c: (F.col(c) % len(T.MODELS)).cast("int").alias("model")
+    prices = T.table(spark, d, "orders").groupBy(model("o_custkey"), F.col("o_orderdate").alias("since")).agg(F.max("o_totalprice").alias("rate"))
+    items = T.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", model("l_suppkey"), F.col("l_shipdate").alias("ts"))
+    return history.asof_prices(items, prices).select("l_orderkey", "l_linenumber", "l_partkey", "model", "ts", "since", "rate")
+
+
+def call_sessions(spark: SparkSession, d: str) -> DataFrame:
+    calls = _dated(spark, d)
+    return sessions.call_sessions(calls.union(calls), "user_id", gap="2 hours", once=["call_id"])
+
+
+def sketched_outputs(spark: SparkSession, d: str) -> DataFrame:
+    """Exact figures by model, and whether those from daily sketches lie within their stated errors."""
+    calls = _dated(spark, d)
+    about = sketches.merged(sketches.daily_sketches(calls, F.to_date("ts")), "model", quantiles=(0.5,))
+    out = X.normal_output(F.col("output_excerpt"))
+    exact = calls.groupBy("model").agg(F.count_distinct(F.when(out != "", out)).alias("outputs"), F.sum(weight()).alias("n"))
+    low, high = (calls.groupBy("model").agg(F.percentile("output_tokens", F.lit(q)).alias(c)) for q, c in ((0.47, "low"), (0.53, "high")))
+    rows = about.join(exact, "model").join(low, "model").join(high, "model")
+    near = F.abs(F.col("distinct_outputs") - F.col("outputs")) <= F.greatest(F.lit(1.0), sketches.distinct_error() * F.col("outputs"))
+    return rows.select("model", "outputs", "n", near.alias("outputs_near"), F.col("p50").between(F.floor("low"), F.ceil("high")).alias("median_near"), (F.col("calls") == F.col("n")).alias("same_calls"))
+
+
 #: Prices that come before those of the table.
 OVERRIDES = {"GPT-4o": (9.0, 8.0), "mystery": (1.0, 2.0)}
 
@@ -257,6 +294,10 @@ def queries() -> dict[str, Query]:
         "strict_verdicts": lambda s, d: with_scores(T.calls_events(s, d), 0.8, 0.5).groupBy("verdict").agg(F.sum("weight").alias("calls")),
         "signals_by_value": lambda s, d: with_scores(T.calls_events(s, d)).select("call_id", report.by_value(F.col("signals")).alias("why")),
         "top_likely": top_likely,
+        "audit_rollup": audit_rollup,
+        "asof_prices": asof_prices,
+        "call_sessions": call_sessions,
+        "sketched_outputs": sketched_outputs,
         "price_overrides": lambda s, d: model_prices(T.calls_events(s, d), price_table(s, OVERRIDES)),
     }
     return q
@@ -354,6 +395,11 @@ def oracle_sql() -> dict[str, str]:
         "read_skips": f"WITH {_EVENTS}, k AS (SELECT weight, ordinal % 10 r, CASE WHEN ordinal % 10 = 0 THEN 2 WHEN ordinal % 10 < 4 THEN 0 ELSE 1 END c FROM e) SELECT sum(c)::BIGINT calls, sum(c * weight)::BIGINT weight, count(*) FILTER (r = 4) with_tokens, count(*) FILTER (c = 0) skipped FROM k",
         "read_document": "SELECT n_name model, greatest(1, n_nationkey) weight, n_nationkey + 1 ordinal FROM nation",
         "read_union": f"WITH {_EVENTS} SELECT f AS file, count(*) calls, sum(weight)::BIGINT weight, 0::BIGINT skipped FROM e, (VALUES (0), (1)) x(f) GROUP BY 1",
+        "audit_rollup": f"{priced}, y AS (SELECT *, '2024-0' || (ordinal % 7 + 1) AS month FROM w) SELECT CASE GROUPING(verdict, model, month) WHEN 7 THEN 'all' WHEN 3 THEN 'verdict' WHEN 5 THEN 'model' WHEN 1 THEN 'verdict+model' ELSE 'verdict+month' END AS level, verdict, model, month, sum(greatest(1, weight))::BIGINT calls, round(sum(cost_usd), 4) spend FROM y GROUP BY GROUPING SETS ((), (verdict), (model), (verdict, model), (verdict, month))",
+        "asof_prices": f"WITH p AS (SELECT CAST(o_custkey % {len(T.MODELS)} AS INT) model, o_orderdate since, max(o_totalprice) rate FROM orders GROUP BY 1, 2), l AS (SELECT *, CAST(l_suppkey % {len(T.MODELS)} AS INT) model FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, l.model, l_shipdate ts, since, rate FROM l ASOF LEFT JOIN p ON l.model = p.model AND l_shipdate >= since",
+        "call_sessions": """WITH g AS (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER w < INTERVAL 2 HOUR THEN 0 ELSE 1 END b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) k FROM g)
+          SELECT user_id, min(ts) began, max(ts) + INTERVAL 2 HOUR ended, count(*) calls, sum(1 + event_id % 3)::BIGINT weight FROM s GROUP BY user_id, k""",
+        "sketched_outputs": f"{events} SELECT model, count(DISTINCT out_key) FILTER (out_key <> '') outputs, sum(weight)::BIGINT n, true outputs_near, true median_near, true same_calls FROM k GROUP BY 1",
         "sniffed_formats": "SELECT event_id, ['litellm', 'langfuse', 'generic'][CAST(event_id % 3 AS INT) + 1] AS format FROM events",
         "decision_fields": "SELECT p, correct, question, (SELECT count(*) FROM events WHERE event_id % 4 = k) n, (SELECT count(*) FROM events WHERE event_id % 4 > 1) skipped FROM (VALUES (0, 0.75::DOUBLE, true, ''), (1, 0.25::DOUBLE, false, 'q')) x(k, p, correct, question)",
         "message_texts": "SELECT conv_id, coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (text <> ''), '') AS text FROM conversations GROUP BY 1",
