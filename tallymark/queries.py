@@ -42,32 +42,48 @@ def _rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     return df.withColumns({n: F.round(n, digits) for n in names})
 
 
-#: Source text for the code scan, as no table holds any.
+#: Source text around the words of a document, by the rest of its id by five: a call in Python that looks its answer up, one in a script,
+#: a file that does not parse, a call through a general name that reads JSON, a script without a call.
 SOURCES = [
-    ("a/router.py", 'LABELS = ("refund", "bug")\ndef route(c, t):\n    r = c.chat.completions.create(model="gpt-4o", messages=[{"role": "user", "content": "Classify this ticket"}])\n    x = r.choices[0].message.content\n    return x if x in LABELS else "other"\n'),
-    ("b/write.ts", 'const r = await client.messages.create({ model: "claude-sonnet-4", messages: [{ role: "user", content: "Write a blog post about spring" }] });\n'),
-    ("c/broken.py", "def f(:\n"),
+    ("py", 'LABELS = ("refund", "bug")\ndef route(c, t):\n    r = c.chat.completions.create(model="gpt-4o", messages=[{"role": "user", "content": "%s"}])\n    x = r.choices[0].message.content\n    return x if x in LABELS else "other"\n'),
+    ("ts", '// one\nconst r = await client.messages.create({ model: "claude-sonnet-4", messages: [{ role: "user", content: "%s" }] });\n'),
+    ("py", "def f(:\n# %s\n"),
+    ("py", 'import json\nMODEL = "o3-mini"\ndef rate(llm):\n    return json.loads(llm.invoke("%s", model=MODEL).text)\n'),
+    ("js", 'foo.complete = "%s";\n'),
 ]
 
 
-def _sources(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SOURCES, "path string, content string")
+def _sources(spark: SparkSession, d: str) -> DataFrame:
+    """A source file for each document, with its words as the prompt."""
+    words = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]+", " "))
+    i = F.col("doc_id")
+    kinds = [(F.concat(i.cast("string"), F.lit(f".{suffix}")), F.replace(F.lit(code), F.lit("%s"), words)) for suffix, code in SOURCES]
+    path, content = (F.element_at(F.array(*x), (i % len(SOURCES)).cast("int") + 1) for x in zip(*kinds, strict=True))
+    return T.table(spark, d, "documents").select(path.alias("path"), content.alias("content"))
 
 
 def code_sites(spark: SparkSession, d: str) -> DataFrame:
-    found = codescan.scored_sites(codescan.sites(_sources(spark)))
+    found = codescan.scored_sites(codescan.sites(_sources(spark, d)))
     return found.select("path", "line", "language", "api", "model", "prompt_excerpt", F.array_join("handling", ", ").alias("handling"), "score", "verdict")
 
 
 def code_roots(spark: SparkSession, d: str) -> DataFrame:
     """Two trees of the same files: where each finding is, with the totals of both."""
-    found, totals = codescan.scan_roots({"x": _sources(spark), "y/": _sources(spark)})
+    found, totals = codescan.scan_roots({"x": _sources(spark, d), "y/": _sources(spark, d)})
     return found.select("path", "line", "verdict", *(F.lit(n).alias(k) for k, n in totals.items()))
 
 
+def code_sites_sql(spark: SparkSession, d: str) -> DataFrame:
+    """The table function in SQL: Python sources, how many sites each has and whether it parses."""
+    codescan.register(spark)
+    _sources(spark, d).filter("path like '%.py'").createOrReplaceTempView("python_sources")
+    return spark.sql("SELECT path, count_if(NOT error) sites, bool_or(error) broken, coalesce(max(line), 0) line FROM python_sources, LATERAL python_sites(content) GROUP BY path")
+
+
 def site_marks(spark: SparkSession, d: str) -> DataFrame:
     """How many marks the patch of each file puts in."""
-    p = migrate.patches(codescan.scored_sites(codescan.sites(_sources(spark))), _sources(spark), 0.6)
+    files = _sources(spark, d)
+    p = migrate.patches(codescan.scored_sites(codescan.sites(files)), files, 0.6)
     return p.select("path", F.size(F.regexp_extract_all("patch", F.lit(r"(?m)^\+.*TODO"), 0)).alias("marks"))
 
 
@@ -277,6 +293,7 @@ def queries() -> dict[str, Query]:
         "event_json_fields": lambda s, d: T.table(s, d, "events").select("event_id", as_int(field(F.try_parse_json("props"), "missing", "k")).alias("k")),
         "conversation_calls": conversation_calls,
         "code_sites": code_sites,
+        "code_sites_sql": code_sites_sql,
         "read_litellm": _read(as_litellm, "calls.jsonl"),
         "read_langfuse": _read(as_langfuse, "calls.ndjson"),
         "read_generic": _read(as_generic, "calls.jsonl"),
@@ -388,10 +405,21 @@ def oracle_sql() -> dict[str, str]:
       CASE WHEN toxic = 1 THEN 'yes' ELSE 'no' END output, 1 weight, doc_id ordinal FROM labels JOIN documents USING (doc_id)), {_scored('l')}"""
     why = " UNION ALL ".join(f"SELECT call_id, {i} i, '{n}' n, {n} v FROM s" for i, n in enumerate(S.WEIGHTS))
     why = f"y AS (SELECT call_id, coalesce(string_agg(n || ' ' || printf('%.2f', v), ', ' ORDER BY v DESC, i) FILTER (v > 0), '') why FROM ({why}) GROUP BY 1)"
+    # the words of a document in a script: its call shows them where they fit its reach, else what stands between two quotes
+    head = len('messages.create({ model: "claude-sonnet-4", messages: [{ role: "user", content: "')
+    code = rf"""WITH d AS (SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')) w FROM documents),
+    q AS (SELECT doc_id, CASE WHEN doc_id % 5 <> 1 OR length(w) BETWEEN 12 AND {codescan.REACH - head - 1} THEN w ELSE ', messages: [{{ role:' END w FROM d WHERE doc_id % 5 IN (0, 1, 3)),
+    a AS (SELECT doc_id::VARCHAR call_id, '' source, '' model, NULL::BIGINT input_tokens, NULL::BIGINT output_tokens, CASE WHEN length(w) > 320 THEN left(w, 240) || ' … ' || right(w, 80) ELSE w END prompt, '' AS output, 1 weight, doc_id ordinal FROM q), {_scored('a')},
+    c1 AS (SELECT ordinal, prompt, ordinal % 5 r, decision_language, question_shape, short_input, gen, dec FROM g),
+    c2 AS (SELECT *, CASE WHEN score >= 0.6 THEN 'likely' WHEN score >= 0.35 THEN 'maybe' ELSE 'unlikely' END verdict FROM (SELECT ordinal || CASE r WHEN 1 THEN '.ts' ELSE '.py' END AS path, CASE r WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 4 END line, CASE r WHEN 1 THEN 'js' ELSE 'python' END AS language,
+      CASE r WHEN 0 THEN 'c.chat.completions.create' WHEN 1 THEN 'messages.create (pattern)' ELSE 'llm.invoke' END api, CASE r WHEN 0 THEN 'gpt-4o' WHEN 1 THEN 'claude-sonnet-4' ELSE 'o3-mini' END model, prompt prompt_excerpt, CASE r WHEN 0 THEN 'enum membership, reads completion text' WHEN 1 THEN '' ELSE 'json parse' END AS handling,
+      round(({S.WEIGHTS['short_output']}::DOUBLE * CASE r WHEN 0 THEN 0.9::DOUBLE WHEN 1 THEN 0 ELSE 0.7::DOUBLE END + {S.WEIGHTS['structured_output']}::DOUBLE * CASE r WHEN 0 THEN 0.8::DOUBLE WHEN 1 THEN 0 ELSE 1 END + {S.WEIGHTS['decision_language']}::DOUBLE * decision_language + {S.WEIGHTS['question_shape']}::DOUBLE * question_shape + {S.WEIGHTS['short_input']}::DOUBLE * short_input) * CASE WHEN gen > 0 AND dec = 0 THEN 0.6::DOUBLE ELSE 1 END, 4) score FROM c1))"""
     cell = r"replace(replace(coalesce(text, ''), '|', '\|'), chr(10), ' ⏎ ')"
     return {
-        "code_roots": "SELECT *, 6 files_scanned, 2 errors, 4 sites, 2 decision_shaped FROM (VALUES ('x/a/router.py', 3, 'likely'), ('y/a/router.py', 3, 'likely'), ('x/b/write.ts', 1, 'unlikely'), ('y/b/write.ts', 1, 'unlikely')) x(path, line, verdict)",
-        "site_marks": "SELECT 'a/router.py' path, 1 marks",
+        "code_roots": f"{code}, t AS (SELECT 2 * count(*) files_scanned, 2 * count(*) FILTER (doc_id % 5 = 2) errors, (SELECT 2 * count(*) FROM c2) sites, (SELECT 2 * count(*) FROM c2 WHERE verdict IN ('likely', 'maybe')) decision_shaped FROM documents) SELECT x || path AS path, line, verdict, t.* FROM c2, t, (VALUES ('x/'), ('y/')) y(x)",
+        "code_sites_sql": "SELECT doc_id || '.py' AS path, CASE WHEN doc_id % 5 = 2 THEN 0 ELSE 1 END sites, doc_id % 5 = 2 broken, CASE doc_id % 5 WHEN 0 THEN 3 WHEN 3 THEN 4 ELSE 0 END line FROM documents WHERE doc_id % 5 IN (0, 2, 3)",
+        "site_marks": f"{code} SELECT path, 1 marks FROM c2 WHERE score >= 0.6",
+        "code_sites": f"{code} SELECT path, line, language, api, model, prompt_excerpt, handling, score, verdict FROM c2",
         "read_skips": f"WITH {_EVENTS}, k AS (SELECT weight, ordinal % 10 r, CASE WHEN ordinal % 10 = 0 THEN 2 WHEN ordinal % 10 < 4 THEN 0 ELSE 1 END c FROM e) SELECT sum(c)::BIGINT calls, sum(c * weight)::BIGINT weight, count(*) FILTER (r = 4) with_tokens, count(*) FILTER (c = 0) skipped FROM k",
         "read_document": "SELECT n_name model, greatest(1, n_nationkey) weight, n_nationkey + 1 ordinal FROM nation",
         "read_union": f"WITH {_EVENTS} SELECT f AS file, count(*) calls, sum(weight)::BIGINT weight, 0::BIGINT skipped FROM e, (VALUES (0), (1)) x(f) GROUP BY 1",
@@ -409,8 +437,6 @@ def oracle_sql() -> dict[str, str]:
         "top_likely": f"{priced}, {why}, t AS (SELECT *, row_number() OVER (ORDER BY score DESC, w.cost_usd DESC, ordinal) place FROM w) SELECT place, source, why FROM t JOIN y USING (call_id) WHERE place <= 10 AND verdict = 'likely'",
         "price_overrides": f"{priced} SELECT model, CASE WHEN normal = 'gpt-4o' THEN 'gpt-4o' WHEN starts_with(normal, 'mystery') THEN 'mystery' ELSE price_key END price_key, CASE WHEN normal = 'gpt-4o' THEN 9 WHEN starts_with(normal, 'mystery') THEN 1 ELSE in_rate END in_rate, CASE WHEN normal = 'gpt-4o' THEN 8 WHEN starts_with(normal, 'mystery') THEN 2 ELSE out_rate END out_rate, is_fallback AND NOT starts_with(normal, 'mystery') is_fallback FROM mp JOIN m USING (model)",
         "label_scores": f"{labelled} SELECT verdict, count(*) calls FROM s GROUP BY 1",
-        "code_sites": """SELECT * FROM (VALUES ('a/router.py', 3, 'python', 'c.chat.completions.create', 'gpt-4o', 'Classify this ticket', 'enum membership, reads completion text', 0.655::DOUBLE, 'likely'),
-          ('b/write.ts', 1, 'js', 'messages.create (pattern)', 'claude-sonnet-4', 'Write a blog post about spring', '', 0.06::DOUBLE, 'unlikely')) x(path, line, language, api, model, prompt_excerpt, handling, score, verdict)""",
         "read_litellm": f"WITH {_EVENTS} " + read.format("", "litellm", "1", ", call_id"),
         "read_langfuse": f"WITH {_EVENTS} " + read.format("", "langfuse", "1", ", call_id"),
         "read_generic": f"WITH {_EVENTS} " + read.format("", "generic", "weight", ", call_id"),
