@@ -120,12 +120,12 @@ def low_diversity(cluster: Column) -> Column:
     return F.when(cluster >= 5, 1.0).when(cluster >= 2, 0.6).otherwise(0.0)
 
 
-def score(signals: Column, prompt: Column) -> Column:
-    """Weighted sum of a signals struct with the penalty, at four digits."""
+def score(signals: Column, prompt: Column, factor: Column | None = None) -> Column:
+    """Weighted sum of a signals struct with the penalty, at four digits. ``factor``: the penalty, where that is known already."""
     total = F.lit(0.0)
     for name, weight in WEIGHTS.items():
         total = total + weight * signals[name]
-    return F.round(total * penalty(prompt, signals["decision_language"] > 0), 4)
+    return F.round(total * (penalty(prompt, signals["decision_language"] > 0) if factor is None else factor), 4)
 
 
 def verdict(score: Column, likely: float = LIKELY, maybe: float = MAYBE) -> Column:

@@ -31,10 +31,13 @@ LOGGED, FALLBACK = "(logged)", "(table median)"
 CONSERVATIVE, OPTIMISTIC = 100.0, 400.0
 
 
-def load_prices(path: str) -> dict[str, tuple[float, float]]:
-    """Overrides from a JSON file: ``{model: [in, out]}``, also under a key ``models``."""
-    with open(path, encoding="utf-8") as f:
-        data = json.load(f)
+def load_prices(path: str, spark: SparkSession | None = None) -> dict[str, tuple[float, float]]:
+    """Overrides from a JSON file: ``{model: [in, out]}``, also under a key ``models``. With a session, of any store that Spark reads."""
+    if spark is None:
+        with open(path, encoding="utf-8") as f:
+            data = json.load(f)
+    else:
+        data = json.loads("".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))  # one small file
     data = data.get("models", data) if isinstance(data, dict) else None
     if not isinstance(data, dict) or not all(isinstance(v, (list, tuple)) and len(v) == 2 for v in data.values()):
         raise ValueError("a price file maps models to pairs of rates")

@@ -39,17 +39,18 @@ def with_scores(calls: DataFrame, likely: float = S.LIKELY, maybe: float = S.MAY
     """
     check_thresholds(likely, maybe)
     clusters = output_clusters(calls).select(F.col("model").alias("c_model"), F.col("out_key").alias("c_key"), F.col("n").alias("cluster"))
-    key = normal_output(F.col("output_excerpt"))
-    rows = calls.withColumn("out_key", key).join(clusters, (F.col("model") == F.col("c_model")) & (F.col("out_key") == F.col("c_key")), "left")
     prompt, output = F.col("prompt_excerpt"), F.col("output_excerpt")
-    found = F.struct(
-        S.short_output(F.col("output_tokens"), output).alias("short_output"),
-        S.structured_output(output).alias("structured_output"),
-        S.decision_language(prompt).alias("decision_language"),
-        S.question_shape(prompt).alias("question_shape"),
-        S.short_input(F.col("input_tokens"), prompt).alias("short_input"),
-        S.low_diversity(F.coalesce("cluster", F.lit(0))).alias("low_output_diversity"),
-    )
-    rows = rows.withColumn("signals", found).withColumn("score", S.score(F.col("signals"), prompt))
+    # what a row shows by itself is told before the join, on the partitions of the scan: those of the join may be few
+    own = {
+        "short_output": S.short_output(F.col("output_tokens"), output),
+        "structured_output": S.structured_output(output),
+        "decision_language": S.decision_language(prompt),
+        "question_shape": S.question_shape(prompt),
+        "short_input": S.short_input(F.col("input_tokens"), prompt),
+    }
+    rows = calls.withColumn("out_key", normal_output(output)).withColumn("own", F.struct(*(c.alias(n) for n, c in own.items()))).withColumn("factor", S.penalty(prompt, F.col("own.decision_language") > 0))
+    rows = rows.join(clusters, (F.col("model") == F.col("c_model")) & (F.col("out_key") == F.col("c_key")), "left")
+    found = F.struct(*(F.col(f"own.{n}").alias(n) for n in own), S.low_diversity(F.coalesce("cluster", F.lit(0))).alias("low_output_diversity"))
+    rows = rows.withColumn("signals", found).withColumn("score", S.score(F.col("signals"), prompt, F.col("factor")))
     empty = (F.coalesce(prompt, F.lit("")) == "") & (F.coalesce(output, F.lit("")) == "")
-    return rows.withColumn("verdict", F.when(empty, "insufficient").otherwise(S.verdict(F.col("score"), likely, maybe))).drop("c_model", "c_key", "cluster", "out_key")
+    return rows.withColumn("verdict", F.when(empty, "insufficient").otherwise(S.verdict(F.col("score"), likely, maybe))).drop("c_model", "c_key", "cluster", "out_key", "own", "factor")

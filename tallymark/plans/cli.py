@@ -76,7 +76,7 @@ def _audit(spark: SparkSession, o: argparse.Namespace) -> int:
     calls = staged(calls)
     if calls.isEmpty() and not (scan and scan[1]["sites"]):
         return 1
-    audit = Audit(spark, calls, load_prices(o.price_file) if o.price_file else None, o.min_score, o.maybe_threshold).cache()
+    audit = Audit(spark, calls, load_prices(o.price_file, spark) if o.price_file else None, o.min_score, o.maybe_threshold).cache()
     checked = None
     if o.self_check:  # of code sites if there are any, else of calls
         of_code = bool(scan and scan[1]["sites"])

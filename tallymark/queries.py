@@ -12,7 +12,7 @@ from tallymark.functions import text as X
 from tallymark.operators import calibration, codescan, history, migrate, selfcheck, sketches
 from tallymark.operators.audit import Audit
 from tallymark.operators.maps import build_maps
-from tallymark.operators.pricing import model_prices, price_table
+from tallymark.operators.pricing import load_prices, model_prices, price_table
 from tallymark.operators.scoring import duplication, output_clusters, weight, with_scores
 from tallymark.plans import report
 from tallymark.session import scratch
@@ -231,6 +231,16 @@ def asof_prices(spark: SparkSession, d: str) -> DataFrame:
     return history.asof_prices(items, prices).select("l_orderkey", "l_linenumber", "l_partkey", "model", "ts", "since", "rate")
 
 
+def price_file(spark: SparkSession, d: str) -> DataFrame:
+    """Prices of customers as models, in a file of one for each nation; a customer's model is its nation's, by name, suffix and date."""
+    n = T.table(spark, d, "nation")
+    whole = n.agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("House/"), "n_name"), F.array(F.col("n_nationkey") + 1, F.lit(2.5))))).alias("models"))))  # a price file is small
+    prices = price_table(spark, load_prices(_written(spark, whole, "prices.json"), spark))
+    name = F.concat(F.lower("n_name"), (F.col("c_custkey") % 3).cast("string"), F.lit("-2024-01-31"))
+    models = T.table(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(name.alias("model"))
+    return model_prices(models, prices)
+
+
 def call_sessions(spark: SparkSession, d: str) -> DataFrame:
     calls = _dated(spark, d)
     return sessions.call_sessions(calls.union(calls), "user_id", gap="2 hours", once=["call_id"])
@@ -311,6 +321,7 @@ def queries() -> dict[str, Query]:
         "strict_verdicts": lambda s, d: with_scores(T.calls_events(s, d), 0.8, 0.5).groupBy("verdict").agg(F.sum("weight").alias("calls")),
         "signals_by_value": lambda s, d: with_scores(T.calls_events(s, d)).select("call_id", report.by_value(F.col("signals")).alias("why")),
         "top_likely": top_likely,
+        "price_file": price_file,
         "audit_rollup": audit_rollup,
         "asof_prices": asof_prices,
         "call_sessions": call_sessions,
@@ -423,6 +434,7 @@ def oracle_sql() -> dict[str, str]:
         "read_skips": f"WITH {_EVENTS}, k AS (SELECT weight, ordinal % 10 r, CASE WHEN ordinal % 10 = 0 THEN 2 WHEN ordinal % 10 < 4 THEN 0 ELSE 1 END c FROM e) SELECT sum(c)::BIGINT calls, sum(c * weight)::BIGINT weight, count(*) FILTER (r = 4) with_tokens, count(*) FILTER (c = 0) skipped FROM k",
         "read_document": "SELECT n_name model, greatest(1, n_nationkey) weight, n_nationkey + 1 ordinal FROM nation",
         "read_union": f"WITH {_EVENTS} SELECT f AS file, count(*) calls, sum(weight)::BIGINT weight, 0::BIGINT skipped FROM e, (VALUES (0), (1)) x(f) GROUP BY 1",
+        "price_file": "WITH m AS (SELECT DISTINCT lower(n_name) || (c_custkey % 3) base FROM customer JOIN nation ON c_nationkey = n_nationkey), x AS (SELECT base, max_by(lower(n_name), length(n_name)) price_key, max_by(n_nationkey + 1, length(n_name))::DOUBLE in_rate FROM m JOIN nation ON starts_with(base, lower(n_name)) GROUP BY 1) SELECT base || '-2024-01-31' model, price_key, in_rate, 2.5::DOUBLE out_rate, false is_fallback FROM x",
         "audit_rollup": f"{priced}, y AS (SELECT *, '2024-0' || (ordinal % 7 + 1) AS month FROM w) SELECT CASE GROUPING(verdict, model, month) WHEN 7 THEN 'all' WHEN 3 THEN 'verdict' WHEN 5 THEN 'model' WHEN 1 THEN 'verdict+model' ELSE 'verdict+month' END AS level, verdict, model, month, sum(greatest(1, weight))::BIGINT calls, round(sum(cost_usd), 4) spend FROM y GROUP BY GROUPING SETS ((), (verdict), (model), (verdict, model), (verdict, month))",
         "asof_prices": f"WITH p AS (SELECT CAST(o_custkey % {len(T.MODELS)} AS INT) model, o_orderdate since, max(o_totalprice) rate FROM orders GROUP BY 1, 2), l AS (SELECT *, CAST(l_suppkey % {len(T.MODELS)} AS INT) model FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, l.model, l_shipdate ts, since, rate FROM l ASOF LEFT JOIN p ON l.model = p.model AND l_shipdate >= since",
         "call_sessions": """WITH g AS (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER w < INTERVAL 2 HOUR THEN 0 ELSE 1 END b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) k FROM g)
