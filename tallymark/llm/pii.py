@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import bisect
 import datetime
+import functools
 import hashlib
 import re
 import secrets
+import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
@@ -28,6 +30,20 @@ _FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 3
 _ALNUM = "0123456789abcdefghijklmnopqrstuvwxyz"
 
 
+#: Marks that a secret without letters and digits is permuted among.
+_SIGNS = "!#$%&()*+,-./:;=?@[\\]^_`{|}~"
+
+
+@functools.lru_cache(4096)
+def alphabet(c: str) -> str:
+    """The characters that one outside ASCII may become: letters or digits of its kind and case among the 128 around it."""
+    kind = unicodedata.category(c)
+    if kind[0] not in "LN":
+        return c
+    start = ord(c) & ~127
+    return "".join(x for x in map(chr, range(start, start + 128)) if unicodedata.category(x) == kind)
+
+
 class Permutation:
     """Keyed permutations of ranges of whole numbers."""
 
@@ -58,7 +74,7 @@ class Permutation:
                 return x
 
     def text(self, value: str, kind: str, hexadecimal: bool = False, back: bool = False) -> str:
-        """Digits, letters and their case stay what they are; other characters stay themselves.
+        """Digits, letters, their case and alphabet stay what they are; other characters stay themselves.
 
         The permutation of a block depends on all that stands before it, so equal values have equal images and values
         that only begin alike have unlike ends.
@@ -70,21 +86,23 @@ class Permutation:
                 out.append(done)
                 before.update((done if back else value[at : at + BLOCK]).encode())
             return "".join(out)
-        sizes = [0 if not c.isascii() or not c.isalnum() else 10 if c.isdigit() else 6 if hexadecimal else 26 for c in value]
+        sets = ["" if not c.isascii() and len(alphabet(c)) < 2 else alphabet(c) if not c.isascii() else "" if not c.isalnum() else _ALNUM[:10] if c.isdigit() else _ALNUM[10:16] if hexadecimal else _ALNUM[10:] for c in value]
+        if not any(sets):
+            sets = [_SIGNS if kind.startswith("secret") and c in _SIGNS else "" for c in value]
         number, total = 0, 1
-        for c, n in zip(value, sizes, strict=True):
-            if n:
-                number = number * n + (int(c) if n == 10 else ord(c.lower()) - 97)
-                total *= n
+        for c, letters in zip(value, sets, strict=True):
+            if letters:
+                number = number * len(letters) + letters.index(c.lower() if c.isascii() else c)
+                total *= len(letters)
         if total == 1:
             return value
-        shape = "".join("9" if n == 10 else "a" if n else c for c, n in zip(value, sizes, strict=True))
+        shape = "".join("9" if x == _ALNUM[:10] else ("a" if x[0] == "a" else f"<{x[0]}>") if x else c for c, x in zip(value, sets, strict=True))
         number = self.of(number, total, f"{kind}:{shape}", back=back)
         out = []
-        for c, n in zip(reversed(value), reversed(sizes), strict=True):
-            if n:
-                number, d = divmod(number, n)
-                c = str(d) if n == 10 else chr(97 + d) if c.islower() else chr(65 + d)
+        for c, letters in zip(reversed(value), reversed(sets), strict=True):
+            if letters:
+                number, d = divmod(number, len(letters))
+                c = letters[d].upper() if "A" <= c <= "Z" else letters[d]
             out.append(c)
         return "".join(reversed(out))
 
@@ -150,7 +168,7 @@ def address(p: Permutation, value: str) -> str | None:
 def phone(p: Permutation, value: str) -> str | None:
     d = _digits(value)
     m = re.match(r"\+([0-9]{1,3})[^0-9]", value)
-    code = m[1] if m else "" if value[0] != "+" else d[: len(d) - 10] or d[:1]
+    code = m[1] if m else "" if value[0] != "+" else d[: min(3, max(1, len(d) - 10))]
     rest = d[len(code) :]
     if not 8 <= len(d) <= 15:
         return None
@@ -200,7 +218,8 @@ def email(p: Permutation, value: str) -> str | None:
     name, _, top = host.rpartition(".")
     if not name or not top.isalpha():
         return None
-    return f"{p.text(local.lower(), 'local')}@{p.text(name.lower(), 'host')}.{top}"
+    low = lambda x: x.lower() if len(x.lower()) == len(x) else x
+    return f"{p.text(low(local), 'local')}@{p.text(low(name), 'host')}.{top}"
 
 
 def secret(p: Permutation, value: str) -> str | None:
@@ -208,12 +227,15 @@ def secret(p: Permutation, value: str) -> str | None:
 
 
 _SECRET = re.compile(r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth)[\"']?\s{0,16}[=:]\s*[\"']?([^\s\"'<>]{6,})")
+_BEGIN = "-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----"
 #: Kind, what a text has to hold (any of), pattern (group 1 if it has one), pseudonym; earlier kinds win an overlap.
 KINDS: list[tuple[str, tuple[str, ...], re.Pattern, Callable[[Permutation, str], str | None]]] = [
     ("key", ("AKIA", "ASIA"), re.compile(r"(?<![0-9A-Za-z])A[KS]IA([0-9A-Z]{16})(?![0-9A-Za-z])"), secret),
     ("key", ("sk-",), re.compile(r"(?<![0-9A-Za-z])sk-([0-9A-Za-z_-]{16,})"), secret),
     ("key", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), re.compile(r"(?<![0-9A-Za-z])gh[pousr]_([0-9A-Za-z]{20,})"), secret),
-    ("email", ("@",), re.compile(r"(?<![\w.+-])[\w.+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![\w-])"), email),
+    ("key", ("PRIVATE KEY-----",), re.compile(rf"{_BEGIN}((?:(?!-----BEGIN)[\s\S]){{1,20000}}?)-----END [A-Z0-9 ]{{0,40}}PRIVATE KEY-----"), secret),
+    ("key", ("PRIVATE KEY-----",), re.compile(rf"{_BEGIN}(\s*[A-Za-z0-9+/=][A-Za-z0-9+/=\s]{{15,}})"), secret),
+    ("email", ("@",), re.compile(r"(?<![\w.+-])[\w.+-]{1,64}@(?:[^\W_]|-){1,63}(?:\.(?:[^\W_]|-){1,63}){0,8}\.[^\W\d_]{2,24}(?![\w-])"), email),
     ("iban", (), re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,4})?(?![0-9A-Za-z])"), iban),
     ("card", (), re.compile(r"(?<![0-9A-Za-z.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"), card),
     ("address", (), re.compile(r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])"), address),
