@@ -2,12 +2,12 @@
 
 Markup is stripped into lines, one for each block-level run of text. Lines inside menus, headers, footers,
 sidebars, notices, adverts, forms and reader comments are page furniture and left out before anything is
-measured; the others weigh their length.
+measured, but for a form or a marked element that turns out to hold the page; the others weigh their length.
 
 Where no article or main element holds the heaviest block (a run of lines all in one such element or all in none),
 lengths are summed over sliding windows of WINDOW lines. The text surges at the first window that reaches SURGE
 characters, or a SHARE of the fullest window if that is less, and dives after the last; it is all that lies
-between. Where such an element holds the heaviest block, its start and end are the surge and the dive: the text is
+between, with the rest of the column that most of it is in and a heading right before. Where such an element holds the heaviest block, its start and end are the surge and the dive: the text is
 that of all such elements.
 """
 
@@ -17,6 +17,7 @@ import functools
 import html
 import itertools
 import re
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 #: Lines in a window, characters of a window at which the text surges, and the same as a share of the fullest window.
 WINDOW, SURGE, SHARE = 5, 80, 0.25
 #: Elements whose text never shows as page text.
-HIDDEN = frozenset("script style noscript template head title textarea select option button svg math iframe object canvas datalist audio video".split())
+HIDDEN = frozenset("script style noscript template head title textarea select option button svg iframe object canvas datalist audio video".split())
 #: Elements that hold page furniture.
 FURNITURE = frozenset("nav footer aside form menu dialog fieldset".split())
 #: Elements that end a line.
@@ -42,6 +43,17 @@ MARKS = frozenset(
 STATES = frozenset("open opened closed enabled disabled on off active inactive free left right layout page content main article result results".split())
 #: Words that a mark may follow: site-footer, post-comments.
 PLACES = frozenset("site page main global top bottom primary secondary post article entry blog".split())
+#: Marks of reader comments: they mark an article element, too, and never turn out to hold the page.
+COMMENTS = frozenset("comment comments disqus respond replies".split())
+#: Words that may follow a mark besides other marks: parts and lists of things. With another word the name is that of a thing of its own.
+PARTS = frozenset("area bar block body bottom box button card cell close col column container details entry feed footer frame group head header heading holder icon image img inline inner item items label large leaderboard link links list modal news outer panel placeholder post posts row section slot small space stories story text thread tile title top toggle unit units wrap wrapper zone".split())
+#: Elements and marks that may turn out to hold the page: where they have so many characters, and so many times those outside.
+HOLDS, TIMES = 400, 4
+#: Elements that hold lines of one column.
+BOXES = frozenset("div section td body main article form fieldset center li dd blockquote".split())
+_HEADINGS = frozenset("h1 h2 h3".split())
+#: Lines between a heading and the surge that may belong to it: by-lines, dates.
+BELOW = 6
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|</[^>]*(?:>|\Z)", re.S)
 _MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _RAW_END = {n: re.compile(rf"</{n}(?=[\s/>]|\Z)", re.I) for n in ("script", "style", "textarea", "title", "noscript", "iframe")}
@@ -53,42 +65,57 @@ def _marked(name: str) -> bool:
     """Whether a class, id or role name says what furniture it is; has-sidebar or no-ads does not."""
     first, *rest = [x for x in re.split("[_-]+", name) if x] or [""]
     if first in MARKS:
-        return STATES.isdisjoint(rest)
+        return STATES.isdisjoint(rest) and all(x in PARTS or x in MARKS or x in PLACES or x.isdigit() for x in rest)
     return first in PLACES and len(rest) == 1 and rest[0] in MARKS
 
 
-def _furniture(name: str, attributes: str, in_article: bool) -> bool:
-    if name in FURNITURE or name == "header" and not in_article:
-        return True
-    if name in ("body", "html", "main", "article") or "=" not in attributes:
-        return False
-    return any(_marked(w) for m in _MARK.finditer(attributes) for w in (m[1] or m[2] or m[3] or "").lower().split())
+def _furniture(name: str, attributes: str, in_article: bool) -> str:
+    """``sure`` for page furniture, ``likely`` for what is furniture unless it holds the page, else empty."""
+    if name == "header" and not in_article or name in FURNITURE and name not in ("form", "fieldset"):
+        return "sure"
+    words = [w for m in _MARK.finditer(attributes) for w in (m[1] or m[2] or m[3] or "").lower().split() if _marked(w)] if "=" in attributes and name not in ("body", "html") else []
+    if any(not COMMENTS.isdisjoint(re.split("[_-]+", w)) for w in words):
+        return "sure"
+    return "likely" if name in ("form", "fieldset") or words and name not in ("main", "article") else ""
 
 
-def lines_of(page: str) -> list[tuple[str, bool, int]]:
-    """(text, is furniture, number of the outermost article or main element or 0) of each line, in page order, empty lines left out."""
-    out: list[tuple[str, bool, int]] = []
+class Line(NamedTuple):
+    text: str
+    furniture: bool
+    #: Elements around it that are furniture unless they hold the page, outermost first.
+    likely: tuple[int, ...]
+    #: The outermost article or main element, or 0.
+    article: int
+    #: The nearest element of BOXES.
+    box: int
+    heading: bool
+
+
+def lines_of(page: str) -> list[Line]:
+    """The lines of a page in order, empty ones left out."""
+    out: list[Line] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool, int]] = []  # name, hidden, furniture, article: each with what it inherits
-    hidden = furniture = False
-    article = articles = at = 0
+    start_state = (False, False, (), 0, 0, False)  # hidden, then as in a line; each with what it inherits
+    stack: list[tuple[str, tuple]] = []
+    state = start_state
+    elements = at = 0
 
     def flush() -> None:
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             parts.clear()
             if text:
-                out.append((text, furniture, article))
+                out.append(Line(text, *state[1:]))
 
     while at < len(page):
         start = page.find("<", at)
         m = _TOKEN.match(page, start) if start >= 0 else None
         if start < 0:
             start = len(page)
-        if start > at and not hidden:
+        if start > at and not state[0]:
             parts.append(page[at:start])
         if m is None:
-            if start < len(page) and not hidden:
+            if start < len(page) and not state[0]:
                 parts.append("<")
             at = start + 1
             continue
@@ -103,7 +130,7 @@ def lines_of(page: str) -> list[tuple[str, bool, int]]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
                     del stack[i:]
-                    hidden, furniture, article = stack[-1][1:] if stack else (False, False, 0)
+                    state = stack[-1][1] if stack else start_state
                     break
                 if stack[i][0] in ("article", "main", "body") and name not in ("body", "html", "article", "main"):
                     break  # a stray end tag closes nothing outside its section
@@ -112,16 +139,17 @@ def lines_of(page: str) -> list[tuple[str, bool, int]]:
             continue
         if name == "p" and stack and stack[-1][0] == "p":
             stack.pop()
-            hidden, furniture, article = stack[-1][1:] if stack else (False, False, 0)
+            state = stack[-1][1] if stack else start_state
         if name == "body":
             stack.clear()
-            hidden = furniture = False
-            article = 0
-        own = _furniture(name, attributes, article > 0)
+            state = start_state
+        hidden, furniture, likely, article, box, heading = state
+        elements += 1
+        kind = _furniture(name, attributes, article > 0)
         if not article and name in ("article", "main"):
-            article = articles = articles + 1
-        stack.append((name, hidden or name in HIDDEN, furniture or own, article))
-        _, hidden, furniture, article = stack[-1]
+            article = elements
+        state = (hidden or name in HIDDEN, furniture or kind == "sure", (*likely, elements) if kind == "likely" else likely, article, elements if name in BOXES else box, heading or name in _HEADINGS)
+        stack.append((name, state))
         if name in _RAW_END:
             end = _RAW_END[name].search(page, at)
             at = end.start() if end else len(page)
@@ -139,16 +167,42 @@ def surge_and_dive(lengths: list[int]) -> tuple[int, int]:
     return full[0], min(full[-1] + WINDOW, len(lengths))
 
 
+def shown(lines: list[Line]) -> list[Line]:
+    """Lines that are no furniture. A form or a mark around the text of the page is none: one with most of all text, or with an article in it that has."""
+    lines = [x for x in lines if not x.furniture]
+    while any(x.likely for x in lines):
+        free = sum(len(x.text) for x in lines if not x.likely)
+        inside: dict[int, list[int]] = {}
+        for x in lines:
+            if x.likely:
+                n = inside.setdefault(x.likely[0], [0, 0])
+                n[0] += len(x.text)
+                n[1] += len(x.text) if x.article else 0
+        heaviest = max(inside, key=lambda e: inside[e][0])
+        n, of_article = inside[heaviest]
+        if n < TIMES * free or n < HOLDS and 2 * of_article < n:
+            return [x for x in lines if not x.likely]
+        lines = [x._replace(likely=x.likely[1:]) if x.likely and x.likely[0] == heaviest else x for x in lines]
+    return lines
+
+
 def main_text(page: str | None) -> str:
     """The main text: lines joined by one newline; empty for null, empty or textless pages."""
-    lines = [(text, article) for text, furniture, article in lines_of(page or "") if not furniture]
+    lines = shown(lines_of(page or ""))
     if not lines:
         return ""
-    blocks = [(sum(len(text) for text, _ in block), article) for article, block in itertools.groupby(lines, key=lambda x: x[1])]
+    blocks = [(sum(len(x.text) for x in block), article) for article, block in ((k, list(g)) for k, g in itertools.groupby(lines, key=lambda x: x.article))]
     if max(blocks, key=lambda b: b[0])[1]:
-        return "\n".join(text for text, article in lines if article)
-    surge, dive = surge_and_dive([len(text) for text, _ in lines])
-    return "\n".join(text for text, _ in lines[surge:dive])
+        return "\n".join(x.text for x in lines if x.article)
+    surge, dive = surge_and_dive([len(x.text) for x in lines])
+    weight: dict[int, int] = {}
+    for x in lines[surge:dive]:
+        weight[x.box] = weight.get(x.box, 0) + len(x.text)
+    column = max(weight, key=lambda b: weight[b])  # short first and last lines of the column that holds the text are text
+    of_column = [i for i, x in enumerate(lines) if x.box == column]
+    surge, dive = min(surge, of_column[0]), max(dive, of_column[-1] + 1)
+    heads = [i for i in range(max(0, surge - BELOW - 1), surge) if lines[i].heading]
+    return "\n".join(x.text for x in lines[heads[0] if heads else surge : dive])
 
 
 def extracted(page: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tallymark.llm import decontam, graph, htmltext, neardup, packing, pii, records, suffixes, tokens, toxicity, urlrules, vectors
 
+LONG = "A sentence of the text that is long enough to count." * 5
 DOCS = "doc_id bigint, text string, score string, found string"
 ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (None, "no id at all"), (5, "x" * 200_000), (6, "w " * 50_000), (7, "same words here again"), (7, "same words here again"), (8, "same words here again"), (9, "ünï\u00a0cöde\x1cand\x00nul")]
 
@@ -474,6 +475,12 @@ def test_main_text(page, text):
         ("<body><div><p>First half.</p><aside><p>See<p>also<p>this</aside><p>The other half, longer.</p></div><nav>a<p>b<p>c<p>d</nav><p>End</body>", "First half.\nThe other half, longer.\nEnd"),
         ("<body><div><p>The body of the page, long.</p><p>More of it.</p></div><section><article><h3>Card</h3></article><article>Teaser</article></section></body>", "The body of the page, long.\nMore of it.\nCard\nTeaser"),
         ("<body><p>Chrome</p><article><p>The body of the page.</p></article><p>Chrome</p><article>Next</article></body>", "The body of the page.\nNext"),
+        *((f'<body><nav>x</nav>{a}<h1>Title</h1><p>{LONG}</p><p>{LONG}</p>{b}<footer>y</footer></body>', f"Title\n{LONG}\n{LONG}") for a, b in (('<form id="aspnetForm">', "</form>"), ('<div class="ad-hoc">', "</div>"), ('<div class="menu-recipes">', "</div>"), ('<div id="menu"><div class="widget">', "</div></div>"))),
+        ('<body><form><article><h1>T</h1><p>Short.</p><form><p>field</p></form></article></form></body>', "T\nShort."),
+        ("<body><form><p>User</p><p>Password</p></form></body>", ""),
+        (f'<body><article><p>{LONG}</p><article class="comment"><p>Nice!</p></article></article><article class="comment-body" id="c1"><p>{LONG}</p></article></body>', LONG),
+        (f"<body><div><h1>Title</h1><p>By N. N.</p></div><div><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p><p>End.</p></div></body>", "\n".join(["Title", "By N. N.", *[LONG] * 6, "End."])),
+        ("<article><p>Let <math><mi>x</mi></math> be.</p></article>", "Let x be."),
         *((f'<body><div class="{c}"><p>Body text</p><div class="sidebar">no</div></div></body>', "Body text") for c in ("content has-sidebar", "no-sidebar", "with_comments", "content-sidebar-wrap", "sidebar-right", "ad-free", "search-results", "js-nav")),
         *((f'<body><p>Body text</p><div class="x {c}"><p>no</div></body>', "Body text") for c in ("ad", "ad-slot", "cookie-notice", "sidebar", "sidebar__inner", "site-footer", "main_nav", "post-comments", "Related-Posts")),
     ],
