@@ -4,11 +4,10 @@ Markup is stripped into lines, one for each block-level run of text. Lines insid
 sidebars, notices, adverts, forms and reader comments are page furniture and left out before anything is
 measured, but for a form or a marked element that turns out to hold the page; the others weigh their length.
 
-Where no article or main element holds the heaviest block (a run of lines all in one such element or all in none),
-lengths are summed over sliding windows of WINDOW lines. The text surges at the first window that reaches SURGE
-characters, or a SHARE of the fullest window if that is less, and dives after the last; it is all that lies
-between, with the rest of the column that most of it is in and a heading right before. Where such an element holds the heaviest block, its start and end are the surge and the dive: the text is
-that of all such elements.
+Lengths are summed over sliding windows of WINDOW lines. The text surges at the first window that reaches SURGE
+characters, or a SHARE of the fullest window if that is less, and dives after the last; it is all that lies between, with the
+rest of the columns that it is in and a heading right before. Where an article or main element holds most of what lies
+between, the columns are such elements, and what stands outside them is left out.
 """
 
 from __future__ import annotations
@@ -191,15 +190,17 @@ def main_text(page: str | None) -> str:
     lines = shown(lines_of(page or ""))
     if not lines:
         return ""
-    blocks = [(sum(len(x.text) for x in block), article) for article, block in ((k, list(g)) for k, g in itertools.groupby(lines, key=lambda x: x.article))]
-    if max(blocks, key=lambda b: b[0])[1]:
-        return "\n".join(x.text for x in lines if x.article)
     surge, dive = surge_and_dive([len(x.text) for x in lines])
-    weight: dict[int, int] = {}
+    # short first and last lines of the columns that hold the text are text: of its articles, or of the heaviest other one
+    weight: dict[tuple[int, int], int] = {}
     for x in lines[surge:dive]:
-        weight[x.box] = weight.get(x.box, 0) + len(x.text)
-    column = max(weight, key=lambda b: weight[b])  # short first and last lines of the column that holds the text are text
-    of_column = [i for i, x in enumerate(lines) if x.box == column]
+        column = (x.article, 0 if x.article else x.box)
+        weight[column] = weight.get(column, 0) + len(x.text)
+    heaviest = max(weight, key=lambda c: weight[c])
+    if heaviest[0]:
+        articles = {c[0] for c in weight}
+        return "\n".join(x.text for x in lines if x.article and x.article in articles)
+    of_column = [i for i, x in enumerate(lines) if not x.article and x.box == heaviest[1]]
     surge, dive = min(surge, of_column[0]), max(dive, of_column[-1] + 1)
     heads = [i for i in range(max(0, surge - BELOW - 1), surge) if lines[i].heading]
     return "\n".join(x.text for x in lines[heads[0] if heads else surge : dive])
