@@ -83,7 +83,7 @@ def code_sites_sql(spark: SparkSession, d: str) -> DataFrame:
 def site_marks(spark: SparkSession, d: str) -> DataFrame:
     """How many marks the patch of each file puts in."""
     files = _sources(spark, d)
-    p = migrate.patches(codescan.scored_sites(codescan.sites(files)), files, 0.6)
+    p = migrate.patches(codescan.scored_sites(codescan.sites(files)), files, S.MAYBE)
     return p.select("path", F.size(F.regexp_extract_all("patch", F.lit(r"(?m)^\+.*TODO"), 0)).alias("marks"))
 
 
@@ -228,7 +228,7 @@ def asof_prices(spark: SparkSession, d: str) -> DataFrame:
     model = lambda c: (F.col(c) % len(T.MODELS)).cast("int").alias("model")
     prices = T.table(spark, d, "orders").groupBy(model("o_custkey"), F.col("o_orderdate").alias("since")).agg(F.max("o_totalprice").alias("rate"))
     items = T.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", model("l_suppkey"), F.col("l_shipdate").alias("ts"))
-    return history.asof_prices(items, prices).select("l_orderkey", "l_linenumber", "l_partkey", "model", "ts", "since", "rate")
+    return history.asof_prices(items, prices).select("l_orderkey", "l_linenumber", "l_partkey", "model", *(F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("ts", "since")), "rate")
 
 
 def price_file(spark: SparkSession, d: str) -> DataFrame:
@@ -243,7 +243,8 @@ def price_file(spark: SparkSession, d: str) -> DataFrame:
 
 def call_sessions(spark: SparkSession, d: str) -> DataFrame:
     calls = _dated(spark, d)
-    return sessions.call_sessions(calls.union(calls), "user_id", gap="2 hours", once=["call_id"])
+    found = sessions.call_sessions(calls.union(calls), "user_id", gap="2 hours", once=["call_id"])
+    return found.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") for c in ("began", "ended")})
 
 
 def sketched_outputs(spark: SparkSession, d: str) -> DataFrame:
@@ -429,16 +430,16 @@ def oracle_sql() -> dict[str, str]:
     return {
         "code_roots": f"{code}, t AS (SELECT 2 * count(*) files_scanned, 2 * count(*) FILTER (doc_id % 5 = 2) errors, (SELECT 2 * count(*) FROM c2) sites, (SELECT 2 * count(*) FROM c2 WHERE verdict IN ('likely', 'maybe')) decision_shaped FROM documents) SELECT x || path AS path, line, verdict, t.* FROM c2, t, (VALUES ('x/'), ('y/')) y(x)",
         "code_sites_sql": "SELECT doc_id || '.py' AS path, CASE WHEN doc_id % 5 = 2 THEN 0 ELSE 1 END sites, doc_id % 5 = 2 broken, CASE doc_id % 5 WHEN 0 THEN 3 WHEN 3 THEN 4 ELSE 0 END line FROM documents WHERE doc_id % 5 IN (0, 2, 3)",
-        "site_marks": f"{code} SELECT path, 1 marks FROM c2 WHERE score >= 0.6",
+        "site_marks": f"{code} SELECT path, 1 marks FROM c2 WHERE score >= {S.MAYBE}",
         "code_sites": f"{code} SELECT path, line, language, api, model, prompt_excerpt, handling, score, verdict FROM c2",
         "read_skips": f"WITH {_EVENTS}, k AS (SELECT weight, ordinal % 10 r, CASE WHEN ordinal % 10 = 0 THEN 2 WHEN ordinal % 10 < 4 THEN 0 ELSE 1 END c FROM e) SELECT sum(c)::BIGINT calls, sum(c * weight)::BIGINT weight, count(*) FILTER (r = 4) with_tokens, count(*) FILTER (c = 0) skipped FROM k",
         "read_document": "SELECT n_name model, greatest(1, n_nationkey) weight, n_nationkey + 1 ordinal FROM nation",
         "read_union": f"WITH {_EVENTS} SELECT f AS file, count(*) calls, sum(weight)::BIGINT weight, 0::BIGINT skipped FROM e, (VALUES (0), (1)) x(f) GROUP BY 1",
         "price_file": "WITH m AS (SELECT DISTINCT lower(n_name) || (c_custkey % 3) base FROM customer JOIN nation ON c_nationkey = n_nationkey), x AS (SELECT base, max_by(lower(n_name), length(n_name)) price_key, max_by(n_nationkey + 1, length(n_name))::DOUBLE in_rate FROM m JOIN nation ON starts_with(base, lower(n_name)) GROUP BY 1) SELECT base || '-2024-01-31' model, price_key, in_rate, 2.5::DOUBLE out_rate, false is_fallback FROM x",
         "audit_rollup": f"{priced}, y AS (SELECT *, '2024-0' || (ordinal % 7 + 1) AS month FROM w) SELECT CASE GROUPING(verdict, model, month) WHEN 7 THEN 'all' WHEN 3 THEN 'verdict' WHEN 5 THEN 'model' WHEN 1 THEN 'verdict+model' ELSE 'verdict+month' END AS level, verdict, model, month, sum(greatest(1, weight))::BIGINT calls, round(sum(cost_usd), 4) spend FROM y GROUP BY GROUPING SETS ((), (verdict), (model), (verdict, model), (verdict, month))",
-        "asof_prices": f"WITH p AS (SELECT CAST(o_custkey % {len(T.MODELS)} AS INT) model, o_orderdate since, max(o_totalprice) rate FROM orders GROUP BY 1, 2), l AS (SELECT *, CAST(l_suppkey % {len(T.MODELS)} AS INT) model FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, l.model, l_shipdate ts, since, rate FROM l ASOF LEFT JOIN p ON l.model = p.model AND l_shipdate >= since",
+        "asof_prices": f"WITH p AS (SELECT CAST(o_custkey % {len(T.MODELS)} AS INT) model, o_orderdate since, max(o_totalprice) rate FROM orders GROUP BY 1, 2), l AS (SELECT *, CAST(l_suppkey % {len(T.MODELS)} AS INT) model FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, l.model, strftime(l_shipdate, '%Y-%m-%d') ts, strftime(since, '%Y-%m-%d') since, rate FROM l ASOF LEFT JOIN p ON l.model = p.model AND l_shipdate >= since",
         "call_sessions": """WITH g AS (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER w < INTERVAL 2 HOUR THEN 0 ELSE 1 END b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) k FROM g)
-          SELECT user_id, min(ts) began, max(ts) + INTERVAL 2 HOUR ended, count(*) calls, sum(1 + event_id % 3)::BIGINT weight FROM s GROUP BY user_id, k""",
+          SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') began, strftime(max(ts) + INTERVAL 2 HOUR, '%Y-%m-%d %H:%M:%S.%f') ended, count(*) calls, sum(1 + event_id % 3)::BIGINT weight FROM s GROUP BY user_id, k""",
         "sketched_outputs": f"{events} SELECT model, count(DISTINCT out_key) FILTER (out_key <> '') outputs, sum(weight)::BIGINT n, true outputs_near, true median_near, true same_calls FROM k GROUP BY 1",
         "sniffed_formats": "SELECT event_id, ['litellm', 'langfuse', 'generic'][CAST(event_id % 3 AS INT) + 1] AS format FROM events",
         "decision_fields": "SELECT p, correct, question, (SELECT count(*) FROM events WHERE event_id % 4 = k) n, (SELECT count(*) FROM events WHERE event_id % 4 > 1) skipped FROM (VALUES (0, 0.75::DOUBLE, true, ''), (1, 0.25::DOUBLE, false, 'q')) x(k, p, correct, question)",
