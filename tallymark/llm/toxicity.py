@@ -23,8 +23,9 @@ SLOTS, DIM = 1 << 20, 4
 NGRAMS = (3, 4, 5)
 #: Labelled rows of each class that training takes at most, and characters of the longest text it takes.
 PER_CLASS, TRAIN_CHARS = 1500, 20_000
-#: Training texts that a slot has to occur in; rarer ones keep a zero vector.
-LEAST_TEXTS = 4
+#: Training texts that a slot has to occur in, and standard errors by which its shares of the two labels' texts have to differ;
+#: other slots keep a zero vector, so that single labelled texts are not learnt by heart. Chosen by three-fold cross-validation.
+LEAST_TEXTS, CONTRAST = 4, 4.0
 #: Passes over the sample, rate of training, pull of the table to zero, and factor of the short averaged vectors.
 EPOCHS, RATE, PULL, SCALE = 8, 0.2, 1e-3, 2.0
 #: The sum of the vectors of a text's distinct words is divided by their count to this power: averaged, the few telling words of
@@ -91,16 +92,28 @@ class Scorer:
         return float(1 / (1 + np.exp(-x)))
 
 
+def telling(texts_of: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Which slots are frequent and differ between the labels, from texts of each label with the slot, and all of each label."""
+    n = texts_of.sum(0)
+    if not texts.all():
+        return np.zeros(len(n), bool)
+    gap = np.abs(texts_of[0] / texts[0] - texts_of[1] / texts[1])
+    share = n / texts.sum()
+    return (n >= LEAST_TEXTS) & (gap >= CONTRAST * np.sqrt(share * (1 - share) * (1 / texts).sum())) & (gap > 0)
+
+
 def train(texts: list[str], labels: list[int], class_weights: tuple[float, float] = (1.0, 1.0), slots: int = SLOTS, dim: int = DIM, epochs: int = EPOCHS, seed: int = 7) -> Model:
     """Fits table, softmax and bias jointly, text by text, with per-slot rates. Deterministic.
 
-    ``class_weights`` shift the bias at the end by PRIOR of what they say, so that classes may be sampled unevenly.
+    Only slots that tell the labels apart (see CONTRAST) get vectors; where none does, as with fewer than about
+    eight texts of each label, every text gets the score of UNTAUGHT. ``class_weights`` shift the bias at the end
+    by PRIOR of what they say, so that classes may be sampled unevenly.
     """
     rng = np.random.default_rng(seed)
     known: dict[str, np.ndarray] = {}
-    texts_of = np.zeros(slots, np.int32)
+    texts_of = np.zeros((2, slots), np.int32)
     inputs = []
-    for text in texts:
+    for text, label in zip(texts, labels, strict=True):
         words = words_of(text)
         ids, shares = [], []
         for w in words:
@@ -110,15 +123,15 @@ def train(texts: list[str], labels: list[int], class_weights: tuple[float, float
             ids.append(s)
             shares.append(np.full(len(s), 1 / len(words) ** POWER / len(s), np.float32))
         at, where = np.unique(np.concatenate(ids), return_inverse=True) if ids else (np.zeros(0, np.int32), np.zeros(0, int))
-        texts_of[at] += 1
+        texts_of[label, at] += 1
         inputs.append((at, np.bincount(where, np.concatenate(shares), len(at)).astype(np.float32) if ids else np.zeros(0, np.float32)))
     known.clear()
-    inputs = [(at[keep], SCALE * x[keep]) for at, x in inputs for keep in [texts_of[at] >= LEAST_TEXTS]]
+    used = telling(texts_of, np.bincount(np.array(labels, int), minlength=2))
+    inputs = [(at[keep], SCALE * x[keep]) for at, x in inputs for keep in [used[at]]]
     table = np.zeros((slots, dim), np.float32)
-    used = texts_of >= LEAST_TEXTS
     table[used] = rng.uniform(-0.1, 0.1, (int(used.sum()), dim))
     softmax, bias = rng.normal(0, 1, (dim, 2)).astype(np.float32), np.zeros(2)
-    if len(set(labels)) == 2:
+    if used.any():
         seen, seen_softmax, seen_bias = np.full(slots, 1e-6, np.float32), np.full((dim, 2), 1e-2, np.float32), np.full(2, 1e-2)
         for epoch in range(epochs):
             rate = RATE * (1 - epoch / epochs)
