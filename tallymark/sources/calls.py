@@ -201,12 +201,22 @@ def record(text: Column, fields: list[str]) -> Column:
     return F.transform(F.array(first), lambda r: F.when(r["(not read)"].isNull(), r).otherwise(F.from_json(F.to_json(variant_of(text)), f"struct<{schema}>", how)))[0]
 
 
-def _in_order(rows: DataFrame, blocks: DataFrame) -> DataFrame:
-    """rows of (path, block, id, i, j) with ``ordinal`` in their file; blocks: (key, path, block, n), how many rows each has."""
-    earlier = Window.partitionBy("key").orderBy("path", "block").rowsBetween(Window.unboundedPreceding, -1)
-    before = blocks.select("path", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+def _in_order(rows: DataFrame) -> DataFrame:
+    """rows of (path, block, id, i, j, before) with ``ordinal`` in their file; ``before``: the rows of the blocks before theirs."""
     here = F.row_number().over(Window.partitionBy("path", "block").orderBy("id", "i", "j"))
-    return rows.withColumn("here", here).join(before, ["path", "block"]).withColumn("ordinal", F.col("before") + F.col("here")).drop("here", "before")
+    return rows.withColumn("ordinal", F.col("before") + here).drop("before")
+
+
+def _about(blocks: DataFrame, files: DataFrame, fmt: str | None) -> DataFrame:
+    """(path, block, before, place, file, fmt) of each block, written: its size is known, so that a small one is broadcast, and
+    a large one met by blocks. By files, all rows of a large one would be in one task.
+    """
+    earlier = Window.partitionBy("key").orderBy("path", "block").rowsBetween(Window.unboundedPreceding, -1)
+    heads = blocks.groupBy("key").agg(F.min_by("head", F.when(F.col("head").isNotNull(), F.struct("path", "block"))).alias("head"))
+    told = F.lit(fmt) if fmt else F.when(F.col("head").isNotNull(), sniffed(variant_of(F.col("head")))).otherwise("generic")
+    of_file = heads.join(files, "key").select("key", "place", "file", F.when(F.col("flat"), "generic").otherwise(told).alias("fmt"))
+    before = blocks.select("key", "path", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    return staged(before.join(of_file, "key").drop("key"))
 
 
 def _json(spark: SparkSession, paths: list[str], files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -249,8 +259,9 @@ def _json(spark: SparkSession, paths: list[str], files: DataFrame) -> tuple[Data
 def _flat(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
     """The same of rows of separated values: objects of strings, names stripped and in lower case, of equal names the last."""
     tabs = F.lower(_key()).endswith(".tsv")
-    rows = quoted_rows(spark, paths, F.when(tabs, "\t").otherwise(",")).withColumn("row", F.regexp_replace("row", "\r\\z", "")).filter("row != ''")
-    heads = rows.groupBy("path").agg(F.min_by("row", F.struct("block", "id")).alias("head"), F.min(F.struct("block", "id")).alias("at"))
+    # written once: finding the row ends shuffles the lines, and rows are read for the names, for the counts and for the calls
+    rows = staged(quoted_rows(spark, paths, F.when(tabs, "\t").otherwise(",")).withColumn("row", F.regexp_replace("row", "\r\\z", "")).filter("row != ''"))
+    heads = staged(rows.groupBy("path").agg(F.min_by("row", F.struct("block", "id")).alias("head"), F.min(F.struct("block", "id")).alias("at")))  # of known size, so broadcast if small
     wide = heads.agg(F.max(F.length("head") - F.length(F.translate("head", ",\t", "")))).first()[0]  # one row for each file
     schema = ", ".join(f"c{i} string" for i in range((wide or 0) + 1))
 
@@ -330,10 +341,7 @@ def read_files(spark: SparkSession, paths: list[str], fmt: str | None = None) ->
         kinds = ([_json(spark, texts, table)] if texts else []) + ([_flat(spark, flats)] if flats else [])
         every = []
         for rows, blocks in kinds:
-            heads = blocks.groupBy("key").agg(F.min_by("head", F.when(F.col("head").isNotNull(), F.struct("path", "block"))).alias("head"))
-            told = F.lit(fmt) if fmt else F.when(F.col("head").isNotNull(), sniffed(variant_of(F.col("head")))).otherwise("generic")
-            about = heads.join(table, "key").select("key", "place", "file", F.when(F.col("flat"), "generic").otherwise(told).alias("fmt"))
-            every.append(_in_order(normalised(rows.join(about, "key")), blocks))
+            every.append(_in_order(normalised(rows.drop("key").join(_about(blocks, table, fmt), ["path", "block"]))))
         skipped = reduce(DataFrame.unionByName, (b.select("bad") for _, b in kinds)).agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("skipped"))
     rows = reduce(DataFrame.unionByName, every)
     source = F.concat("file", F.lit("#L"), F.col("ordinal").cast("string"))
