@@ -4,6 +4,7 @@ Both tokenizers used here split a text before merging, and never merge across a
 non-space to a space character. So a text can be cut there, each cut piece encoded once, and the ids of
 the pieces joined; the result equals that of encoding the whole text. Texts that hold a space character
 other than the ASCII ones, or the string of a special token, are encoded whole, as the cuts are not proven there.
+The pieces of many texts are found, told apart and put back as arrays; Python meets each distinct one once.
 """
 
 from __future__ import annotations
@@ -14,23 +15,21 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
-#: Word pieces kept in a process; the cache is emptied beyond that.
-CACHE = 400_000
 #: Characters that some library counts as space, besides the ASCII ones at which texts are cut.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]")
 #: Bytes of texts that may hold one of them.
 _SUSPECT = b"\x1c\x1d\x1e\x1f\xc2\xe1\xe2\xe3\xef"
 #: Word pieces in each of the two generations that a process keeps: pieces of the older one that are met again move to the newer.
 CACHE = 300_000
-#: Space in which the place of a cut matters; elsewhere each space goes with the word after it (marked by the byte 255,
-#: which no text holds) and each line end stands alone.
-_CONTROLS, _TWICE = b"\t\r\x0b\x0c", (b"  ", b"\n\n", b" \n", b"\n ")
-#: A letter, and the punctuation after it: both tokenizers split there, wherever no apostrophe starts a suffix.
-_TAIL = re.compile(rb"(.*[A-Za-z])([!-&(-/:-@\\[-`{-~]+)\Z", re.S)
-_SPACED = re.compile(rb"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
-#: Characters of texts whose new pieces are encoded in one go, and pieces in one call of the tokenizer.
-GROUP, JOINED = 1_000_000, 64
+#: Kinds of bytes: ASCII space, letters, and the punctuation that starts no suffix as the apostrophe does.
+_SPACE, _LETTER, _POINT = 1, 2, 4
+_KIND = np.zeros(256, np.uint8)
+for _kind, _bytes in ((_SPACE, rb" \t\n\r\x0b\x0c"), (_LETTER, rb"A-Za-z"), (_POINT, rb"!-&(-/:-@\[-`{-~")):
+    _KIND[[m[0][0] for m in re.finditer(b"[" + _bytes + b"]", bytes(range(256)))]] = _kind
+#: Characters of texts that are cut in one go, unless one text is longer, and pieces in one call of the tokenizer.
+GROUP, JOINED = 4_000_000, 64
 _loaded: dict[str, Encoder] = {}
 
 
@@ -58,23 +57,36 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("H" if self.width == 2 else "I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def pieces(self, text: str) -> list[bytes] | None:
-        """The pieces of a text; none if it has to be encoded whole."""
-        raw = text.encode().lower() if self.drops_space else text.encode()
-        if len(raw.translate(None, _SUSPECT)) < len(raw) and _ODD.search(text) or any(x in raw for x in self.special):
-            return None
-        if self.drops_space:
-            return raw.split()
-        if len(raw.translate(None, _CONTROLS)) < len(raw) or any(x in raw for x in _TWICE):
-            return [p.replace(b" ", b"\xff") for p in _SPACED.findall(raw)]
-        return raw.replace(b" ", b" \xff").replace(b"\n", b" \n ").split(b" ")
+    def uncut(self, text: str, raw: bytes) -> bool:
+        """Whether a text has to be encoded whole."""
+        return len(raw.translate(None, _SUSPECT)) < len(raw) and _ODD.search(text) is not None or any(x in raw for x in self.special)
+
+    def pieces(self, raws: list[bytes]) -> tuple[pa.LargeBinaryArray, list[int]]:
+        """The pieces of all texts, and which one each text begins with; last, their number.
+
+        Cuts are before space that follows something else, after a line end that stands alone, and between a letter and
+        punctuation: there both tokenizers split, whatever else is around.
+        """
+        raw = b"".join(raws)
+        starts = np.cumsum([0, *map(len, raws)])
+        data = np.frombuffer(raw, np.uint8)
+        kind = _KIND[data]
+        space = kind == _SPACE
+        cut = np.zeros(len(data) + 1, bool)
+        np.greater(space[1:], space[:-1], out=cut[1:-1])
+        cut[1:-1] |= (kind[1:] == _POINT) & (kind[:-1] == _LETTER)
+        cut[2:-1] |= (data[1:-1] == 10) & ~space[2:] & ~space[:-2]
+        cut[starts] = True
+        at = np.flatnonzero(cut)
+        found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(raw)])
+        return found, np.searchsorted(at, starts).tolist()
 
     def apart(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of each piece. A special token stands between pieces, so that one call encodes many and each by itself."""
         if not self.special:
-            return self.whole([p.replace(b"\xff", b" ").decode() for p in pieces])
+            return self.whole([p.decode() for p in pieces])
         mark, number = next(iter(self.special.items()))
-        joined = [mark.join(pieces[i : i + JOINED]).replace(b"\xff", b" ").decode() for i in range(0, len(pieces), JOINED)]
+        joined = [mark.join(pieces[i : i + JOINED]).decode() for i in range(0, len(pieces), JOINED)]
         out, size = [], self.width
         for raw in self.whole(joined):
             at = 0
@@ -84,57 +96,48 @@ class Encoder:
             out.append(raw[at:])
         return out
 
-    def learn(self, pieces: set[bytes]) -> None:
-        """Puts pieces into the cache, those that end in punctuation by way of their parts."""
+    def known(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each of distinct pieces, by way of the cache."""
         if len(self.cache) > CACHE:
             self.cache, self.older = {}, self.cache
-        cache, older = self.cache, self.older
-        cache.update([(p, x) for p in pieces if (x := older.get(p)) is not None])
-        pieces = pieces.difference(cache)
-        parts = {p: m.groups() for p in pieces if not p[-1:].isalnum() and (m := _TAIL.match(p))}
-        todo = list(({x for pair in parts.values() for x in pair} | (pieces - parts.keys())).difference(cache))
+        cache = self.cache
+        out = list(map(cache.get, pieces))
+        new = [p for p, x in zip(pieces, out, strict=True) if x is None]
+        if not new:
+            return out
+        kept = list(map(self.older.get, new))
+        todo = [p for p, x in zip(new, kept, strict=True) if x is None]
+        cache.update(zip(new, kept, strict=True))
         cache.update(zip(todo, self.apart(todo), strict=True))
-        cache.update({p: cache[a] + cache[b] for p, (a, b) in parts.items()})
+        return list(map(cache.__getitem__, pieces))
 
     def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text, in order."""
         done = 0
         while done < len(texts):
-            get = self.cache.get
-            group: list[tuple[list[bytes], list[int], list[bytes]]] = []  # pieces, those without ids yet, ids
-            new: set[bytes] = set()
+            raws: list[bytes] = []
+            whole: dict[int, str] = {}
             size = 0
             while done < len(texts) and size < GROUP:
                 text = texts[done] or ""
-                pieces = self.pieces(text)
-                if pieces is None:
-                    group.append(([], [], self.whole([text])))
-                else:
-                    ids = list(map(get, pieces))
-                    missing = _places(ids)
-                    new.update([pieces[i] for i in missing])
-                    group.append((pieces, missing, ids))
+                raw = text.encode().lower() if self.drops_space else text.encode()
+                if self.uncut(text, raw):
+                    whole[len(raws)], raw = text, b""
+                raws.append(raw)
                 size += len(text)
                 done += 1
-            self.learn(new)
-            for pieces, missing, ids in group:
-                for i in missing:
-                    ids[i] = self.cache[pieces[i]]
-                yield b"".join(ids)
+            pieces, first = self.pieces(raws)
+            coded = pieces.dictionary_encode()
+            ids = pa.array(self.known(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+            at = np.frombuffer(ids.buffers()[1], np.int64)[first].tolist() if len(ids) else [0] * len(first)
+            data = memoryview(ids.buffers()[2] or b"")
+            for i, (begin, end) in enumerate(zip(at, at[1:])):
+                yield self.whole([whole[i]])[0] if i in whole else bytes(data[begin:end])
 
     def encode(self, text: str | None) -> bytes:
         return next(self.encode_all([text]))
 
 
-def _places(ids: list[bytes | None]) -> list[int]:
-    """Where ids are None."""
-    out, at = [], -1
-    for _ in range(ids.count(None)):
-        at = ids.index(None, at + 1)
-        out.append(at)
-    return out
-
-
 def wide(ids: bytes, width: int) -> bytes:
     """Ids of ``width`` bytes as unsigned 32-bit ones."""
     return ids if width == 4 else np.frombuffer(ids, "<u2").astype("<u4").tobytes()

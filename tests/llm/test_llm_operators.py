@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -249,6 +250,39 @@ def test_token_pieces(name, drops):
     assert tokens.wide(want[3], 2) == np.array(plain(name, texts[3:4])[0], "<u4").tobytes()
 
 
+@pytest.mark.parametrize(("name", "drops"), [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_each_distinct_piece_is_met_once(name, drops):
+    """Python's work follows the distinct words, not the words; words around a comma or dash come from their parts."""
+    e = tokens.Encoder(tokens.tokenizer_path(name), drops)
+    words = [f"{a}{b}" for a in ("the", "ion", "ver", "Schl", "qu") for b in ("ent", "ing", "A", "x", "ably", "ou")]
+    texts = ["", "\n", " ".join(f"{a}{p}{b}" for a in words for b in words for p in ",-_") + "\n" + "again, again\n" * 20_000, None, "\n\nend"]
+    calls, asked = collections.Counter(), []
+    apart = e.apart
+    e.apart = lambda pieces: asked.extend(pieces) or apart(pieces)
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        got = list(e.encode_all(texts))
+    finally:
+        sys.setprofile(None)
+    assert got == [np.array(x, "<u2").tobytes() for x in plain(name, texts)]
+    assert len(asked) < 6 * len(words) and calls["c_call"] < 2_000
+
+
+@pytest.mark.parametrize(("name", "drops"), [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_token_pieces_over_groups(name, drops, monkeypatch):
+    """Texts that begin and end in spaces, line ends and punctuation, in groups of any size, with a cache that overflows."""
+    rng = random.Random(2)
+    bits = [" ", "\n", "\n ", "\r\n", "\t", "a", "Zb", "é", "\u0301", "9", ".", "_", "-", "'", "'ll", "'s.", "{", "~", "\x7f", "\x00", "<|endoftext|>", "\u2003", "漢"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(12))) for _ in range(4000)]
+    want = [np.array(x, "<u2").tobytes() for x in plain(name, texts)]
+    for group, cache in ((1, 10), (50, 100), (10**9, 0)):
+        monkeypatch.setattr(tokens, "GROUP", group)
+        monkeypatch.setattr(tokens, "CACHE", cache)
+        e = tokens.Encoder(tokens.tokenizer_path(name), drops)
+        assert list(e.encode_all(texts)) == want and list(e.encode_all(texts[::-1])) == want[::-1]
+    assert list(e.encode_all([])) == []
+
+
 CODED = [*ODD, *((20 + i, t) for i, t in enumerate(SPECIAL)), (30, " ".join(f"Item{i}, {i * 7919}." for i in range(3000)))]
 
 
